@@ -28,7 +28,7 @@ SCHEDULES = (
     ((0.0, 0.4), (0.5, 1.0), (1.0, 1.6)),
 )
 #: Rows of one source that are ordered together; larger sources are split by hash ranges.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def inverse_demand(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:

@@ -1,9 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import chat, mixing, secrets
+from . import chat, html, mixing, packing, quality_rules, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_html_extraction": html.op2_html_extraction,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_chat_format": chat.op5_chat_format,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
