@@ -33,6 +33,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that cut() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if "/loomline/" in f:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's size, from file sizes: for choosing how many buckets to deal rows into."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
