@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import ann, chat, html, mixing, ngram_join, packing, quality_rules, secrets, toxicity
+from . import ann, chat, html, mixing, ngram_join, packing, quality_mil, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_mil": quality_mil.op9_quality_mil,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {"op5_chat_format": chat.OP5_SQL, "op10_mix_sources": mixing.OP10_SQL}

@@ -38,32 +38,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power, _unpower
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, 48-bit key) of each shingle, repeats included, of the texts raw[offsets[i]:offsets[i+1]] in UTF-8.
-
-    A-Z are lower-cased; a text of 1 to 4 words has its whole sequence as one shingle.
-    """
+def word_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, hash, text number) of each word of the texts raw[offsets[i]:offsets[i+1]] in UTF-8, A-Z as a-z, and the first word of each text."""
     n = len(raw)
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if n == 0:
-        return none
-    low = _LOWER[raw]
     solid = ~_BLANK[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    begin = solid.copy()
+    begin, stop = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1] | edge[1:n]
-    stop = solid.copy()
     stop[:-1] &= ~solid[1:] | edge[1:n]
     a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    if len(a) == 0:
-        return none
     power, unpower = _powers(n)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
+    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
     word = mix((run[b] - run[a]) * unpower[a])
     doc = np.searchsorted(offsets, a, "right") - 1
-    first = np.searchsorted(doc, np.arange(len(offsets)))  # of each text, and the end
+    return a, b, word, doc, np.searchsorted(doc, np.arange(len(offsets)))
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 48-bit key) of each shingle, repeats included; a text of 1 to 4 words has its whole sequence as one shingle."""
+    _, _, word, doc, first = word_table(raw, offsets)
     count = np.diff(first)
     keys, docs = [], []
     if len(word) >= WORDS:
@@ -79,7 +74,9 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         h = (w * _FACTORS[: len(w)]).sum(dtype=np.uint64) + _FACTORS[WORDS:] * np.uint64(len(w))
         keys.append(mix(h))
         docs.append(np.array([d], np.int64))
-    return (np.concatenate(docs), np.concatenate(keys) >> np.uint64(16)) if keys else none
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(docs), np.concatenate(keys) >> np.uint64(16)
 
 
 def arrow_text(column) -> tuple[np.ndarray, np.ndarray]:
