@@ -1,4 +1,62 @@
+"""From raw documents to packed sequences: rules, near duplicates, secrets, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import mixing, ngram_join, packing, quality_rules, secrets
+from loomline.llm.common import cut, table
+
+#: Ids, at most, that are broadcast to the documents; beyond, the join is by shuffle.
+MOST_IDS = 1_000_000
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each component of similar ones; rows without an id stay, rows repeated under one id stay once."""
+    found = cut(ngram_join.join(docs), "pipeline-components")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if found.filter("doc_id <> component_id").count() <= MOST_IDS else gone
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with each secret in their texts replaced; n_chars follows."""
+    clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(spark, docs)))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of their training positions."""
+    return mixing.place(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 1024 tokens."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", without_secrets), ("mixing sources", mixed), ("best-fit packing", packed)]
+
+#: The forest, the Markov models and the tokenizer aren't expressible in SQL.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
