@@ -72,9 +72,11 @@ def _batch_rows(number: int, ids: list, docs: np.ndarray, keys: np.ndarray, bits
     out = []
 
     def deal(k: np.ndarray, more: np.ndarray, kind: int):
+        if not len(k):
+            return
         bucket = (k >> np.uint64(rest)).astype(np.int64)
         low = (k & np.uint64((1 << rest) - 1)).astype(np.uint32)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(k) else []
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True):
             out.append((int(bucket[a]), number, kind, b - a, shrink(_deltas(low[a:b]), more[a:b])))
 
