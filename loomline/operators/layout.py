@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,37 +79,40 @@ def spaced(values: Column, least: float) -> Column:
 
 
 def greedy_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, side, ord, y, text): in the order of names, each takes the nearest unused value by y; (key, name, value)."""
+    """rows (key, side, ord, y, text): in the order of names, each takes the nearest unused value by y, the first on ties; (key, name, value)."""
+    sides = [F.filter(F.array_sort(F.collect_list(F.struct("ord", F.col("y").cast("double").alias("y"), "text", "side"))), lambda t: t["side"] == s).alias(s) for s in ("name", "value")]
+    g = rows.groupBy(key).agg(*sides)
+    kind = "array<struct<ord:bigint,y:double,text:string>>"
+    values = F.transform("value", lambda t: F.struct(t["ord"].cast("bigint").alias("ord"), t["y"].alias("y"), t["text"].alias("text"))).cast(kind)
+    zero = F.struct(values.alias("left"), F.array().cast("array<struct<name:string,value:string>>").alias("out"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf[pdf.side == "name"].sort_values("ord")
-        values = list(pdf[pdf.side == "value"].sort_values("ord")[["y", "text"]].itertuples(index=False))
-        out = []
-        for n in names.itertuples(index=False):
-            if values:
-                k = min(range(len(values)), key=lambda i: (abs(values[i][0] - n.y), i))
-                out.append((pdf[key].iloc[0], n.text, values.pop(k)[1]))
-        return pd.DataFrame(out, columns=[key, "name", "value"])
+    def step(acc, n):
+        best = F.array_min(F.transform(acc["left"], lambda v: F.struct(F.abs(v["y"] - n["y"]).alias("d"), v["ord"].alias("ord"), v["text"].alias("text"))))
+        taken = F.concat(acc["out"], F.array(F.struct(n["text"].alias("name"), best["text"].alias("value"))))
+        rest = F.filter(acc["left"], lambda v: v["ord"] != best["ord"])
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(rest.alias("left"), taken.alias("out")))
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} bigint, name string, value string")
+    return g.select(key, F.inline(F.aggregate("name", zero, step, lambda acc: acc["out"])))
 
 
 def best_chain(rows: DataFrame, key: str, overlap: float = 0.35) -> DataFrame:
-    """rows (key, x0, x1, text, conf): digits of the chain of hardly overlapping tokens that reaches farthest right, then is longest, widest and surest."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        toks = sorted(pdf[["x0", "x1", "text", "conf"]].itertuples(index=False), key=tuple)
-        best: list[tuple] = []  # best chain ending at each token: (length, width, confidence, text)
-        for i, t in enumerate(toks):
-            own = (len(t.text), t.x1 - t.x0, t.conf, t.text)
-            options = [own]
-            for j in range(i):
-                common = min(t.x1, toks[j].x1) - max(t.x0, toks[j].x0)
-                if common < overlap * max(min(t.x1 - t.x0, toks[j].x1 - toks[j].x0), 1e-9) and t.x1 > toks[j].x1:
-                    b = best[j]
-                    options.append((b[0] + own[0], b[1] + own[1], b[2] + own[2], b[3] + t.text))
-            best.append(max(options))
-        k = max(range(len(toks)), key=lambda i: (toks[i].x1, best[i]))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "digits": [best[k][3]]})
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} bigint, digits string")
+    """rows (key, x0, x1, text, conf): the text of the chain of hardly overlapping tokens, each farther right, that reaches farthest right, then is longest, widest and surest; (key, digits)."""
+    tokens = F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "text", F.col("conf").cast("double").alias("conf"))))
+    # the best chain that ends with each token so far
+    zero = F.array().cast("array<struct<x1:double,length:int,width:double,conf:double,text:string,x0:double>>")
+
+    def chain(length, width, conf, text, t):
+        return F.struct(t["x1"].alias("x1"), length.alias("length"), width.alias("width"), conf.alias("conf"), text.alias("text"), t["x0"].alias("x0"))
+
+    def step(acc, t):
+        width = t["x1"] - t["x0"]
+        alone = chain(F.length(t["text"]), width, t["conf"], t["text"], t)
+
+        def joins(c):
+            common = F.least(t["x1"], c["x1"]) - F.greatest(t["x0"], c["x0"])
+            return (common < overlap * F.greatest(F.least(width, c["x1"] - c["x0"]), F.lit(1e-9))) & (t["x1"] > c["x1"])
+
+        longer = F.transform(F.filter(acc, joins), lambda c: chain(c["length"] + F.length(t["text"]), c["width"] + width, c["conf"] + t["conf"], F.concat(c["text"], t["text"]), t))
+        return F.concat(acc, F.array(F.array_max(F.concat(longer, F.array(alone)))))
+
+    return rows.groupBy(key).agg(tokens.alias("_t")).select(key, F.array_max(F.aggregate("_t", zero, step))["text"].alias("digits"))

@@ -56,8 +56,11 @@ def validate(records: DataFrame, stats: DataFrame, rules_main: DataFrame, rules_
     is valid with one warning.
     """
     st = stats.withColumn("_v", stat_value("value_raw")["num"])
-    listed = F.array_sort(F.collect_list(F.struct("ord", "name", F.col("_v").alias("v"))))
-    grouped = st.groupBy("rec_id").agg(*[F.filter(F.array_sort(F.collect_list(F.struct("ord", "bucket", "name", F.col("_v").alias("v")))), lambda x, b=b: x["bucket"] == b).alias(b) for b in ("main", "sub")])
+
+    def listed(bucket):
+        return F.filter(F.array_sort(F.collect_list(F.struct("ord", "bucket", "name", F.col("_v").alias("v")))), lambda x: x["bucket"] == bucket).alias(bucket)
+
+    grouped = st.groupBy("rec_id").agg(listed("main"), listed("sub"))
     main = rules_main.groupBy("cost", "level").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "fixed", F.struct("name", "expected")))).alias("fixed"),
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "rolled", F.struct("name", "expected")))).alias("rolled"),

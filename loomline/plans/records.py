@@ -393,7 +393,7 @@ def split_log(spark, d):
 
 
 @query("""
-WITH x AS (SELECT p_partkey, p_retailprice AS v, [905.0, 925.0, 950.0, 975.0, 995.0] AS tiers FROM part)
+WITH x AS (SELECT p_partkey, p_retailprice AS v, [905.0, 925.0, 950.0, 975.0, 995.0]::DOUBLE[] AS tiers FROM part)
 SELECT p_partkey, list_min(list_transform(tiers, lambda t: {'d': round(abs(t - v), 6), 't': t})).t AS tier FROM x
 """)
 def nearest_tier(spark, d):

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -21,8 +21,8 @@ def json_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> D
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    d = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(typed.add("_bad", "string") if "_bad" not in typed.names else typed).json(path)
-    return d.filter(F.col("_bad").isNull()).drop("_bad")
+    whole = spark.read.text(path, wholetext=True).filter(F.try_parse_json("value").isNotNull())
+    return whole.select(F.inline(F.from_json("value", ArrayType(typed))))
 
 
 def json_or_default(spark: SparkSession, path: str, schema: str, default: list[tuple]) -> DataFrame:
@@ -117,6 +117,6 @@ def tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
 
 def content_search(spark: SparkSession, root: str, query: str, most: int, pattern: str = "*") -> DataFrame:
     """(path, line_no, line) where a line holds the query literally in any case; at most `most`, in order."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).withColumn("path", F.col("_metadata.file_path"))
+    d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).withColumn("path", F.col("_metadata.file_path"))
     d = d.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return d.filter(F.lower("line").contains(query.lower())).orderBy("path", "line_no").limit(most)
