@@ -23,7 +23,7 @@ TURNS = "array<struct<role:string,text:string>>"
 # The template's control strings.
 OPEN, SEP, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: What follows the first character of a control string, ours or that of another common template.
-_REST = r"\||/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>"
+_REST = r"\||/?s>|/?INST\]|/?SYS>>"
 _ESCAPE, _UNESCAPE = rf"([<\[])(\\*)(?={_REST})", rf"([<\[])\\(\\*)(?={_REST})"
 
 
@@ -187,7 +187,7 @@ OP5_SQL = rf"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
 e AS (SELECT *, {len(OPEN + SEP + CLOSE)} + length(role) + length(text)
-        + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>)')) AS n FROM r)
+        + len(regexp_extract_all(text, '[<\[]\\*({_REST})')) AS n FROM r)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -28,7 +28,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Runs that the models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Least log-likelihood ratio in total and per character.
-LEAST_TOTAL, LEAST_MEAN = 8.0, 0.55
+LEAST_TOTAL, LEAST_MEAN = 8.0, 0.8
 #: Documents, at most, whose words are samples of ordinary strings, and generated samples of each kind.
 SAMPLE_DOCS, SAMPLES = 2000, 3000
 
