@@ -91,6 +91,10 @@ def _role(r: Column) -> Column:
     return out
 
 
+def _turn(role: str, text: str):
+    return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+
+
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     """records with fingerprint, layout (null: unknown) and turns, from a column of JSON texts."""
     v = F.try_parse_json(F.col(record))
@@ -105,7 +109,7 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
         layout = F.when(hit, F.lit(name)).otherwise(layout)
         if "list" in m:
             items = F.try_variant_get(v, f"$.{m['list']}", f"array<struct<{m['role']}:string,{m['text']}:string>>")
-            got = F.transform(items, lambda x, m=m: F.struct(_role(x[m["role"]]).alias("role"), F.coalesce(x[m["text"]], F.lit("")).alias("text")))
+            got = F.transform(items, _turn(m["role"], m["text"]))
         elif "single" in m:
             got = F.array(F.struct(_role(text(m["single"][0])).alias("role"), text(m["single"][1]).alias("text")))
         else:
