@@ -1,0 +1,53 @@
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from loomline.llm import registry
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+
+COLUMNS = {
+    "op1_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op2_html_extraction": "page_id url text n_chars",
+    "op3_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op4_pack_sequences": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op5_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op6_nearest_neighbours": "query_id rank vec_id score",
+    "op7_ngram_jaccard": "doc_id n_shingles component_id",
+    "op8_toxicity": "doc_id held_out score predicted",
+    "op9_quality_mil": "doc_id held_out score predicted",
+    "op10_mix_sources": "doc_id size source_size target taken",
+}
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query(spark, name):
+    df = registry.QUERIES[name](spark, DATA)
+    assert set(COLUMNS[name].split()) <= set(df.columns)
+    cols = sorted(df.columns)
+    got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+    assert got
+    if name in registry.ORACLES:
+        db = duckdb.connect()
+        for t in ("documents", "conversations"):
+            db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+        rel = db.sql(registry.ORACLES[name])
+        at = [rel.columns.index(c) for c in cols]
+        assert got == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    seen = docs
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, seen, DATA)
+        assert out.columns == docs.columns
+        assert out.join(seen.select("doc_id"), "doc_id", "left_anti").isEmpty()
+        seen = spark.createDataFrame(out.collect(), docs.schema)
+    assert 0 < seen.count() < docs.count()
+    packed = corpus_pipeline.run(spark, DATA).toPandas()
+    assert set(packed.doc_id) <= {r.doc_id for r in seen.collect()}
+    assert (packed.groupby("sequence_id").length.sum() <= 1024).all()
