@@ -3,7 +3,7 @@
 Two models, one of toxic and one of ordinary documents, give the probability of a word letter by letter, each
 letter given the word's beginning. Counts are continuation counts: a word counts once for each different word
 before it, so copies of a document add nothing. What the discount takes from a class's counts goes to the counts
-of both classes together; so an expression that is rare after some beginning tells next to nothing of its own and
+of both classes together; so an expression that is rare after some beginning tells little of its own and
 is judged by that beginning, and one that a class lacks is judged by how much of it the other has.
 
 A document's features are length-normalised log-likelihood ratios: the mean of all words, of the highest window,
