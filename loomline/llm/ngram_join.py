@@ -39,8 +39,11 @@ LEAST = 75
 BATCH, STEP, MOST_DOCS = 1_500_000, 1 << 21, 60_000
 #: Documents of a batch from which a key is sent as a count.
 COMMON = 16
-#: Rounds that compare with leaders before the one that compares all pairs left.
-ROUNDS = 2
+#: Rounds that compare with leaders before the one that compares all pairs left; a document meets leaders on so
+#: many of its shared prefix keys, the rarest, where the positional filter leaves most.
+ROUNDS, RAREST = 3, 8
+#: Parities of key counts by hash, 64 in a number, that bound how much two sets differ.
+PARITIES = 16
 
 _ROWS = "bucket int, batch bigint, kind int, n int, blob binary"
 _BACK, _SELF = 0, 1  # kinds on the way back; on the way there _BACK are keys, _COUNTS counts
@@ -169,7 +172,7 @@ def _documents(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind") == _SELF).mapInPandas(run, "uid bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint")
 
 
-_PREFIX = "key bigint, uid bigint, n bigint, pos bigint, h1 bigint, h2 bigint, keys binary"
+_PREFIX = "key bigint, uid bigint, n bigint, pos bigint, lead boolean, h1 bigint, h2 bigint, keys binary, sig array<bigint>"
 
 
 def _prefixes(bits: int):
@@ -233,21 +236,43 @@ def _prefixes(bits: int):
         t = np.minimum(take[at], shared[at])
         step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
         per = np.repeat(at, t)
-        ahead = pd.DataFrame({"key": keys[first[per] + step].astype(np.int64), "uid": base[per], "n": size[per], "pos": alone[per] + step, "h1": halves[0][per], "h2": halves[1][per], "keys": None})
+        ahead = pd.DataFrame({"key": keys[first[per] + step].astype(np.int64), "uid": base[per], "n": size[per], "pos": alone[per] + step, "lead": step < RAREST, "h1": halves[0][per], "h2": halves[1][per], "keys": None, "sig": None})
         blobs = []
         for d in at.tolist():
             s = np.sort(keys[first[d] : first[d] + shared[d]])
             blobs.append((s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes())
-        whole = pd.DataFrame({"key": -1, "uid": base[at], "n": size[at], "pos": shared[at], "h1": 0, "h2": 0, "keys": blobs})
+        whole = pd.DataFrame({"key": -1, "uid": base[at], "n": size[at], "pos": shared[at], "lead": False, "h1": 0, "h2": 0, "keys": blobs, "sig": _parities(keys, first[at], shared[at])})
         return pd.concat([ahead, whole])
 
     return run
 
 
-def _candidates(a: DataFrame, b: DataFrame, on_comp: str):
-    """Pairs of rows of one key that pass the length, positional and suffix filters."""
+def _parities(keys: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Of each set keys[first : first + count], 64 * PARITIES bits: whether an odd number of keys falls there."""
+    out, width = [], 64 * PARITIES
+    spot = (mix(keys) % np.uint64(width)).astype(np.int64)
+    for a in range(0, len(first), 1000):
+        f, c = first[a : a + 1000], count[a : a + 1000]
+        rows = np.repeat(np.arange(len(f)), c)
+        at = spot[np.repeat(f - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        odd = (np.bincount(rows * width + at, minlength=len(f) * width) & 1).astype(np.uint8)
+        out += list(np.packbits(odd.reshape(len(f), width), axis=1, bitorder="little").view(np.int64))
+    return out
+
+
+def _candidates(a: DataFrame, b: DataFrame, on_comp: str, parities: bool = False):
+    """Pairs of rows of one key that pass the length, positional and suffix filters, and, where asked for, the parities' bound."""
+    on = F.col("x.key") == F.col("y.key")
+    if parities:
+        # similar sets are in the same or the next class of sizes, each a third wider: rows of others never meet
+        size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 + 1 / 3)))
+        a, b = a.withColumn("_size", size), b.withColumn("_size", F.explode(F.sequence(size - 1, size + 1)))
+        on = on & (F.col("x._size") == F.col("y._size"))
     x, y = a.alias("x"), b.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(on_comp))
+    both = x.join(y, on & F.expr(on_comp))
+    if parities:
+        differ = " + ".join(f"bit_count(x.sig[{i}] ^ y.sig[{i}])" for i in range(PARITIES))
+        both = both.filter(f"{100 + LEAST} * (x.m + y.m - ({differ})) >= {2 * LEAST} * (x.n + y.n)")
     both = both.filter(f"100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)")
     need = f"{LEAST} * (x.n + y.n)"
     both = both.filter(f"{100 + LEAST} * least(x.n - x.pos, y.n - y.pos) >= {need}")
@@ -295,22 +320,26 @@ def join(docs: DataFrame) -> DataFrame:
     reps = reps.select(F.lit(0).alias("bucket"), "batch", F.lit(_COUNTS).alias("kind"), F.lit(0).alias("n"), F.unhex("_h").alias("blob"))
     rows = cut(back.unionByName(reps).groupBy("batch").applyInPandas(_prefixes(bits), _PREFIX), "ngram-prefixes")
     discard(back)
-    prefix, sets = rows.filter("key >= 0").drop("keys"), rows.filter("key < 0").select("uid", "n", "keys")
+    prefix, sets = rows.filter("key >= 0").drop("keys", "sig"), rows.filter("key < 0").select("uid", "n", "keys")
+    sigs = rows.filter("key < 0").select("uid", F.col("pos").alias("m"), "sig")
     seen: list[DataFrame] = []
     comp = None
     for turn in range(ROUNDS + 1):
-        p = prefix
+        p = prefix.filter("lead") if turn < ROUNDS else prefix
         if comp is None:
             p = p.withColumn("comp", F.col("uid"))
         else:
             p = p.join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component")
-        several = p.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct(F.xxhash64("comp", F.lit(turn)), "comp", "n", "uid", "pos", "h1", "h2")).alias("_lead")).filter("_lo < _hi")
+        # first the document with the fewest keys of its own: what others are copies of; then any, then the longest
+        first = (F.col("pos"), F.lit(0), -F.col("n"))[turn % 3].cast("bigint")
+        lead = F.min_by(F.struct("comp", "n", "uid", "pos", "h1", "h2"), F.struct(first, F.xxhash64("uid", F.lit(turn)), "uid"))
+        several = p.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), lead.alias("_lead")).filter("_lo < _hi")
         if turn < ROUNDS:
             lead = several.select("key", *[F.col(f"_lead.{c}").alias(c) for c in ("comp", "n", "uid", "pos", "h1", "h2")])
             pairs = _candidates(p, lead, "x.comp <> y.comp")
         else:
-            p = p.join(several.select("key"), "key", "left_semi")
-            pairs = _candidates(p, p, "x.comp < y.comp")
+            p = p.join(several.select("key"), "key", "left_semi").join(sigs, "uid")
+            pairs = _candidates(p, p, "x.comp < y.comp", parities=True)
         for s in seen:
             pairs = pairs.join(s, ["a", "b"], "left_anti")
         found = cut(_verified(pairs, sets), f"ngram-verified-{turn}")
