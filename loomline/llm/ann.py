@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine, over balanced posting lists.
 
 Centroids come from balanced k-means on a bounded sample; every vector is posted to its nearest list, and vectors
-near a boundary to several. A query walks a neighbour graph of the centroids held in memory, and a distance ratio,
-chosen on the sample for the wanted recall, prunes the lists it visits. Lists that grew past their size are split
+near a boundary to several. A query walks a neighbour graph of the centroids held in memory, with links both ways and
+an entry in each of its separate parts, so that every list can be reached; a distance ratio, chosen on the sample with
+such walks for the wanted recall, prunes the lists it visits. Lists that grew past their size are split
 by a hash, so no task holds more than a part of one; each part meets the list's queries and returns the best few
 exactly scored rows. Equal vectors are stored once, with the smallest ids that any query can need.
 
@@ -31,14 +32,15 @@ SAMPLE, MOST_LISTS, MOST_PART, PER_LIST = 20_000, 16_384, 4_000, 256
 COPIES, BOUNDARY = 3, 1.03
 #: Recall to reach on the sample, queries for measuring it.
 RECALL, PROBES = 0.97, 400
-#: Neighbours of a centroid in the graph, and the beam of the walk as a multiple of the lists wanted.
-DEGREE = 24
+#: Neighbours of a centroid in the graph, besides those that it is a neighbour of; entries, at least.
+DEGREE, ENTRIES = 24, 16
 
 
 @dataclass
 class Index:
     centroids: np.ndarray  # unit length
-    graph: np.ndarray  # neighbours of each centroid
+    graph: list[np.ndarray]  # neighbours of each centroid, both ways
+    entries: np.ndarray  # centroids where walks begin, some in each part of the graph
     ratio: float  # a list is visited if its distance is at most this times that of the nearest
     k: int
 
@@ -48,8 +50,7 @@ class Index:
 
     def _walk(self, x: np.ndarray) -> np.ndarray:
         c, g = self.centroids, self.graph
-        n = len(c)
-        starts = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
+        starts = self.entries
         dist = dict(zip(starts.tolist(), np.maximum(2 - 2 * (c[starts] @ x), 1e-9).tolist(), strict=True))
         todo = [(d, i) for i, d in dist.items()]
         heapq.heapify(todo)
@@ -103,27 +104,77 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarra
     return c
 
 
+def _graph(c: np.ndarray) -> list[np.ndarray]:
+    """The nearest centroids of each, and those that it is one of the nearest of."""
+    n = len(c)
+    m = min(DEGREE, n - 1)
+    if not m:
+        return [np.zeros(0, np.int64)]
+    out: list[np.ndarray] = []
+    for at in range(0, n, 1024):
+        s = -(c[at : at + 1024] @ c.T)
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = np.inf  # not itself
+        out += list(np.argpartition(s, m - 1, axis=1)[:, :m])
+    a, b = np.repeat(np.arange(n), m), np.concatenate(out)
+    links = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.split(links % n, np.searchsorted(links // n, np.arange(1, n)))
+
+
+def _entries(c: np.ndarray, graph: list[np.ndarray]) -> np.ndarray:
+    """One centroid in each part of the graph, then those farthest from all entries so far: twice the root of the lists, or ENTRIES."""
+    n = len(c)
+    part = np.full(n, -1)
+    found: list[int] = []
+    for i in range(n):
+        if part[i] < 0:
+            part[i], todo = len(found), [i]
+            found.append(i)
+            while todo:
+                new = graph[todo.pop()]
+                new = new[part[new] < 0]
+                part[new] = part[i]
+                todo += new.tolist()
+    near = np.full(n, -2.0)
+    for i in found:
+        near = np.maximum(near, c @ c[i])
+    while len(found) < min(n, max(ENTRIES, 2 * int(n**0.5))):
+        near[found] = np.inf
+        found.append(int(np.argmin(near)))
+        near = np.maximum(near, c @ c[found[-1]])
+    return np.array(sorted(found))
+
+
 def fit(sample: np.ndarray, rows: int, k: int, recall: float = RECALL) -> Index:
     """Centroids, their graph, and the ratio with which enough of the sample's own neighbours are found."""
     x = _unit(sample.astype(np.float64))
     lists = int(max(1, min(MOST_LISTS, rows // PER_LIST, len(x) // 4)))
-    c = _k_means(x, lists) if lists > 1 else _unit(x.mean(0, keepdims=True) + 1e-9)
-    near = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, 1 : DEGREE + 1] if lists <= 4096 else np.stack([np.argpartition(-(c @ v), DEGREE + 1)[: DEGREE + 1] for v in c])
-    index = Index(c, near, 1.0, k)
+    probe = np.random.default_rng(9).choice(len(x), min(PROBES, len(x)), replace=False)
+    # of the probes, as many take no part in the centroids as of all rows: those in it lie nearer to their list
+    apart = probe[: min(round(len(probe) * (1 - min(1, len(x) / rows))), len(x) - lists)]
+    c = _k_means(np.delete(x, apart, 0), lists) if lists > 1 else _unit(x.mean(0, keepdims=True) + 1e-9)
+    graph = _graph(c)
+    index = Index(c, graph, _entries(c, graph), 1.0, k)
     if lists == 1:
         return index
-    probe = np.random.default_rng(9).choice(len(x), min(PROBES, len(x)), replace=False)
     post_rows, post_lists = index.post(x)
     of: list[list[int]] = [[] for _ in range(len(x))]
     for r, li in zip(post_rows.tolist(), post_lists.tolist(), strict=True):
         of[r].append(li)
-    need = []  # by true neighbour: the ratio that reaches one of its lists
+    need, wanted = [], []  # by true neighbour: the ratio that reaches one of its lists; by probe: the lists of each
     for q in probe.tolist():
         s = x @ x[q]
         s[q] = -2
         d = np.sqrt(np.maximum(2 - 2 * (c @ x[q]), 1e-9))
-        need += [min(d[of[t]]) / d.min() for t in np.argsort(-s, kind="stable")[:k].tolist()]
+        true = np.argsort(-s, kind="stable")[:k].tolist()
+        need += [min(d[of[t]]) / d.min() for t in true]
+        wanted.append([of[t] for t in true])
     index.ratio = float(np.quantile(need, recall)) * 1.005
+    # what the walk itself misses; with a ratio above all others it visits every list
+    while True:
+        reached = [not seen.isdisjoint(li) for seen, near in zip((set(v.tolist()) for v in index.lists(x[probe])), wanted, strict=True) for li in near]
+        if np.mean(reached) >= recall:
+            break
+        index.ratio *= 1.05
     return index
 
 

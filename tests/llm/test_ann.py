@@ -79,3 +79,29 @@ def test_walk_finds_the_lists_within_the_ratio():
         seen += len(true & set(lists.tolist()))
         wanted += len(true)
     assert seen >= 0.95 * wanted
+
+
+def test_every_list_is_reached_in_separate_clusters():
+    rng = np.random.default_rng(4)
+    centres = 10 * A._unit(rng.normal(size=(50, 32)))
+    x = np.concatenate([v + 0.6 * rng.normal(size=(160, 32)) for v in centres])
+    index = A.fit(x, 2000 * A.PER_LIST, 5)
+    assert len(index.centroids) == 2000
+    reached = set(index.entries.tolist())
+    todo = list(reached)
+    while todo:
+        new = set(index.graph[todo.pop()].tolist()) - reached
+        reached |= new
+        todo += new
+    assert len(reached) == 2000
+    q = A._unit(np.concatenate([v + 0.6 * rng.normal(size=(4, 32)) for v in centres]))
+    for v, lists in zip(q, index.lists(q), strict=True):
+        assert int(np.argmax(index.centroids @ v)) in lists.tolist()
+        assert len(lists) < 500
+    rows, at = index.post(A._unit(x))
+    of = [set() for _ in x]
+    for r, li in zip(rows.tolist(), at.tolist(), strict=True):
+        of[r].add(li)
+    true = np.argsort(-(q @ A._unit(x).T), axis=1)[:, :5]
+    hits = [not of[t].isdisjoint(lists.tolist()) for near, lists in zip(true.tolist(), index.lists(q), strict=True) for t in near]
+    assert np.mean(hits) >= 0.95
