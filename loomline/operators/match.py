@@ -61,18 +61,44 @@ def edit_distance_best_match(rows: DataFrame, text: str, names: DataFrame, name:
     return rows.join(best, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
+def _centred(x: Column) -> Column:
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    return F.transform(x, lambda v: v - mean)
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def centred_correlation(a: Column, b: Column) -> Column:
     """Correlation of two arrays of one length."""
+    ca, cb = _centred(a), _centred(b)
+    return _dot(ca, cb) / F.nullif(F.sqrt(_dot(ca, ca) * _dot(cb, cb)), F.lit(0.0))
 
-    def centred(x):
-        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-        return F.transform(x, lambda v: v - mean)
 
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+def best_by_correlation(rows: DataFrame, key: str, vector: str, refs: DataFrame, ref_vector: str, label: str, cutoff: float) -> DataFrame:
+    """key, label and score: the reference with the highest centred correlation, the smaller label on ties; below the cutoff the label is NULL.
 
-    ca, cb = centred(a), centred(b)
-    return dot(ca, cb) / F.nullif(F.sqrt(dot(ca, ca) * dot(cb, cb)), F.lit(0.0))
+    Every row is scored against every reference. Vectors without a correlation (all components equal) have a NULL score.
+    """
+    # what belongs to one vector is computed once for it, not for each pair
+    r = refs.select(F.col(label).alias("_label"), _centred(F.col(ref_vector)).alias("_b")).withColumn("_bb", _dot(F.col("_b"), F.col("_b")))
+    v = rows.select(key, F.size(vector).alias("_n"), F.aggregate(vector, F.lit(0.0), lambda s, x: s + x).alias("_sum"), F.col(vector).alias("_v"))
+    v = v.withColumn("_mean", F.col("_sum") / F.col("_n")).withColumn("_a", F.transform("_v", lambda x: x - F.col("_mean"))).withColumn("_aa", _dot(F.col("_a"), F.col("_a")))
+    score = F.round(_dot(F.col("_a"), F.col("_b")) / F.nullif(F.sqrt(F.col("_aa") * F.col("_bb")), F.lit(0.0)), 9)
+    least = F.min(F.struct(F.coalesce(-score, F.lit(float("inf"))).alias("d"), F.col("_label").alias("best")))  # one struct: the score is computed once
+    best = v.select(key, "_a", "_aa").join(r, F.lit(True)).groupBy(key).agg(least.alias("_x"))
+    found = -F.nullif(F.col("_x.d"), F.lit(float("inf")))
+    return best.select(key, F.when(found >= cutoff, F.col("_x.best")).alias(label), found.alias("score"))
+
+
+def label_or_best(rows: DataFrame, key: str, vector: str, label: str, refs: DataFrame, ref_vector: str, cutoff: float) -> DataFrame:
+    """key, label, state and score: the recorded label, else the best reference from the cutoff on, else a skip, which is reported with its score."""
+    known = rows.filter(F.col(label).isNotNull()).select(key, label, F.lit("recorded").alias("state"), F.lit(None).cast("double").alias("score"))
+    rest = rows.filter(F.col(label).isNull()).select(key, vector)
+    found = rest.select(key).distinct().join(best_by_correlation(rest, key, vector, refs, ref_vector, label, cutoff), key, "left")
+    state = F.when(F.col(label).isNull(), "skipped").otherwise("matched")
+    return known.unionByName(found.select(key, label, state.alias("state"), "score"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

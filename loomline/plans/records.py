@@ -456,13 +456,40 @@ WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE -
 SELECT vec_id, ref_label, round(list_dot_product(c, rc) / sqrt(list_dot_product(c, c) * list_dot_product(rc, rc)), 6) AS score FROM e, r WHERE vec_id % 10 = ref_label
 """)
 def correlation_match(spark, d):
-    """The score of a candidate reference."""
+    """J11's score, against one candidate reference."""
     e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     refs = e.groupBy(F.col("label").alias("ref_label")).agg(F.min_by("v", "vec_id").alias("rv"))
     j = e.join(refs, (F.col("vec_id") % 10).cast("int") == F.col("ref_label"))
     return j.select("vec_id", "ref_label", F.round(M.centred_correlation(F.col("v"), F.col("rv")), 6).alias("score"))
 
 
+def _label_refs(e):
+    return e.filter("label is not null").groupBy("label").agg(F.min_by("v", "vec_id").alias("rv"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE - list_avg(embedding::DOUBLE[])) AS c FROM embeddings), r AS (SELECT label AS ref_label, arg_min(c, vec_id) AS rc FROM e WHERE label IS NOT NULL GROUP BY 1), x AS (
+SELECT vec_id, ref_label, round(list_dot_product(c, rc) / sqrt(list_dot_product(c, c) * list_dot_product(rc, rc)), 9) AS score FROM e, r)
+SELECT vec_id, CASE WHEN max(score) >= 0.2 THEN arg_min(ref_label, [-score, ref_label]) END AS label, round(max(score), 6) AS score FROM x GROUP BY 1
+""")
+def correlation_best_match(spark, d):
+    """The best of all references, rejected below 0.20."""
+    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return M.best_by_correlation(e, "vec_id", "v", _label_refs(e), "rv", "label", 0.2).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE - list_avg(embedding::DOUBLE[])) AS c FROM embeddings), r AS (SELECT label AS ref_label, arg_min(c, vec_id) AS rc FROM e WHERE label IS NOT NULL GROUP BY 1), x AS (
+SELECT vec_id, ref_label, round(list_dot_product(c, rc) / sqrt(list_dot_product(c, c) * list_dot_product(rc, rc)), 9) AS score FROM e, r WHERE label IS NULL), b AS (SELECT vec_id, arg_min(ref_label, [-score, ref_label]) AS best, max(score) AS score FROM x GROUP BY 1)
+SELECT vec_id, label, 'recorded' AS state, NULL::DOUBLE AS score FROM embeddings WHERE label IS NOT NULL
+UNION ALL SELECT vec_id, CASE WHEN score >= 0.5 THEN best END, CASE WHEN score >= 0.5 THEN 'matched' ELSE 'skipped' END, round(score, 6) FROM (SELECT vec_id FROM embeddings WHERE label IS NULL) LEFT JOIN b USING (vec_id)
+""")
+def correlation_label_fallback(spark, d):
+    """Recorded label, else the best reference from 0.50 on, else a reported skip."""
+    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return M.label_or_best(e, "vec_id", "v", "label", _label_refs(e), "rv", 0.5).withColumn("score", F.round("score", 6))
+
+
 @query("""
 WITH q AS (SELECT DISTINCT substr(p_name, 2) AS t FROM part), n AS (SELECT DISTINCT p_name AS n FROM part), x AS (SELECT t, n, levenshtein(t, n) AS d FROM q, n WHERE levenshtein(t, n) <= 3)
 SELECT p_partkey, t AS text, m AS match, d AS distance FROM (SELECT p_partkey, substr(p_name, 2) AS t FROM part) LEFT JOIN (SELECT t, arg_min(n, [d::VARCHAR, n]) AS m, min(d) AS d FROM x GROUP BY 1) USING (t)

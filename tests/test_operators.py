@@ -173,3 +173,16 @@ def test_rule_matrix(spark):
     assert check(spark, (1, 10, 5), [*at10, good[2], good[2]]) == (False, ["duplicate: hp"], [])
     assert check(spark, (1, 10, 5), [*at10, ("sub", "luck", "1"), ("sub", "luck%", "2%")]) == (False, ["flat and percent: luck%"], [])
     assert check(spark, (1, 10, 5), [*at10, ("sub", "atk", "5"), ("sub", "atk%", "7%")]) == (True, [], [])
+
+
+def test_best_by_correlation(spark):
+    refs = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0]), (3, [1.0, 3.0, 1.0]), (4, [2.0, 4.0, 6.0])], "label int, rv array<double>")
+    rows = [(10, None, [2.0, 4.0, 6.5]), (11, None, [9.0, 5.0, 1.0]), (12, 7, [0.0, 1.0, 0.0]), (13, None, [1.0, -1.0, 1.1]), (14, None, [5.0, 5.0, 5.0])]
+    e = spark.createDataFrame(rows, "vec_id bigint, label int, v array<double>")
+    best = {r.vec_id: (r.label, r.score) for r in M.best_by_correlation(e, "vec_id", "v", refs, "rv", "label", 0.2).collect()}
+    assert {i: x[0] for i, x in best.items()} == {10: 1, 11: 2, 12: 3, 13: None, 14: None}
+    assert best[11][1] == 1.0 and 0 < best[13][1] < 0.2 and best[14][1] is None
+    got = {r.vec_id: (r.label, r.state) for r in M.label_or_best(e, "vec_id", "v", "label", refs, "rv", 0.5).collect()}
+    assert got == {10: (1, "matched"), 11: (2, "matched"), 12: (7, "recorded"), 13: (None, "skipped"), 14: (None, "skipped")}
+    none = M.label_or_best(e, "vec_id", "v", "label", refs.limit(0), "rv", 0.5).collect()
+    assert sorted((r.vec_id, r.state) for r in none) == [(10, "skipped"), (11, "skipped"), (12, "recorded"), (13, "skipped"), (14, "skipped")]
