@@ -2,10 +2,11 @@
 
 Each block of text is a line; its text-to-tag ratio is its length over the tags met since the last block. The
 ratios of a page are smoothed with a Gaussian kernel and split in two clusters by threshold; the lines of the
-high cluster name the content region: the smallest container that holds most of their text. Everything in the
-region is kept, short lines too, but what is marked as a menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comment. Outside an article or main element, lines beyond the first and last line of the
-high cluster are left out as well, but for the headings right before it.
+high cluster name the content region: the smallest container that holds most of their text, and from there its
+parents, as long as what they add is unmarked text without lines that are links only, or has text of the high
+cluster too. Everything in the region is kept, short lines too, but what is marked as a menu, header, footer,
+sidebar, notice, advert, form, script, style or reader comment. Lines that are links only count as marked where
+the region is the page itself or has grown over them, unless they lie between lines of the high cluster.
 
 Cases: null or empty html gives an empty text, as does a page whose whole text is marked; broken markup is read
 as the parser gives it, with implied ends for paragraphs and list items; ties in the clusters go to content;
@@ -34,7 +35,6 @@ NOISE = frozenset(
     "style svg template textarea title audio video map math".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element of the key ends the elements of the value that are still open directly below.
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 # Words in class, id and role that mark an element as something else than content.
@@ -56,18 +56,19 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, noise from here on
         self.parents: list[tuple[int, str]] = []  # by element number: parent, tag
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container, heading
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container, links only
         self.text: list[str] = []
         self.tags = 0
-        self.heading = False
+        self.plain = False  # text outside of links since the last block
 
     def flush(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             self.text = []
             if line:
-                self.lines.append((line, self.tags, self.stack[-1][1] if self.stack else -1, self.heading))
+                self.lines.append((line, self.tags, self.stack[-1][1] if self.stack else -1, not self.plain))
                 self.tags = 0
+            self.plain = False
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -77,7 +78,6 @@ class _Page(HTMLParser):
             self.flush()
             if ends := IMPLIED.get(tag):
                 self._imply(ends, tag)
-            self.heading = tag in HEADINGS
         if tag in VOID:
             return
         noise = bool(self.stack and self.stack[-1][2])
@@ -107,7 +107,6 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-            self.heading = False
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 del self.stack[k:]
@@ -118,6 +117,8 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][2]):
             self.text.append(data)
+            if not self.plain and not data.isspace():
+                self.plain = all(t != "a" for t, _, _ in self.stack)
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)  # <![...>: unknown keywords would end the parse
@@ -183,18 +184,25 @@ def main_text(html: str | None) -> str:
             ancestors.add(k)
             if tag in ("article", "main"):
                 break
-    inside = []
-    for i, (_, _, at, _) in enumerate(lines):
-        while at > region:
-            at = page.parents[at][0]
-        if region == -1 or at == region:
-            inside.append(i)
-    if region == -1 or page.parents[region][1] not in ("article", "main"):
-        hits = [i for i in inside if chosen[i]]
-        first, last = hits[0], hits[-1]
-        while first - 1 in inside and lines[first - 1][3]:
-            first -= 1
-        inside = [i for i in inside if first <= i <= last]
+    found = region >= 0 and page.parents[region][1] in ("article", "main")
+    chain = [region]
+    while not found and chain[-1] >= 0:
+        chain.append(page.parents[chain[-1]][0])
+    # by container: the first of the region and its parents that it lies in; parents come before their children
+    rank, top = {k: n for n, k in enumerate(chain)}, len(chain) if found else len(chain) - 1
+    level = [0] * len(page.parents)
+    for k, (parent, _) in enumerate(page.parents):
+        level[k] = rank[k] if k in rank else level[parent] if parent >= 0 else top
+    at_level = [level[at] if at >= 0 else top for _, _, at, _ in lines]
+    links = {n for n, x in zip(at_level, lines, strict=True) if x[3]}
+    high = [i for i, (t, n, _, link) in enumerate(lines) if chosen[i] and not link and at_level[i] < len(chain) and len(t) / max(1, n) >= least]
+    most = max((at_level[i] for i in high), default=0)
+    while most + 1 < len(chain) and most + 1 not in links:
+        most += 1
+    inside = [i for i in range(len(lines)) if at_level[i] <= most]
+    if not found and high:
+        page_itself = region < 0 or page.parents[region][1] == "body"
+        inside = [i for i in inside if not lines[i][3] or high[0] <= i <= high[-1] or not at_level[i] and not page_itself]
     return "\n".join(lines[i][0] for i in inside)
 
 

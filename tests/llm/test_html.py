@@ -48,3 +48,28 @@ def test_smoothing_and_clusters():
     assert H.smooth([4.0]) == [4.0]
     assert H.threshold([1.0, 1.0, 9.0, 9.0]) == 5.0
     assert H.threshold([3.0, 3.0]) == 3.0
+
+
+def paragraphs(sizes):
+    return [(f"para{i} " + "some words of text " * n)[:n].strip() for i, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("sizes", [[300, 320, 310, 60, 40], [40, 60, 300, 320, 310], [120, 150, 140, 2000, 1800, 130, 120]])
+def test_short_first_and_last_paragraphs_stay(sizes):
+    text = paragraphs(sizes)
+    inner = "<h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in text)
+    menu, end = "<div><a href=x>Home</a></div>", "<div><a href=y>Imprint</a></div>"
+    for page in (f"<body>{menu}<div>{inner}</div>{end}</body>", f"<body>{menu}{inner}{end}</body>", inner):
+        assert H.main_text(page) == "\n".join(["Head", *text])
+
+
+@pytest.mark.parametrize("sizes", [[1500, 400, 300], [900, 40], [400, 1500, 60]])
+def test_blocks_beside_the_longest_stay(sizes):
+    text = paragraphs(sizes)
+    blocks = "".join(f"<div><p>{t}</p></div>" for t in text)
+    assert H.main_text(f"<body><div><a href=x>Home</a></div><div>{blocks}</div><div><a href=y>Imprint</a></div></body>") == "\n".join(text)
+
+
+def test_links_inside_the_text_stay():
+    text = paragraphs([300, 30, 310])
+    assert H.main_text(f"<body><div><p>{text[0]}</p><p><a href=x>{text[1]}</a></p><p>{text[2]}</p><p><a href=y>The end</a></p></div></body>") == "\n".join([*text, "The end"])
