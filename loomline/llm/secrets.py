@@ -2,7 +2,8 @@
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained
 from labelled samples; a run of 16 or more key characters is a secret if its log-likelihood ratio, in total and
-per character, is above the thresholds. All of it, training included, is DataFrame expressions; the model is a
+per character, is above the thresholds, else the best stretches of its parts between / = - _ + are judged so. What
+a base span covers is taken out of a run, and the rest is judged. All of it, training included, is DataFrame expressions; the model is a
 fixed table of 128 x 128 numbers.
 
 Cases: a null text is empty; without matches the counts are 0, the digest is that of the empty string and spans
@@ -40,6 +41,10 @@ PARTS = (
     "january february march april summer winter http https www com org html json"
 ).split()
 
+#: What parts a run, and a part with what stands before it.
+MARK, PART = "[/=_+-]", "[/=_+-]*[A-Za-z0-9]+"
+LEAST_RUN = 16
+
 _SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
@@ -132,29 +137,89 @@ def _ratio(model: list[float]):
     return of
 
 
-def spans(text: Column, model: list[float]) -> tuple[Column, Column]:
-    """Spans of the base kinds, and those that the models find, wherever they are."""
+def _rests(run: Column, base: Column) -> Column:
+    """What sorted base spans leave of a run: (s, e), LEAST_RUN characters at least."""
+    zero = F.struct(run["s"].alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
+
+    def add(acc, s):
+        return F.when(s - acc["at"] >= LEAST_RUN, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), s.alias("e"))))).otherwise(acc["out"])
+
+    over = F.filter(base, lambda b: (b["s"] < run["e"]) & (run["s"] < b["e"]))
+    return F.aggregate(over, zero, lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), add(acc, b["s"]).alias("out")), lambda acc: add(acc, run["e"]))
+
+
+def _stretches(token: Column, ratio) -> Column:
+    """Random stretches of a token as (s, e): all of it, or else the best consecutive parts.
+
+    The running sum is the log-likelihood ratio less its threshold per character; it begins anew once it isn't
+    positive, and a stretch ends at its peak when the sum has fallen from there by the threshold in total.
+    """
+    kind = "array<struct<s:bigint,e:bigint>>"
+    length = F.length(token).cast("bigint")
+    parts = F.transform(F.regexp_extract_all(token, F.lit(PART), F.lit(0)), lambda m: F.struct((ratio(m) - LEAST_MEAN * F.length(m)).alias("x"), F.length(m).alias("n"), F.length(F.regexp_replace(m, f"^{MARK}+", "")).alias("own")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.array().cast(kind).alias("out"))
+
+    def emitted(acc, e):
+        n = acc["e"] - acc["s"]
+        good = (acc["peak"] > 0) & (n >= LEAST_RUN) & (acc["peak"] + LEAST_MEAN * n >= LEAST_TOTAL)
+        return F.when(good, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), e.alias("e"))))).otherwise(acc["out"])
+
+    def step(acc, p):
+        fresh, end = acc["sum"] <= 0, acc["at"] + p["n"]
+        total = F.when(fresh, p["x"]).otherwise(acc["sum"] + p["x"])
+        up = fresh | (total > acc["peak"])
+        ends = ~fresh & ((total <= 0) | (total <= acc["peak"] - LEAST_TOTAL))
+        return F.struct(
+            end.alias("at"),
+            F.when(fresh, end - p["own"]).otherwise(acc["s"]).alias("s"),
+            F.when(up, end).otherwise(acc["e"]).alias("e"),
+            F.when(ends, F.lit(0.0)).otherwise(total).alias("sum"),
+            F.when(ends, F.lit(0.0)).when(up, total).otherwise(acc["peak"]).alias("peak"),
+            F.when(ends, emitted(acc, acc["e"])).otherwise(acc["out"]).alias("out"),
+        )
+
+    # marks after the last part, as padding, belong to it
+    best = F.aggregate(parts, zero, step, lambda acc: emitted(acc, F.when(acc["e"] == acc["at"], length).otherwise(acc["e"])))
+    whole = ratio(token) >= F.greatest(F.lit(LEAST_TOTAL), F.lit(LEAST_MEAN) * length)
+    return F.when(whole, F.array(F.struct(F.lit(0).cast("bigint").alias("s"), length.alias("e")))).otherwise(best)
+
+
+def _judged(text: Column, runs: Column, base: Column, model: list[float]) -> Column:
+    """Spans that the models find in the runs, outside of sorted base spans."""
     ratio = _ratio(model)
+    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))  # one for each run
+
+    def of(run, token):
+        def found(rest):
+            piece = F.substr(token, (rest["s"] - run["s"] + 1).cast("int"), (rest["e"] - rest["s"]).cast("int"))
+            # a mark after a base span isn't part of what follows
+            marks = F.when(rest["s"] > run["s"], F.length(piece) - F.length(F.regexp_replace(piece, f"^{MARK}+", ""))).otherwise(F.lit(0))
+            own = F.substr(piece, marks + 1, F.length(piece))
+            got = F.when(F.length(own) >= LEAST_RUN, _stretches(own, ratio)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+            return F.transform(got, lambda x: F.struct((rest["s"] + marks + x["s"]).alias("s"), F.lit(3).alias("k"), (rest["s"] + marks + x["e"]).alias("e")))
+
+        return F.flatten(F.transform(_rests(run, base), found))
+
+    return F.flatten(F.zip_with(runs, tokens, of)).cast(_SPAN)
 
-    def random(token):
-        return (ratio(token) >= F.greatest(F.lit(LEAST_TOTAL), F.lit(LEAST_MEAN) * F.length(token)))
 
+def spans(text: Column) -> tuple[Column, Column]:
+    """Spans of the base kinds, and the runs that the models judge, wherever they are."""
     base = F.concat(
         _matches(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_ASSIGN),
         _matches(text, ACCESS, 1, lambda m: F.length(m) >= LEAST_ACCESS),
         _matches(text, HEX, 2, lambda m: F.lit(True)),
     )
-    more = _matches(text, CANDIDATE, 3, random)
-    return base, more
+    return base, _matches(text, CANDIDATE, 3, lambda m: F.lit(True))
 
 
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     """docs with `_sc_base` and `_sc_all`, arrays of (s, k, e)."""
-    base, more = spans(F.coalesce(F.col("text"), F.lit("")), model)
-    d = docs.withColumns({"_sc_b": base, "_sc_m": more})
-    base, more = F.col("_sc_b"), F.col("_sc_m")
-    added = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return d.withColumn("_sc_base", F.array_sort(base)).withColumn("_sc_all", F.array_sort(F.concat(base, added))).drop("_sc_b", "_sc_m")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base, runs = spans(text)
+    d = docs.withColumns({"_sc_base": F.array_sort(base), "_sc_runs": runs})
+    d = d.withColumn("_sc_more", F.when(F.size("_sc_runs") > 0, _judged(text, F.col("_sc_runs"), F.col("_sc_base"), model)).otherwise(F.array().cast(_SPAN)))
+    return d.withColumn("_sc_all", F.array_sort(F.concat("_sc_base", "_sc_more"))).drop("_sc_runs", "_sc_more")
 
 
 def _listed(col: str) -> Column:
