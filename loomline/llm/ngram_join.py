@@ -7,9 +7,9 @@ first in it, so most documents drop out there. The rest meet on prefix keys unde
 filters, and each pair is verified once on whole sets.
 
 Work on groups of copies is linear: equal sets are one class from the start; documents that meet on a key are
-first compared with one leader, and later rounds only compare what isn't connected yet, the last one every pair
-that is left; so no link between different texts is lost, while copies aren't expanded into pairs. A key that
-many documents of a batch share travels as a count.
+first compared with one leader, which then is done with there, and later rounds only compare what isn't connected
+yet, the last one every pair that is left; so no link between different texts is lost, while copies aren't
+expanded into pairs. A key that many documents of a batch share travels as a count.
 
 Cases: a null text, or one without words, has no shingles and is linked with nothing; rows without doc_id take
 part, and a component without any id has a null one; equal rows share a component; an empty table gives an empty
@@ -39,11 +39,8 @@ LEAST = 75
 BATCH, STEP, MOST_DOCS = 1_500_000, 1 << 21, 60_000
 #: Documents of a batch from which a key is sent as a count.
 COMMON = 16
-#: Rounds that compare with leaders before the one that compares all pairs left; a document meets leaders on so
-#: many of its shared prefix keys, the rarest, where the positional filter leaves most.
-ROUNDS, RAREST = 3, 8
-#: Parities of key counts by hash, 64 in a number, that bound how much two sets differ.
-PARITIES = 16
+#: Rounds that compare with leaders before the one that compares all pairs left; rows of a key that meet in one block there.
+ROUNDS, BLOCK = 3, 512
 
 _ROWS = "bucket int, batch bigint, kind int, n int, blob binary"
 _BACK, _SELF = 0, 1  # kinds on the way back; on the way there _BACK are keys, _COUNTS counts
@@ -172,7 +169,7 @@ def _documents(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind") == _SELF).mapInPandas(run, "uid bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint")
 
 
-_PREFIX = "key bigint, uid bigint, n bigint, pos bigint, lead boolean, h1 bigint, h2 bigint, keys binary, sig array<bigint>"
+_PREFIX = "key bigint, uid bigint, n bigint, pos bigint, h1 bigint, h2 bigint, keys binary"
 
 
 def _prefixes(bits: int):
@@ -180,7 +177,7 @@ def _prefixes(bits: int):
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         """One batch: a row with the shared keys of each document that can have partners, and its prefix rows."""
-        empty = pd.DataFrame({c.split()[0]: [] for c in _PREFIX.split(", ")})
+        empty = pd.DataFrame({c.split()[0]: pd.Series(dtype=object if c.endswith("binary") else "int64") for c in _PREFIX.split(", ")})
         own = rows[rows["kind"] == _SELF]
         reps = rows[rows["kind"] == _COUNTS]
         if not len(reps):
@@ -236,43 +233,19 @@ def _prefixes(bits: int):
         t = np.minimum(take[at], shared[at])
         step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
         per = np.repeat(at, t)
-        ahead = pd.DataFrame({"key": keys[first[per] + step].astype(np.int64), "uid": base[per], "n": size[per], "pos": alone[per] + step, "lead": step < RAREST, "h1": halves[0][per], "h2": halves[1][per], "keys": None, "sig": None})
+        ahead = pd.DataFrame({"key": keys[first[per] + step].astype(np.int64), "uid": base[per], "n": size[per], "pos": alone[per] + step, "h1": halves[0][per], "h2": halves[1][per], "keys": None})
         blobs = []
         for d in at.tolist():
             s = np.sort(keys[first[d] : first[d] + shared[d]])
             blobs.append((s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes())
-        whole = pd.DataFrame({"key": -1, "uid": base[at], "n": size[at], "pos": shared[at], "lead": False, "h1": 0, "h2": 0, "keys": blobs, "sig": _parities(keys, first[at], shared[at])})
+        whole = pd.DataFrame({"key": -1, "uid": base[at], "n": size[at], "pos": shared[at], "h1": 0, "h2": 0, "keys": blobs})
         return pd.concat([ahead, whole])
 
     return run
 
 
-def _parities(keys: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Of each set keys[first : first + count], 64 * PARITIES bits: whether an odd number of keys falls there."""
-    out, width = [], 64 * PARITIES
-    spot = (mix(keys) % np.uint64(width)).astype(np.int64)
-    for a in range(0, len(first), 1000):
-        f, c = first[a : a + 1000], count[a : a + 1000]
-        rows = np.repeat(np.arange(len(f)), c)
-        at = spot[np.repeat(f - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-        odd = (np.bincount(rows * width + at, minlength=len(f) * width) & 1).astype(np.uint8)
-        out += list(np.packbits(odd.reshape(len(f), width), axis=1, bitorder="little").view(np.int64))
-    return out
-
-
-def _candidates(a: DataFrame, b: DataFrame, on_comp: str, parities: bool = False):
-    """Pairs of rows of one key that pass the length, positional and suffix filters, and, where asked for, the parities' bound."""
-    on = F.col("x.key") == F.col("y.key")
-    if parities:
-        # similar sets are in the same or the next class of sizes, each a third wider: rows of others never meet
-        size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 + 1 / 3)))
-        a, b = a.withColumn("_size", size), b.withColumn("_size", F.explode(F.sequence(size - 1, size + 1)))
-        on = on & (F.col("x._size") == F.col("y._size"))
-    x, y = a.alias("x"), b.alias("y")
-    both = x.join(y, on & F.expr(on_comp))
-    if parities:
-        differ = " + ".join(f"bit_count(x.sig[{i}] ^ y.sig[{i}])" for i in range(PARITIES))
-        both = both.filter(f"{100 + LEAST} * (x.m + y.m - ({differ})) >= {2 * LEAST} * (x.n + y.n)")
+def _similar(both: DataFrame) -> DataFrame:
+    """Pairs (x, y) that pass the length, positional and suffix filters, as (a, b)."""
     both = both.filter(f"100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)")
     need = f"{LEAST} * (x.n + y.n)"
     both = both.filter(f"{100 + LEAST} * least(x.n - x.pos, y.n - y.pos) >= {need}")
@@ -286,6 +259,35 @@ def _candidates(a: DataFrame, b: DataFrame, on_comp: str, parities: bool = False
     return both.selectExpr("least(x.uid, y.uid) a", "greatest(x.uid, y.uid) b").distinct()
 
 
+def _left(p: DataFrame) -> DataFrame:
+    """Candidates among all rows of a key that are in different components.
+
+    Most rows of a frequent key are in one component, its home there; a pair then has a row outside of it. So the
+    outsiders meet all rows, which are dealt into blocks by the key's frequency, and outsiders go to each block. Of
+    a pair, the smaller set must hold the key among its first (100 - LEAST) / (100 + LEAST) keys, and sizes are in
+    the same or neighbouring classes, so rows are met by role and class.
+    """
+    parts = p.groupBy("key", "comp").count()
+    home = parts.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("home"), F.sum("count").alias("_f"), F.count("*").alias("_c")).filter("_c > 1")
+    rows = p.join(home, "key").withColumn("_blocks", F.ceil(F.col("_f") / BLOCK).cast("int"))
+    rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 * 100 / LEAST))))
+    small = F.expr(f"{100 + LEAST} * (n - pos) >= {2 * LEAST} * n")
+
+    def meets(role: int, by: int):
+        return F.struct(F.lit(role).alias("role"), (F.col("class") + by).alias("class"))
+
+    bigger, smaller = F.array(meets(1, 0), meets(1, 1)), F.array(meets(0, 0), meets(0, -1))
+    keep = ["key", "uid", "comp", "n", "pos", "h1", "h2"]
+    x = rows.filter("comp <> home").withColumn("_m", F.explode(F.when(small, F.concat(bigger, smaller)).otherwise(smaller)))
+    x = x.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*keep, "_m.role", "_m.class", "_block")
+    own = F.when(small, F.array(meets(0, 0), meets(1, 0))).otherwise(F.array(meets(1, 0)))
+    y = rows.withColumn("_m", F.explode(own)).withColumn("_block", F.expr("cast(pmod(xxhash64(uid), _blocks) as int)"))
+    y = y.select(*keep, "_m.role", "_m.class", "_block", (F.col("comp") == F.col("home")).alias("inside"))
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "role", "class", "_block")]
+    order = F.expr("x.comp <> y.comp and (y.inside or x.uid < y.uid) and if(x.role = 1, x.n <= y.n, x.n > y.n)")
+    return _similar(x.alias("x").join(y.alias("y"), [*on, order]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, linked) of each pair, from the whole sets of shared keys."""
     one = sets.selectExpr("uid as a", "n as na", "keys as ka")
@@ -320,28 +322,28 @@ def join(docs: DataFrame) -> DataFrame:
     reps = reps.select(F.lit(0).alias("bucket"), "batch", F.lit(_COUNTS).alias("kind"), F.lit(0).alias("n"), F.unhex("_h").alias("blob"))
     rows = cut(back.unionByName(reps).groupBy("batch").applyInPandas(_prefixes(bits), _PREFIX), "ngram-prefixes")
     discard(back)
-    prefix, sets = rows.filter("key >= 0").drop("keys", "sig"), rows.filter("key < 0").select("uid", "n", "keys")
-    sigs = rows.filter("key < 0").select("uid", F.col("pos").alias("m"), "sig")
+    prefix, sets = rows.filter("key >= 0").drop("keys"), rows.filter("key < 0").select("uid", "n", "keys")
     seen: list[DataFrame] = []
     comp = None
     for turn in range(ROUNDS + 1):
-        p = prefix.filter("lead") if turn < ROUNDS else prefix
+        p = prefix
         if comp is None:
             p = p.withColumn("comp", F.col("uid"))
         else:
             p = p.join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component")
-        # first the document with the fewest keys of its own: what others are copies of; then any, then the longest
-        first = (F.col("pos"), F.lit(0), -F.col("n"))[turn % 3].cast("bigint")
-        lead = F.min_by(F.struct("comp", "n", "uid", "pos", "h1", "h2"), F.struct(first, F.xxhash64("uid", F.lit(turn)), "uid"))
-        several = p.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), lead.alias("_lead")).filter("_lo < _hi")
         if turn < ROUNDS:
-            lead = several.select("key", *[F.col(f"_lead.{c}").alias(c) for c in ("comp", "n", "uid", "pos", "h1", "h2")])
-            pairs = _candidates(p, lead, "x.comp <> y.comp")
+            # first the document with the fewest keys of its own: what others are copies of; then any, then the longest
+            first = (F.col("pos"), F.lit(0), -F.col("n"))[turn % 3].cast("bigint")
+            lead = F.min(F.struct(first.alias("first"), F.xxhash64("uid", F.lit(turn)).alias("any"), "uid", "comp", "n", "pos", "h1", "h2"))
+            several = p.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), lead.alias("_lead")).filter("_lo < _hi").select("key", "_lead")
+            # the leader has met all others of its key: it and keys of one component are done with
+            left = cut(p.join(several, "key").filter("uid <> _lead.uid"), f"ngram-left-{turn}")
+            pairs = _similar(left.filter("comp <> _lead.comp").select(F.struct("uid", "n", "pos", "h1", "h2").alias("x"), F.col("_lead").alias("y")))
+            prefix = left.drop("comp", "_lead")
         else:
-            p = p.join(several.select("key"), "key", "left_semi").join(sigs, "uid")
-            pairs = _candidates(p, p, "x.comp < y.comp", parities=True)
-        for s in seen:
-            pairs = pairs.join(s, ["a", "b"], "left_anti")
+            pairs = _left(p)
+        if seen:
+            pairs = pairs.join(reduce(DataFrame.unionByName, seen), ["a", "b"], "left_anti")
         found = cut(_verified(pairs, sets), f"ngram-verified-{turn}")
         seen.append(found)
         links = reduce(DataFrame.unionByName, seen).filter("linked")

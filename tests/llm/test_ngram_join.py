@@ -128,3 +128,8 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+
+
+def test_unrelated_documents(spark):
+    docs = [(1, "a b c d e f g h"), (2, "i j k l m n o p")]
+    assert got(spark, docs, 1) == brute(docs)
