@@ -32,7 +32,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset(
     "aside button canvas datalist dialog embed footer form head iframe input menu nav noscript object script search select "
-    "style svg template textarea title audio video map math".split()
+    "style svg template textarea title audio video map".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
 #: An element of the key ends the elements of the value that are still open directly below.
@@ -44,7 +44,22 @@ MARKS = frozenset(
     "notification overlay pagination popup promo promotion promoted related replies reply respond share sharing sidebar sidenav skip social "
     "sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
-_WORDS = re.compile(r"[a-z]+")
+# Words that make a name a condition of a wrapper, and those that mark reader comments.
+STATES = frozenset("no not non has with without is open opened closed enabled disabled lazy on off".split())
+REMARKS = frozenset("comment comments commentlist disqus replies reply respond".split())
+_NAMES, _WORDS = re.compile(r"\S+"), re.compile(r"[a-z]+")
+
+
+def marked(value: str) -> set[str]:
+    """The words that mark an element in a class, id or role."""
+    found: set[str] = set()
+    for name in _NAMES.findall(value.lower()):
+        words = set(_WORDS.findall(name))
+        if words & MARKS and not words & STATES:
+            found |= words & MARKS
+    return found
+
+
 #: Standard deviation of the smoothing kernel, in lines, and its reach.
 SIGMA, REACH = 1.0, 3
 #: Share of the high cluster's text that the region holds.
@@ -54,45 +69,47 @@ MOST = 0.6
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element number, noise from here on
-        self.parents: list[tuple[int, str]] = []  # by element number: parent, tag
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container, links only
-        self.text: list[str] = []
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, noise from here on, mark
+        self.parents: list[tuple[int, str]] = []  # by container: parent, tag
+        self.marks: list[list] = []  # by mark: parent, holds main, holds an article, marks reader comments
+        self.articles = 0  # articles and main elements outside of all marks
+        self.blocks: list[tuple[list, int, int]] = []  # pieces of text (data, mark, in a link), tags, container
+        self.text: list[tuple[str, int, bool]] = []
         self.tags = 0
-        self.plain = False  # text outside of links since the last block
 
     def flush(self) -> None:
         if self.text:
-            line = " ".join("".join(self.text).split())
-            self.text = []
-            if line:
-                self.lines.append((line, self.tags, self.stack[-1][1] if self.stack else -1, not self.plain))
-                self.tags = 0
-            self.plain = False
+            self.blocks.append((self.text, self.tags, self.stack[-1][1] if self.stack else -1))
+            self.text, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", -1, True))
         if tag in BLOCKS:
             self.flush()
             if ends := IMPLIED.get(tag):
                 self._imply(ends, tag)
         if tag in VOID:
             return
-        noise = bool(self.stack and self.stack[-1][2])
+        _, parent, noise, mark = self.stack[-1] if self.stack else ("", -1, False, -1)
         if not noise:
-            noise = tag in NOISE or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack)
-            if not noise and attrs and tag not in ("html", "body", "article", "main"):
-                for k, v in attrs:
-                    if k in ("class", "id", "role") and v and not MARKS.isdisjoint(_WORDS.findall(v.lower())) or k in ("hidden",) or k == "aria-hidden" and v == "true":
-                        noise = True
-                        break
-        parent = self.stack[-1][1] if self.stack else -1
+            noise = tag in NOISE or tag == "header" and not any(t[0] in ("article", "main") for t in self.stack)
+        if not noise and attrs and tag not in ("html", "body", "article", "main"):
+            noise = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            if words := set().union(*[marked(v) for k, v in attrs if k in ("class", "id", "role") and v]):
+                self.marks.append([mark, False, False, not words.isdisjoint(REMARKS)])
+                mark = len(self.marks) - 1
+        if not noise and tag in ("main", "article"):
+            self.articles += mark < 0
+            m = mark
+            while m >= 0:
+                self.marks[m][1 if tag == "main" else 2] = True
+                m = self.marks[m][0]
         if tag in CONTAINERS:
             self.parents.append((parent, tag))
             parent = len(self.parents) - 1
-        self.stack.append((tag, parent, noise))
+        self.stack.append((tag, parent, noise, mark))
 
     def _imply(self, ends: set[str], tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -115,18 +132,39 @@ class _Page(HTMLParser):
                 return  # an inline end does not close blocks
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][2]):
-            self.text.append(data)
-            if not self.plain and not data.isspace():
-                self.plain = all(t != "a" for t, _, _ in self.stack)
+        if not self.stack:
+            self.text.append((data, -1, False))
+        elif not self.stack[-1][2]:
+            self.text.append((data, self.stack[-1][3], any(t[0] == "a" for t in self.stack)))
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)  # <![...>: unknown keywords would end the parse
 
-    def read(self, html: str) -> None:
+    def lines(self, html: str) -> list[tuple[str, int, int, bool]]:
+        """Text, tags, container, links only of each block, without what is marked."""
         self.feed(html)
         self.close()
         self.flush()
+        size = [0] * len(self.marks)
+        whole = 0
+        for pieces, _, _ in self.blocks:
+            for data, m, _ in pieces:
+                whole += len(data)
+                while m >= 0:
+                    size[m] += len(data)
+                    m = self.marks[m][0]
+        gone = [False] * len(size)
+        for k, (up, main, article, remarks) in enumerate(self.marks):  # parents come before their children
+            wrapper = main or not self.articles and (article or not remarks and 2 * size[k] > whole)
+            gone[k] = not wrapper or up >= 0 and gone[up]
+        out, tags = [], 0
+        for pieces, n, at in self.blocks:
+            kept = [(data, link) for data, m, link in pieces if m < 0 or not gone[m]]
+            line, tags = " ".join("".join(x for x, _ in kept).split()), tags + n
+            if line:
+                out.append((line, tags, at, all(link or x.isspace() for x, link in kept)))
+                tags = 0
+        return out
 
 
 def smooth(ratios: list[float]) -> list[float]:
@@ -145,7 +183,7 @@ def smooth(ratios: list[float]) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """Midpoint of two clusters: the mean as a start, then the middle of the means on both sides until it stays."""
+    """Midpoint of two clusters: the mean as a start, then the middle of the means on both sides until it stays; no higher than the highest value."""
     t = sum(values) / len(values)
     for _ in range(20):
         low, high = [v for v in values if v < t], [v for v in values if v >= t]
@@ -155,15 +193,14 @@ def threshold(values: list[float]) -> float:
         if abs(new - t) < 1e-9:
             break
         t = new
-    return t
+    return min(t, max(values))
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page()
-    page.read(html)
-    lines = page.lines
+    lines = page.lines(html)
     if not lines:
         return ""
     ratios = smooth([len(t) / max(1, n) for t, n, _, _ in lines])

@@ -1,4 +1,8 @@
+import math
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from loomline.llm import html as H
 
@@ -73,3 +77,32 @@ def test_blocks_beside_the_longest_stay(sizes):
 def test_links_inside_the_text_stay():
     text = paragraphs([300, 30, 310])
     assert H.main_text(f"<body><div><p>{text[0]}</p><p><a href=x>{text[1]}</a></p><p>{text[2]}</p><p><a href=y>The end</a></p></div></body>") == "\n".join([*text, "The end"])
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "with-ads page", "comments-open", "share-enabled", "skip-lazy", "sidebar", "ad-wrapper"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_wrappers_with_marks(name, inner):
+    text = "".join(f"<p>Paragraph {i} of the text, which is long enough to be one.</p>" for i in range(8))
+    page = f'<body><div class="{name}">{inner.format(text)}</div><div class="site-footer">Imprint and more</div></body>'
+    assert H.main_text(page).count("Paragraph") == 8 and "Imprint" not in H.main_text(page)
+
+
+def test_marks_inside():
+    page = '<article><p>One <span class="ad">Buy</span>two.</p><div class="comment-list"><p>' + "Nice! " * 90 + "</p></div><p>Three <math><mi>x</mi></math>.</p></article>"
+    assert H.main_text(page) == "One two.\nThree x."
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 19, 20, 21, 50])
+@pytest.mark.parametrize("letters", [1, 7, 57, 58, 333])
+def test_equal_lines(n, letters):
+    page = "<body>" + f"<p>{'x' * letters}</p>" * n + "</body>"
+    assert H.main_text(page) == "\n".join(["x" * letters] * n)
+
+
+@given(st.lists(st.floats(0, 1e6), min_size=1, max_size=40))
+def test_smooth_and_threshold(values):
+    got = H.smooth(values)
+    for i in range(len(values)):
+        w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(len(values)) if abs(i - j) <= 3}
+        assert got[i] == pytest.approx(sum(values[j] * x for j, x in w.items()) / sum(w.values()))
+    assert any(v >= H.threshold(got) for v in got)
