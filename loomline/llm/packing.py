@@ -1,9 +1,10 @@
 """Best-fit packing into sequences of fixed length, by hierarchical residual packing.
 
-Each partition packs its own pieces, longest first, each into the fullest bin that still has room; bins that are
-nearly full are emitted, the underfull ones become items. Groups of partitions merge their underfull bins by the
-same rule, then groups of groups, until one group is left or each holds as many bins as a task should
-(`MOST_ITEMS`); what is underfull then is emitted as it is.
+Each partition packs its own pieces, so many at a time (`CHUNK`), longest first, each into the fullest bin that
+still has room; bins that are nearly full are emitted, the underfull ones become items. Ever fewer and larger
+groups of underfull bins are merged by the same rule. A group holds at most about `MOST_ITEMS` of them, as many as
+a task should; where several groups of that size are left, bins are dealt anew for further rounds until a round
+saves next to nothing. What is underfull then is emitted as it is.
 
 Cases: a null or empty text is the end token alone; a document longer than a sequence is cut so that only its
 first piece may be short; repeated rows are packed as often as they occur; ties go to the earlier item; an empty
@@ -27,11 +28,12 @@ from .common import cut, table
 LENGTH, END = 1024, 2
 #: Free tokens of a bin that counts as nearly full.
 SLACK = 4
-#: Partitions whose underfull bins meet in one task, and bins in one task, at most.
-FAN_IN, MOST_ITEMS = 8, 50_000
+#: Pieces that are packed at once and documents tokenized at once in a partition; groups of underfull bins that become
+#: one; bins in a group; share of the bins that a round over full groups must save for another one.
+CHUNK, STEP, FAN_IN, MOST_ITEMS, LEAST_SAVED = 50_000, 256, 8, 50_000, 0.01
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, place bigint"
-_BINS = "bin bigint, load int, node bigint, members array<bigint>, places array<int>"
+_BINS = "bin bigint, load int, members array<bigint>, places array<int>"
 
 
 def best_fit(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
@@ -64,52 +66,63 @@ def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
 
 
 def _local(path: str, with_ids: bool):
-    names = [c.split()[0] for c in (_PIECES + (", ids array<int>" if with_ids else "") + ", load int, node bigint").split(", ")]
+    names = [c.split()[0] for c in (_PIECES + (", ids array<int>" if with_ids else "") + ", load int").split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import tokenizer
-
-        enc, part = tokenizer(path), TaskContext.get().partitionId()
-        end = np.array([END], np.uint32)
-        cols: list[list] = [[] for _ in names[:5]]
-        ids_out: list[np.ndarray] = []
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(texts), strict=True):
-                ids = np.concatenate([ids, end])
-                at = 0
-                for p, n in enumerate(piece_lengths(len(ids))):
-                    piece = ids[at : at + n]
-                    for c, v in zip(cols, (doc, p, at, n, zlib.crc32(piece.astype("<u4").tobytes())), strict=True):
-                        c.append(v)
-                    if with_ids:
-                        ids_out.append(piece.astype(np.int32))
-                    at += n
+    def packed(part: int, first: int, cols: list[list], ids: list) -> tuple[pa.RecordBatch, int]:
+        """Rows of the pieces, then of underfull bins, and the number of bins so far."""
         lengths = cols[3]
-        home, place = [0] * len(lengths), [0] * len(lengths)
+        home, place, under = [0] * len(lengths), [0] * len(lengths), []
         bins = best_fit(lengths)
-        under = []
-        for k, items in enumerate(bins):
+        for k, items in enumerate(bins, first):
             at, name = 0, (part << 40) | k
             for i in items:
                 home[i], place[i] = name, at
                 at += lengths[i]
             if at < LENGTH - SLACK:
                 under.append((name, at))
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         n, none = len(lengths), len(under)
         arrays = [pa.array(c + [None] * none, t) for c, t in zip(cols, types, strict=True)]
         arrays += [pa.array(home + [x for x, _ in under], pa.int64()), pa.array(place + [None] * none, pa.int64())]
         if with_ids:
-            arrays.append(pa.array([*ids_out, *[None] * none], pa.list_(pa.int32())))
-        arrays += [pa.array([None] * n + [x for _, x in under], pa.int32()), pa.array([None] * n + [part] * none, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names)
+            arrays.append(pa.array([*ids, *[None] * none], pa.list_(pa.int32())))
+        arrays.append(pa.array([None] * n + [x for _, x in under], pa.int32()))
+        return pa.RecordBatch.from_arrays(arrays, names), first + len(bins)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import tokenizer
+
+        enc, part, bins = tokenizer(path), TaskContext.get().partitionId(), 0
+        end = np.array([END], np.uint32)
+        cols: list[list] = [[] for _ in types]
+        ids_out: list[np.ndarray] = []
+        for whole in batches:
+            for begin in range(0, whole.num_rows, STEP):
+                b = whole.slice(begin, STEP)
+                for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                    ids = np.concatenate([ids, end])
+                    at = 0
+                    for p, n in enumerate(piece_lengths(len(ids))):
+                        piece = ids[at : at + n]
+                        for c, v in zip(cols, (doc, p, at, n, zlib.crc32(piece.astype("<u4").tobytes())), strict=True):
+                            c.append(v)
+                        if with_ids:
+                            ids_out.append(piece.astype(np.int32))
+                        at += n
+                        if len(cols[0]) >= CHUNK:
+                            out, bins = packed(part, bins, cols, ids_out)
+                            cols, ids_out = [[] for _ in types], []
+                            yield out
+        if cols[0]:
+            yield packed(part, bins, cols, ids_out)[0]
 
     return run
 
 
 def _merge(key, bins):
-    """Underfull bins of one node, as items, into bins; a bin goes by the name of its first member."""
+    """Underfull bins of one group, as items, into bins; a bin goes by the name of its first member."""
+    import pandas as pd
+
     bins = bins.sort_values("bin")
     loads, names = bins["load"].tolist(), bins["bin"].tolist()
     members, places = bins["members"].tolist(), bins["places"].tolist()
@@ -120,10 +133,8 @@ def _merge(key, bins):
             m += [int(x) for x in members[i]]
             p += [int(x) + at for x in places[i]]
             at += loads[i]
-        out.append((names[items[0]], at, key[0], m, p))
-    import pandas as pd
-
-    return pd.DataFrame(out, columns=["bin", "load", "node", "members", "places"])
+        out.append((names[items[0]], at, m, p))
+    return pd.DataFrame(out, columns=["bin", "load", "members", "places"])
 
 
 def pack(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
@@ -131,22 +142,25 @@ def pack(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
 
     path: the file of the tokenizer, on every machine.
     """
-    schema = _PIECES + (", ids array<int>" if ids else "") + ", load int, node bigint"
+    schema = _PIECES + (", ids array<int>" if ids else "") + ", load int"
     both = cut(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_local(path, ids), schema), "pack-local")
-    pieces = both.filter("load is null").drop("load", "node")
-    open_ = both.filter("load is not null").select("bin", "load", "node", F.array("bin").alias("members"), F.array(F.lit(0)).alias("places"))
+    pieces = both.filter("load is null").drop("load")
+    open_ = both.filter("load is not null").select("bin", "load", F.array("bin").alias("members"), F.array(F.lit(0)).alias("places"))
     done = []
-    nodes, left = open_.agg(F.coalesce(F.max("node") + 1, F.lit(0)), F.count("*")).first()
-    while True:
-        fewer = max(-(-nodes // FAN_IN), -(-left // MOST_ITEMS))
-        if nodes <= 1 or fewer >= nodes:
-            break
-        step = -(-nodes // fewer)
-        merged = open_.withColumn("node", F.expr(f"div(node, {step})").cast("bigint")).groupBy("node").applyInPandas(_merge, _BINS)
-        merged = cut(merged, "pack-merge")
+    # a leaf of the tree is what one task packed
+    groups, left = open_.agg(F.countDistinct(F.shiftright("bin", 40)), F.count("*")).first()
+    turn = 0
+    while left > 1:
+        fewest = -(-left // MOST_ITEMS)
+        full = groups <= fewest  # no further up the tree: only another deal
+        groups = max(fewest, -(-groups // FAN_IN))
+        deal = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)).alias("_group")
+        merged = cut(open_.groupBy(deal).applyInPandas(_merge, _BINS), "pack-merge")
         done.append(merged.filter(F.col("load") >= LENGTH - SLACK))
         open_ = merged.filter(F.col("load") < LENGTH - SLACK)
-        nodes, left = -(-nodes // step), open_.count()
+        before, left, turn = left, open_.count(), turn + 1
+        if groups == 1 or full and before - left < LEAST_SAVED * before:
+            break
     moved = reduce(DataFrame.unionByName, [*done, open_]).filter(F.size("members") > 1)
     moved = moved.select(F.col("bin").alias("_to"), F.explode(F.arrays_zip("members", "places")).alias("m"))
     moved = moved.select(F.col("m.members").alias("bin"), "_to", F.col("m.places").alias("_by"))

@@ -12,8 +12,8 @@ import os
 
 import numpy as np
 
-#: Distinct words whose ids a worker keeps; beyond it, the store starts anew.
-MOST_WORDS = 1_000_000
+#: Distinct words whose ids a worker keeps, beyond which the store starts anew; code points that are cut into words at once.
+MOST_WORDS, STEP = 250_000, 400_000
 
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
@@ -49,7 +49,7 @@ class BatchTokenizer:
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             for name, b in (("power", self.base), ("unpower", self.inverse)):
                 p = np.full(n, b, np.uint64)
                 p[0] = 1
@@ -66,9 +66,9 @@ class BatchTokenizer:
             else:
                 plain.append(i)
         at = 0
-        while at < len(plain):  # some million code points at a time
+        while at < len(plain):
             size, first = 0, at
-            while at < len(plain) and (at == first or size + len(texts[plain[at]]) <= 2_000_000):
+            while at < len(plain) and (at == first or size + len(texts[plain[at]]) <= STEP):
                 size += len(texts[plain[at]])
                 at += 1
             part = plain[first:at]
