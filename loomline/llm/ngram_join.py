@@ -358,3 +358,23 @@ def join(docs: DataFrame) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: All pairs by their common shingles, and components by following links; for tables of some thousand documents.
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS u, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS.upper()}', '{_LETTERS}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT u, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT u, i, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 4) OVER o AS x4 FROM p WINDOW o AS (PARTITION BY u ORDER BY i)),
+s AS (SELECT DISTINCT u, hash(x, x1, x2, x3, x4) AS g FROM q WHERE x4 IS NOT NULL OR i = 1),
+n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+k AS (SELECT u, g AS h FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+o AS (SELECT x.u AS a, y.u AS b, count(*) AS o FROM k x JOIN k y ON x.h = y.h AND x.u <> y.u GROUP BY x.u, y.u),
+e AS (SELECT a, b FROM o JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE 100 * o >= {LEAST} * (x.n + y.n - o)),
+r(u, v) AS (SELECT u, u FROM n UNION SELECT r.u, e.b FROM r JOIN e ON r.v = e.a),
+c AS (SELECT r.u, min(d.doc_id) AS component_id FROM r JOIN d ON d.u = r.v GROUP BY r.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE c.component_id END AS component_id
+FROM d LEFT JOIN n ON n.u = d.u LEFT JOIN c ON c.u = d.u
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality_mil": quality_mil.op9_quality_mil,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
-ORACLES = {"op5_chat_format": chat.OP5_SQL, "op10_mix_sources": mixing.OP10_SQL}
+ORACLES = {"op5_chat_format": chat.OP5_SQL, "op7_ngram_jaccard": ngram_join.OP7_SQL, "op10_mix_sources": mixing.OP10_SQL}
