@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is named."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where none is named, one in the default file system, or a temporary one if all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomline-")
+        fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if spark.sparkContext.master.startswith("local"):  # one machine: driver and executors are one process
+            folder = tempfile.mkdtemp(prefix="loomline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = "file://" + folder
+        elif fs.getScheme() != "file":
+            found = f"{fs.getHomeDirectory().toString().rstrip('/')}/.loomline"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -47,6 +58,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def pieces(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches of few rows, so that few texts at a time become Python strings."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -1,18 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary documents, give the probability of a word letter by letter, each
-letter given the word's beginning. Counts are continuation counts: a word counts once for each different word
-before it, so copies of a document add nothing. What the discount takes from a class's counts goes to the counts
-of both classes together; so an expression that is rare after some beginning tells little of its own and
-is judged by that beginning, and one that a class lacks is judged by how much of it the other has.
+Two models, one of toxic and one of ordinary documents, give the probability of a word letter by letter, each letter
+given the ORDER - 1 letters before it in the word. Their counts are of different words before a word, so copies of
+a document add nothing. What the discount takes from a class's counts, and a little more (PRIOR), goes to the
+backoff that both classes share: an interpolated Kneser-Ney model of the lower orders, down to single letters, whose
+counts are continuation counts (of different letters before a sequence) over all documents. So an expression that is
+rare in a class is judged by how its letters go on anywhere, and one that neither class has cancels out.
 
-A document's features are length-normalised log-likelihood ratios: the mean of all words, of the highest window,
-of the two highest words, and of what words have above a floor. A logistic function, fitted on labelled documents
-that the models haven't seen, makes the score of them.
+Of the shared counts, kept as tables, only those of sequences that the labelled sample has enter a ratio: elsewhere
+both classes have the same backoff. What comes to the driver is therefore bounded by the sample, and nothing is left out.
+
+A document's features are length-normalised log-likelihood ratios of its words: the mean of all, of the highest window,
+of the two highest words, and of what words have above a floor, since a few words decide and long texts hide them in
+a mean. A logistic function, fitted on labelled documents that the models haven't seen, makes the score of them.
 
 Cases: a null or empty text has no words and gets the score of ratio 0; without labels of both classes every score
-is 0; equal texts get equal scores; words are runs of letters and digits, lower-cased; an empty table gives an
-empty result; columns besides doc_id and text are ignored.
+is 0; equal texts get equal scores; words are runs of letters and digits, lower-cased, and every letter of every word
+counts, in texts of any length (one text is held at a time); an empty table gives an empty result; columns besides
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,23 +25,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log
+from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_mod, table
+from .common import bounded_sample, crc32_mod, cut, pieces, table
 
 #: Labelled documents of each class that the models learn from, at most; a fifth of them fit the score only.
 SAMPLE = 3000
-#: Beginnings of words that the model keeps, at most, the most frequent; their letters; words whose ratio a worker remembers.
-MOST_NODES, DEPTH, MOST_WORDS = 300_000, 10, 1_000_000
-#: Discount; count of a beginning from which its next letters are judged; weight of the shared counts besides the discount.
-DISCOUNT, LEAST_SEEN, PRIOR = 0.75, 4, 2.0
+#: Letters of a sequence; discount; weight of the shared backoff besides the discount.
+ORDER, DISCOUNT, PRIOR = 6, 0.75, 2.0
+#: Words whose ratio a worker remembers; words and sequences that a worker gathers before it sends them.
+MOST_WORDS, HELD = 200_000, 200_000
 #: Words of a window, floor of a word's ratio, and the score from which a document is predicted toxic.
 WINDOW, FLOOR, LEAST = 6, 2.0, 0.3
+#: Letters that stand before and after a word; no word holds them.
+BEGIN, END = "^" * (ORDER - 1), "$"
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -48,18 +55,14 @@ def words(text: str | None) -> list[str]:
 class _Ratios(dict):
     """Log-likelihood ratio of each word met so far."""
 
-    def __init__(self, total: dict[str, float], miss: dict[str, float]):
-        self.total, self.miss = total, miss
+    def __init__(self, table: dict[str, float]):
+        self.table = table
 
     def __missing__(self, word: str) -> float:
-        total, s, found = self.total, word + "$", ""
-        for k in range(1, min(DEPTH, len(s)) + 1):
-            if s[:k] not in total:
-                break
-            found = s[:k]
-        v = total.get(found, 0.0)
-        if len(found) < min(DEPTH, len(s)):
-            v += self.miss.get(found, 0.0)
+        s, known, v = BEGIN + word + END, self.table, 0.0
+        for k in range(len(s) - ORDER + 1):
+            r = known.get(s[k : k + ORDER])
+            v += known.get(s[k : k + ORDER - 1], 0.0) if r is None else r
         if len(self) >= MOST_WORDS:
             self.clear()
         self[word] = v
@@ -68,14 +71,14 @@ class _Ratios(dict):
 
 @dataclass
 class Model:
-    """By beginning of a word: its log-likelihood ratio, toxic over ordinary, and that of a letter never seen after it."""
+    """Log-likelihood ratios, toxic over ordinary, of a last letter, by sequence; by sequence without it, of one that neither class has there."""
 
-    total: dict[str, float] = field(default_factory=dict)
-    miss: dict[str, float] = field(default_factory=dict)
+    keys: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
+    values: pa.Array = field(default_factory=lambda: pa.array([], pa.float64()))
     weights: list[float] = field(default_factory=list)  # logistic: bias, then one for each feature
 
     def ratios(self) -> _Ratios:
-        return _Ratios(self.total, self.miss)
+        return _Ratios(dict(zip(self.keys.to_pylist(), self.values.to_pylist(), strict=True)))
 
     def score(self, x: tuple[float, ...]) -> float:
         if not self.weights:
@@ -118,37 +121,77 @@ def _pairs(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(run, "v string, w string, toxic int").distinct()
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    """(b, k0, k1, t0, t1) by beginning: continuation counts and different next letters, in ordinary and toxic documents."""
-    counts = pairs.groupBy("w", "toxic").agg(F.count("*").alias("n")).withColumn("w", F.concat("w", F.lit("$")))
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(DEPTH), F.length("w"))), lambda k: F.substr(F.col("w"), F.lit(1), k)))
+def _sequences(w: Column) -> Column:
+    whole = F.concat(F.lit(BEGIN), w, F.lit(END))
+    return F.explode(F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda k: F.substr(whole, k, F.lit(ORDER))))
+
+
+def _corpus_sequences(docs: DataFrame) -> DataFrame:
+    """Every different sequence of ORDER letters in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        found: set[str] = set()
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["g"])
+
+        for b in pieces(batches):
+            for text in b.column(0).to_pylist():
+                new = set(words(text)) - known
+                for w in new:
+                    s = BEGIN + w + END
+                    found.update([s[k : k + ORDER] for k in range(len(w) + 1)])
+                known |= new
+                if len(known) >= HELD:
+                    known.clear()
+                if len(found) >= HELD:
+                    yield batch()
+                    found.clear()
+        if found:
+            yield batch()
+
+    return docs.select("text").mapInArrow(run, "g string").distinct()
+
+
+def _shared(sequences: DataFrame) -> DataFrame:
+    """(g, s): the shared probability of the last letter of each sequence of ORDER - 1 letters, after those before it."""
+    counts = []
+    longer = sequences
+    for k in range(ORDER - 1, 0, -1):
+        longer = cut(longer.groupBy(F.substr("g", F.lit(2), F.lit(k)).alias("g")).agg(F.count("*").alias("c")), f"toxicity-{k}")
+        counts.append(longer)
+    letters = counts.pop()
+    total, types = letters.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    out = letters.selectExpr("g", f"(greatest(c - {DISCOUNT}D, 0D) + {DISCOUNT}D) / {max(total, 1)}D as s") if types else letters.selectExpr("g", "0D as s")
+    for k in range(2, ORDER):
+        c = counts.pop()
+        ahead = F.substr("g", F.lit(1), F.lit(k - 1)).alias("h")
+        context = c.groupBy(ahead).agg(F.sum("c").alias("n"), F.count("*").alias("t"))
+        c = c.select("g", "c", ahead, F.substr("g", F.lit(2), F.lit(k - 1)).alias("l"))
+        out = c.join(context, "h").join(out.withColumnRenamed("g", "l"), "l").selectExpr("g", f"(greatest(c - {DISCOUNT}D, 0D) + {DISCOUNT}D * t * s) / n as s")
+    return out
+
+
+def _ratio_table(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, ratio): log-likelihood ratios by sequence and, for letters that no class has there, by what comes before."""
+    each = pairs.groupBy("w", "toxic").agg(F.count("*").alias("n")).select(_sequences(F.col("w")).alias("g"), "toxic", "n")
     both = [F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"k{c}") for c in (0, 1)]
-    nodes = counts.select(each.alias("b"), "toxic", "n").groupBy("b").agg(*both)
-    parent = F.expr("substr(b, 1, length(b) - 1)")
-    types = nodes.filter("b <> ''").groupBy(parent.alias("b")).agg(*[F.count(F.when(F.col(f"k{c}") > 0, 1)).cast("long").alias(f"t{c}") for c in (0, 1)])
-    return nodes.join(types, "b", "left").na.fill(0)
-
-
-def _ratio_tables(rows) -> Model:
-    """rows: nodes, each after its beginning."""
-    m, seen, d = Model(), {}, DISCOUNT
-
-    def step(q, p):
-        shared = (q[0] + q[1] + 0.5) / (p[0] + p[1] + 20)
-        a, b = ((max(q[c] - d, 0) + (d * p[2 + c] + PRIOR) * shared) / (p[c] + PRIOR) for c in (1, 0))
-        return log(a) - log(b)
-
-    for r in rows:
-        node = (r.k0, r.k1, r.t0, r.t1)
-        if r.b:
-            up = r.b[:-1]
-            m.total[r.b] = m.total[up] + step(node, seen[up])
-        else:
-            m.total[""] = 0.0
-        if r.k0 + r.k1 >= LEAST_SEEN:
-            seen[r.b] = node
-            m.miss[r.b] = step((0, 0), node)
-    return m
+    seen = cut(each.groupBy("g").agg(*both), "toxicity-sample")
+    ahead = F.substr("g", F.lit(1), F.lit(ORDER - 1)).alias("h")
+    types = [F.count(F.when(F.col(f"k{c}") > 0, 1)).alias(f"t{c}") for c in (0, 1)]
+    context = cut(seen.groupBy(ahead).agg(F.sum("k0").alias("n0"), F.sum("k1").alias("n1"), *types), "toxicity-contexts")
+    given = seen.select("g", "k0", "k1", ahead, F.substr("g", F.lit(2), F.lit(ORDER - 1)).alias("l"))
+    given = given.join(context, "h").join(shared.withColumnRenamed("g", "l"), "l")
+
+    def p(c: int) -> str:
+        return f"IF(n{c} > 0, (greatest(k{c} - {DISCOUNT}D, 0D) + ({DISCOUNT}D * t{c} + {PRIOR}D) * s) / (n{c} + {PRIOR}D), s)"
+
+    def rest(c: int) -> str:
+        return f"IF(n{c} > 0, ({DISCOUNT}D * t{c} + {PRIOR}D) / (n{c} + {PRIOR}D), 1D)"
+
+    out = given.selectExpr("g as key", f"ln({p(1)}) - ln({p(0)}) as ratio")
+    return out.unionByName(context.selectExpr("h as key", f"ln({rest(1)}) - ln({rest(0)}) as ratio"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -171,19 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = bounded_sample(known.filter("toxic = 1"), "doc_id", sample).unionByName(bounded_sample(known.filter("toxic = 0"), "doc_id", sample))
     ids = ids.withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(5)))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * sample ids
-    nodes = _nodes(_pairs(rows.filter("_fold > 0")))
-    up = F.col("k0") + F.col("k1")
-    # a beginning comes before its longer ones: it has their count at least, and is shorter
-    top = nodes.orderBy(up.desc(), F.length("b"), "b").limit(MOST_NODES).collect()
-    if not top or not top[0].k0 or not top[0].k1:
+    pairs = cut(_pairs(rows.filter("_fold > 0")), "toxicity-pairs")
+    if pairs.select("toxic").distinct().count() < 2:
         return Model()
-    least = {r.b for r in top if r.k0 + r.k1 >= LEAST_SEEN}
-    model = _ratio_tables([r for r in top if not r.b or r.b[:-1] in least])
+    found = _ratio_table(pairs, _shared(cut(_corpus_sequences(docs), "toxicity-sequences"))).toArrow()  # bounded by the sample
+    model = Model(found.column("key").combine_chunks(), found.column("ratio").combine_chunks())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value.ratios()
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(features(t, ratio)) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
 
     held = rows.filter("_fold = 0").select("text", "toxic").mapInArrow(run, "toxic int, x array<double>").orderBy("toxic", "x").collect()
@@ -194,12 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every document, one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_NODES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         ratio = m.ratios()
-        for b in batches:
+        for b in pieces(batches):
             scores = [m.score(features(t, ratio)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
