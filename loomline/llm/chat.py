@@ -13,8 +13,11 @@ to fit into a row.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import table
 
@@ -35,21 +38,25 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _UNESCAPE, "$1$2")
 
 
+# Names of roles in other layouts.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Mappings by layout. paths: the sorted nested field paths that tell it ([] for the elements of an array). Either
 #: `fields`, the turns as (role, path) in order, where an empty optional text is no turn; or `list`, `role` and
-#: `text`, paths of an array and inside its elements. roles: names that stand for a canonical role.
+#: `text`, paths of an array and inside its elements. optional: paths that may lack, as where all their values are null.
 LAYOUTS: dict[str, dict] = {
-    "messages": {"paths": ("messages", "messages[]", "messages[].content", "messages[].role"), "list": "messages", "role": "role", "text": "content"},
-    "shares": {"paths": ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), "list": "conversations", "role": "from", "text": "value"},
+    "messages": {
+        "paths": ("messages", "messages[]", "messages[].content", "messages[].role"),
+        "optional": ("messages[].content", "messages[].role"),
+        "list": "messages", "role": "role", "text": "content",
+    },
+    "shares": {"paths": ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), "list": "conversations", "role": "from", "text": "value", "roles": ROLES},
     "instruction": {"paths": ("input", "instruction", "output"), "fields": (("user", ("instruction", "input")), ("assistant", ("output",)))},
     "instruction_only": {"paths": ("instruction", "output"), "fields": (("user", ("instruction",)), ("assistant", ("output",)))},
     "prompt": {"paths": ("prompt", "response"), "fields": (("user", ("prompt",)), ("assistant", ("response",)))},
     "prompt_completion": {"paths": ("completion", "prompt"), "fields": (("user", ("prompt",)), ("assistant", ("completion",)))},
     "system_prompt": {"paths": ("prompt", "response", "system"), "fields": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))},
     "turn": {"paths": ("role", "text"), "single": ("role", "text")},
-}
-# Names of roles in other layouts.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+}
 
 
 def fingerprint(paths: Column) -> Column:
@@ -57,8 +64,11 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
-def _known(layout: dict) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(layout["paths"]))))
+def _known(layout: dict) -> list[Column]:
+    """The fingerprints that select a layout: of its paths, with and without each optional one."""
+    must, may = [p for p in layout["paths"] if p not in layout.get("optional", ())], layout.get("optional", ())
+    some = [must + list(x) for k in range(len(may) + 1) for x in combinations(may, k)]
+    return [F.xxhash64(F.lit("\n".join(sorted(paths)))) for paths in some]
 
 
 def json_paths(record: Column) -> Column:
@@ -84,48 +94,74 @@ def json_paths(record: Column) -> Column:
     return F.array_distinct(F.aggregate(tokens, zero, step, lambda acc: acc["out"]))
 
 
-def _role(r: Column) -> Column:
-    out = F.coalesce(r, F.lit(""))
-    for name, canonical in ROLES.items():
-        out = F.when(r == name, F.lit(canonical)).otherwise(out)
-    return out
+def _turn(role: Column, text: Column, layout: dict) -> Column:
+    out = F.coalesce(role, F.lit(""))
+    for name, stands_for in layout.get("roles", {}).items():
+        out = F.when(role == name, F.lit(stands_for)).otherwise(out)
+    return F.struct(out.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _turn(role: str, text: str):
-    return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+def _turns_of(m: dict):
+    return lambda x: _turn(x[m["role"]], x[m["text"]], m)
 
 
-def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """records with fingerprint, layout (null: unknown) and turns, from a column of JSON texts."""
-    v = F.try_parse_json(F.col(record))
-    d = records.withColumn("fingerprint", fingerprint(json_paths(F.col(record))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-
-    def text(path):
-        return F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
+def _mapped(d: DataFrame, names: dict, text_of, list_of) -> DataFrame:
+    """d (with fingerprint) with layout and turns, by the mapping that the fingerprint selects.
 
-    for name, m in LAYOUTS.items():
-        hit = F.col("fingerprint") == _known(m)
+    text_of(path): the text there; list_of(path, role, text): the array there, its elements with these fields.
+    """
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for name, m in names.items():
+        hit = F.col("fingerprint").isin(*_known(m))
         layout = F.when(hit, F.lit(name)).otherwise(layout)
         if "list" in m:
-            items = F.try_variant_get(v, f"$.{m['list']}", f"array<struct<{m['role']}:string,{m['text']}:string>>")
-            got = F.transform(items, _turn(m["role"], m["text"]))
+            got = F.transform(list_of(m["list"], m["role"], m["text"]), _turns_of(m))
         elif "single" in m:
-            got = F.array(F.struct(_role(text(m["single"][0])).alias("role"), text(m["single"][1]).alias("text")))
+            got = F.array(_turn(*map(text_of, m["single"]), m))
         else:
-            one = [F.struct(F.lit(r).alias("role"), F.array_join(F.filter(F.array(*[text(p) for p in ps]), lambda s: s != ""), "\n").alias("text")) for r, ps in m["fields"]]
+            one = [F.struct(F.lit(r).alias("role"), F.array_join(F.filter(F.array(*[text_of(p) for p in ps]), lambda s: s != ""), "\n").alias("text")) for r, ps in m["fields"]]
             got = F.filter(F.array(*one), lambda x: (x["role"] != "system") | (x["text"] != ""))
         turns = F.when(hit, got).otherwise(turns)
     return d.withColumn("layout", layout).withColumn("turns", turns)
 
 
-def typed_turns(rows: DataFrame) -> DataFrame:
-    """Rows whose fields are columns: the same mappings, chosen by the fingerprint of the columns present (role, text), for texts of any size."""
-    present = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("role", "text")]), lambda x: x.isNotNull())
-    d = rows.withColumn("fingerprint", fingerprint(present))
-    hit = F.col("fingerprint") == _known(LAYOUTS["turn"])
-    one = F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("text")))
-    return d.withColumn("layout", F.when(hit, F.lit("turn"))).withColumn("turns", F.when(hit, one))
+def canonical(records: DataFrame, record: str = "record") -> DataFrame:
+    """records with fingerprint, layout (null: unknown) and turns, from a column of JSON texts."""
+    v = F.try_parse_json(F.col(record))
+    d = records.withColumn("fingerprint", fingerprint(json_paths(F.col(record))))
+    return _mapped(
+        d, LAYOUTS,
+        lambda path: F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit("")),
+        lambda path, role, text: F.try_variant_get(v, f"$.{path}", f"array<struct<{role}:string,{text}:string>>"),
+    )
+
+
+def _has(name: str):
+    return lambda x: x[name].isNotNull()
+
+
+def _present(kind: DataType, value: Column, path: str) -> list[tuple[str, Column]]:
+    """Nested field paths of a typed value and whether each is there: not null, or not null in some element."""
+    out = [(path, value.isNotNull())]
+    if isinstance(kind, ArrayType):
+        out.append((path + "[]", F.size(value) > 0))
+        if isinstance(kind.elementType, StructType):
+            for f in kind.elementType:
+                out.append((f"{path}[].{f.name}", F.exists(value, _has(f.name))))
+    elif isinstance(kind, StructType):
+        for f in kind:
+            out += _present(f.dataType, value[f.name], f"{path}.{f.name}")
+    return out
+
+
+def typed_canonical(records: DataFrame, *fields: str) -> DataFrame:
+    """The same of records whose fields are columns, without a limit to the size of texts."""
+    known = [x for f in fields for x in _present(records.schema[f].dataType, F.col(f), f)]
+    paths = F.filter(F.array(*[F.when(there, F.lit(path)) for path, there in known]), lambda x: x.isNotNull())
+    names = {path for path, _ in known}
+    fits = {name: m for name, m in LAYOUTS.items() if set(m["paths"]) <= names}  # the others need paths that no record has
+    d = records.withColumn("fingerprint", fingerprint(paths))
+    return _mapped(d, fits, lambda path: F.coalesce(F.col(path), F.lit("")), lambda path, role, text: F.col(path))
 
 
 def render(turns: Column) -> Column:
@@ -156,25 +192,26 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def format_turns(turns_by_id: DataFrame, key: str) -> DataFrame:
-    """(key, turns) to (key, formatted, loss)."""
-    return turns_by_id.select(key, render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss"))
+def format_turns(turns_by_id: DataFrame, *keys: str) -> DataFrame:
+    """(keys, turns) to (keys, formatted, loss)."""
+    return turns_by_id.select(*keys, render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss"))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) to (conv_id, turns) through the layout mappings."""
-    r = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = typed_turns(r).select("conv_id", "turn", F.explode("turns").alias("t"))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t.role", "t.text"))).alias("_ch"))
-    return g.select("conv_id", F.transform("_ch", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    """Rows (conv_id, turn, role, text) to records (conv_id, messages) of a role and a content each, in order; nulls stay."""
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"), F.col("role").isNull().alias("nr"), F.col("text").isNull().alias("nt"))
+    g = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("_ch"))
+    null = F.lit(None).cast("string")
+    item = lambda x: F.struct(F.when(x["nr"], null).otherwise(x["r"]).alias("role"), F.when(x["nt"], null).otherwise(x["t"]).alias("content"))
+    return g.select("conv_id", F.transform("_ch", item).alias("messages"))
 
 
-def digest(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
+def digest(formatted: DataFrame, *keys: str) -> DataFrame:
     back = formatted.withColumn("_ch", read_back(F.col("formatted")))
     said = F.array_join(F.transform("_ch", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     lost = F.array_join(F.transform("loss", lambda x: unescape(F.substr(F.col("formatted"), (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))), "")
     return back.withColumn("_lost", lost).select(
-        key, F.size("_ch").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        *keys, F.size("_ch").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length("_lost").cast("long").alias("loss_chars"), F.sha2(F.col("_lost").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
@@ -183,7 +220,8 @@ def digest(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r)")
-    return digest(format_turns(conversations(rows.unionByName(odd)), "conv_id"))
+    turns = typed_canonical(conversations(rows.unionByName(odd)), "messages")
+    return digest(format_turns(turns, "conv_id", "layout"), "conv_id", "layout")
 
 
 #: The template adds len(OPEN + SEP + CLOSE) code points a turn and a backslash for each control string.
@@ -192,7 +230,7 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
            UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
 e AS (SELECT *, {len(OPEN + SEP + CLOSE)} + length(role) + length(text)
         + len(regexp_extract_all(text, '[<\[]\\*({_REST})')) AS n FROM r)
-SELECT conv_id, count(*) AS n_turns,
+SELECT conv_id, 'messages' AS layout, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

@@ -20,8 +20,8 @@ def expected(turns):
 
 def digests(spark, rows):
     d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    f = C.format_turns(C.conversations(d), "conv_id")
-    return {r.conv_id: r for r in C.digest(f).collect()}, {r.conv_id: r for r in f.collect()}
+    f = C.format_turns(C.typed_canonical(C.conversations(d), "messages"), "conv_id")
+    return {r.conv_id: r for r in C.digest(f, "conv_id").collect()}, {r.conv_id: r for r in f.collect()}
 
 
 @settings(max_examples=3, deadline=None, phases=[Phase.explicit, Phase.generate])
@@ -69,3 +69,22 @@ def test_layouts(spark):
 def test_paths_are_of_nested_fields(spark):
     d = spark.createDataFrame([('{"a":{"b c":[{"x":1},{"y":[2]}]},"z":null}',)], "r string")
     assert sorted(d.select(C.json_paths(F.col("r")).alias("p")).first().p) == ["a", "a.b c", "a.b c[]", "a.b c[].x", "a.b c[].y", "a.b c[].y[]", "z"]
+
+
+def test_typed_records_take_their_mapping_by_fingerprint(spark, monkeypatch):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, None, None), (3, 0, "user", None), (3, 1, None, None)]
+    d = C.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = {r.conv_id: r for r in C.typed_canonical(d, "messages").collect()}
+    assert {r.layout for r in got.values()} == {"messages"} and len({r.fingerprint for r in got.values()}) == 3
+    assert [tuple(t) for t in got[1].turns] == [("user", "q"), ("assistant", "a")] and [tuple(t) for t in got[2].turns] == [("", "")]
+    same = '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}'
+    assert C.canonical(spark.createDataFrame([(same,)], "record string")).first().fingerprint == got[1].fingerprint
+
+    changed = dict(C.LAYOUTS["messages"], role="content", text="role")
+    monkeypatch.setitem(C.LAYOUTS, "messages", changed)
+    got = {r.conv_id: r for r in C.typed_canonical(d, "messages").collect()}
+    assert [tuple(t) for t in got[1].turns] == [("q", "user"), ("a", "assistant")]
+
+    monkeypatch.delitem(C.LAYOUTS, "messages")
+    got = C.typed_canonical(d, "messages").collect()
+    assert all(r.fingerprint is not None and r.layout is None and r.turns is None for r in got)
