@@ -6,7 +6,7 @@ the document's score. Training is on a bounded sample of labelled documents; sco
 document in one pass without a shuffle.
 
 Cases: a null, empty or blank text is a bag of one empty passage; without labels of both classes every score is
-0.5; equal texts get equal scores; an empty table gives an empty result; columns besides doc_id and text are
+0.5; equal texts get equal scores; a very long text has as many passages as it needs, encoded at once; an empty table gives an empty result; columns besides doc_id and text are
 ignored.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, crc32_mod, table
 from .shingles import arrow_text, word_table
 
-#: Words of a passage; labelled documents of each class, and passages of one of them, that training uses at most.
-PASSAGE, SAMPLE, MOST_PASSAGES = 64, 2500, 64
+#: Words of a passage; labelled documents of each class that training uses at most, with all their passages.
+PASSAGE, SAMPLE = 64, 2500
 HIDDEN, GATE, EPOCHS, RATE = 32, 16, 40, 0.01
 #: Score from which a document is predicted good.
 LEAST = 0.3
@@ -163,13 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
         for b in batches:
             for at, x, of in bags(b.column(2)):
                 first = np.searchsorted(of, np.arange(of[-1] + 2))
-                # evenly spaced passages of longer documents, in training alone
-                blobs = []
-                for i in range(len(first) - 1):
-                    part = x[first[i] : first[i + 1]]
-                    if len(part) > MOST_PASSAGES:
-                        part = part[np.linspace(0, len(part) - 1, MOST_PASSAGES).astype(int)]
-                    blobs.append(part.astype("<f4").tobytes())
+                blobs = [x[i:j].astype("<f4").tobytes() for i, j in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(blobs)), b.column(1).slice(at, len(blobs)), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"])
 
     got = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", "x").collect()
