@@ -9,7 +9,8 @@ exactly scored rows. Equal vectors are stored once, with the smallest ids that a
 
 Cases: null, empty and zero vectors and those with null or non-finite components take no part, nor do vectors of
 another length than the most frequent one; ties go to the smaller id; with fewer than k candidates all are
-returned; repeated rows (same id and vector) count once; an empty table gives an empty result; other columns are
+returned; repeated rows (same id and vector) count once; of several vectors under one id, the smallest is the query and
+the nearest the candidate; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -208,8 +209,9 @@ def _part(k: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles) of the rows that take part."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
+    """vec_id and v (floats stay floats, half the bytes to move; sums are in doubles) of the rows that take part."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.filter(~bad & F.exists("v", lambda x: x != 0))
     sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -220,11 +222,11 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE) -> Da
     """query_id, rank, vec_id, score: for each row of (vec_id, embedding) that is_query selects, its k nearest other rows."""
     spark = vectors.sparkSession
     v = cut(usable(vectors), "ann-vectors")
-    rows = v.count()
+    rows, kind = v.count(), v.schema["v"].dataType.simpleString()
     picked = v.orderBy(F.xxhash64("vec_id", F.lit(31)), "vec_id").limit(sample).select("v").collect()
     if not picked:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index = spark.sparkContext.broadcast(fit(np.array([r.v for r in picked]), rows, k))  # at most MOST_LISTS centroids
+    index = spark.sparkContext.broadcast(fit(np.array([r.v for r in picked], np.float64), rows, k))  # at most MOST_LISTS centroids
     # equal vectors once, with the k + 1 smallest ids: a query can be one of them
     order = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))  # map tasks keep the first ones only
     groups = v.withColumn("_rank", order).filter(F.col("_rank") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -232,7 +234,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE) -> Da
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                r, li = index.value.post(_unit(np.stack(f["v"].to_numpy())))
+                r, li = index.value.post(_unit(np.stack(f["v"].to_numpy()).astype(np.float64)))
                 out = f.iloc[r].copy()
                 out["list"] = li
                 yield out[["list", "v", "ids"]]
@@ -240,18 +242,20 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE) -> Da
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                found = index.value.lists(_unit(np.stack(f["v"].to_numpy())))
+                found = index.value.lists(_unit(np.stack(f["v"].to_numpy()).astype(np.float64)))
                 out = f.iloc[np.repeat(np.arange(len(f)), [len(x) for x in found])].copy()
                 out["list"] = np.concatenate(found)
                 yield out[["list", "vec_id", "v"]]
 
-    posted = cut(groups.mapInPandas(post, "list bigint, v array<double>, ids array<bigint>"), "ann-lists")
+    posted = cut(groups.mapInPandas(post, f"list bigint, v {kind}, ids array<bigint>"), "ann-lists")
     parts = cut(posted.groupBy("list").count().select("list", F.ceil(F.col("count") / MOST_PART).cast("int").alias("parts")), "ann-parts")
-    visits = v.filter(is_query).dropDuplicates(["vec_id"]).mapInPandas(visit, "list bigint, vec_id bigint, v array<double>")
+    queries = v.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    visits = queries.mapInPandas(visit, f"list bigint, vec_id bigint, v {kind}")
     posted = posted.join(parts.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     visits = visits.join(parts.withColumnRenamed("parts", "_n"), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     hits = posted.select("list", "part", "v", "ids").groupBy("list", "part").cogroup(visits.select("list", "part", "vec_id", "v").groupBy("list", "part")).applyInPandas(_part(k), _HITS)
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("_b"))
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("_b"))
     out = best.select("query_id", F.posexplode("_b").alias("_p", "_x"))
     return out.select("query_id", (F.col("_p") + 1).alias("rank"), F.col("_x.vec_id").alias("vec_id"), (-F.col("_x.d")).alias("score"))
 
