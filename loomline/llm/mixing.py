@@ -2,12 +2,12 @@
 
 Every source has a target number of words and a weight schedule over training time 0..1. The integral of the
 schedule is the source's cumulative token demand; inverting it gives the moment at which each of the source's
-words is wanted. Documents of a source stand in an order fixed by a hash of their id; the n-th word of that
+words is wanted. Documents of a source stand in an order fixed by a hash of their id and text; the n-th word of that
 order (counted on through repeated passes) is wanted at the inverse demand of n, and documents are range-sorted
 by that position.
 
 Cases: a null text has no words; a null source is a source of its own, the last; a document without words is
-never placed (taken 0, position null); equal ids are ordered by size and text hash, so repeated rows are
+never placed (taken 0, position null); rows are ordered by a hash of id and text, so only rows that are equal in both are
 interchangeable; an empty table gives an empty result. Other columns of the input are carried along only by
 `place`, and internal names begin with `_mx_`.
 """
@@ -46,8 +46,9 @@ def inverse_demand(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
 
 
 def _keyed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows with their place in the fixed order (md5 of the id) and the range of that order they fall into."""
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    """Rows with their place in the fixed order (md5 of id and text: rows without an id, or of one id, are dealt by their texts) and the range of that order they fall into."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
     return docs.select(
         "*",
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_mx_key"),
@@ -161,7 +162,7 @@ def _sql_inverse(knots) -> str:
 OP10_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS s FROM sized GROUP BY source),
 cls AS (SELECT source, s, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 AS k FROM src),
 caps AS (SELECT *, [3.0, 1.0, 2.0][k + 1]::DOUBLE AS w, 2.0::DOUBLE * s AS cap FROM cls),
