@@ -37,9 +37,10 @@ def upper_camel(s, keep_case: bool = False) -> Column:
 
 
 def prettify(s) -> Column:
-    """Underscores and dashes as spaces; title case only where there is a space then."""
+    """Underscores and dashes as spaces; title case where there is a space then, else an upper-case first letter and the rest as it is."""
     spaced = F.regexp_replace(_c(s), "[_-]", " ")
-    return F.when(spaced.contains(" "), F.initcap(spaced)).otherwise(spaced)
+    one = F.concat(F.upper(F.substr(spaced, F.lit(1), F.lit(1))), F.substr(spaced, F.lit(2)))
+    return F.when(spaced.contains(" "), F.initcap(spaced)).otherwise(one)
 
 
 def without_prefix(s, prefix: str) -> Column:

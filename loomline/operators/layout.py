@@ -22,6 +22,16 @@ def take_while(rows: DataFrame, key: Sequence[str], order: Sequence[str], stop:
     return rows.withColumn("_s", F.max(F.coalesce(stop, F.lit(False)).cast("int")).over(w)).filter("_s = 0").drop("_s")
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], folder: str) -> DataFrame:
+    """rows with position, from 0, in a total order: range-sorted rows are written once, counted by range, and numbered from the counts of the ranges before."""
+    rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(f"{folder}/sorted")
+    d = rows.sparkSession.read.parquet(f"{folder}/sorted").withColumn("_range", F.shiftright("_id", 33))
+    sizes = d.groupBy("_range").agg(F.max(F.expr("_id & ((1L << 33) - 1)") + 1).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(sizes.select("_range", before.alias("_before")), "_range")
+    return d.withColumn("position", F.col("_before") + F.expr("_id & ((1L << 33) - 1)")).drop("_id", "_range", "_before")
+
+
 def first_seen(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     return rows.withColumn("already_seen", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
 
@@ -59,27 +69,46 @@ def anchored_rows(tokens: Column, height: float) -> Column:
     return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
 
 
-def merge_known(tokens: Column, known: Column, sep: str = " ") -> Column:
-    """Texts in which two neighbours that make a known name are joined; a joined one isn't used again."""
+def merge_known(tokens: Column, known: Column) -> Column:
+    """Known names in tokens, spaces left out: two neighbours that make one, else the single token if it is one; the others go."""
+    squashed = F.transform(tokens, lambda t: F.replace(t, F.lit(" ")))
     zero = F.struct(F.lit(None).cast("string").alias("held"), F.array().cast("array<string>").alias("out"))
 
+    def alone(acc):
+        return F.when(F.coalesce(F.array_contains(known, acc["held"]), F.lit(False)), F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
+
     def step(acc, t):
-        joined = F.concat(acc["held"], F.lit(sep), t)
+        joined = F.concat(acc["held"], t)
         hit = F.coalesce(F.array_contains(known, joined), F.lit(False))
-        kept = F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
-        return F.when(hit, F.struct(F.lit(None).cast("string").alias("held"), F.concat(acc["out"], F.array(joined)).alias("out"))).otherwise(F.struct(t.alias("held"), kept.alias("out")))
+        return F.when(hit, F.struct(F.lit(None).cast("string").alias("held"), F.concat(acc["out"], F.array(joined)).alias("out"))).otherwise(F.struct(t.alias("held"), alone(acc).alias("out")))
+
+    return F.aggregate(squashed, zero, step, alone)
+
+
+def merge_wrapped(rows: Column, known: Column) -> Column:
+    """(y, name) of the known names in rows (array of struct y, tokens) in order; a row without any is read together with the next one, at its own y."""
+    line = "struct<y:double,tokens:array<string>>"
+    zero = F.struct(F.lit(None).cast(line).alias("held"), F.array().cast("array<struct<y:double,name:string>>").alias("out"))
+
+    def found(acc, y, names):
+        return F.struct(F.lit(None).cast(line).alias("held"), F.concat(acc["out"], F.transform(names, lambda n: F.struct(y.alias("y"), n.alias("name")))).alias("out"))
 
-    return F.aggregate(tokens, zero, step, lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))))
+    def step(acc, r):
+        y, own = r["y"].cast("double"), merge_known(r["tokens"], known)
+        both = F.when(acc["held"].isNotNull(), merge_known(F.concat(acc["held"]["tokens"], r["tokens"]), known))
+        wait = F.struct(F.struct(y.alias("y"), r["tokens"].alias("tokens")).cast(line).alias("held"), acc["out"].alias("out"))
+        return F.when(F.size(F.coalesce(both, F.array().cast("array<string>"))) > 0, found(acc, acc["held"]["y"], both)).when(F.size(own) > 0, found(acc, y, own)).otherwise(wait)
 
+    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
-def spaced(values: Column, least: float) -> Column:
-    """Values in given order, without those nearer than `least` to one kept before."""
-    zero = F.array().cast("array<double>")
-    return F.aggregate(values, zero, lambda acc, v: F.when(F.exists(acc, lambda k: F.abs(k - v) <= least), acc).otherwise(F.concat(acc, F.array(v.cast("double")))))
+
+def spaced(kept: Column, more: Column, least: float) -> Column:
+    """All of `kept`, then in order those of `more` that are farther than `least` from every value kept so far."""
+    return F.aggregate(more, kept.cast("array<double>"), lambda acc, v: F.when(F.exists(acc, lambda k: F.abs(k - v) <= least), acc).otherwise(F.concat(acc, F.array(v.cast("double")))))
 
 
 def greedy_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, side, ord, y, text): in the order of names, each takes the nearest unused value by y, the first on ties; (key, name, value)."""
+    """rows (key, side, ord, y, text): in the order of names, each takes the nearest unused value by y, on ties the upper one, then by text; (key, name, value)."""
     sides = [F.filter(F.array_sort(F.collect_list(F.struct("ord", F.col("y").cast("double").alias("y"), "text", "side"))), lambda t: t["side"] == s).alias(s) for s in ("name", "value")]
     g = rows.groupBy(key).agg(*sides)
     kind = "array<struct<ord:bigint,y:double,text:string>>"
@@ -87,7 +116,7 @@ def greedy_pairs(rows: DataFrame, key: str) -> DataFrame:
     zero = F.struct(values.alias("left"), F.array().cast("array<struct<name:string,value:string>>").alias("out"))
 
     def step(acc, n):
-        best = F.array_min(F.transform(acc["left"], lambda v: F.struct(F.abs(v["y"] - n["y"]).alias("d"), v["ord"].alias("ord"), v["text"].alias("text"))))
+        best = F.array_min(F.transform(acc["left"], lambda v: F.struct(F.abs(v["y"] - n["y"]).alias("d"), v["y"].alias("y"), v["text"].alias("text"), v["ord"].alias("ord"))))
         taken = F.concat(acc["out"], F.array(F.struct(n["text"].alias("name"), best["text"].alias("value"))))
         rest = F.filter(acc["left"], lambda v: v["ord"] != best["ord"])
         return F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(rest.alias("left"), taken.alias("out")))
@@ -96,23 +125,20 @@ def greedy_pairs(rows: DataFrame, key: str) -> DataFrame:
 
 
 def best_chain(rows: DataFrame, key: str, overlap: float = 0.35) -> DataFrame:
-    """rows (key, x0, x1, text, conf): the text of the chain of hardly overlapping tokens, each farther right, that reaches farthest right, then is longest, widest and surest; (key, digits)."""
-    tokens = F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "text", F.col("conf").cast("double").alias("conf"))))
-    # the best chain that ends with each token so far
-    zero = F.array().cast("array<struct<x1:double,length:int,width:double,conf:double,text:string,x0:double>>")
-
-    def chain(length, width, conf, text, t):
-        return F.struct(t["x1"].alias("x1"), length.alias("length"), width.alias("width"), conf.alias("conf"), text.alias("text"), t["x0"].alias("x0"))
-
-    def step(acc, t):
-        width = t["x1"] - t["x0"]
-        alone = chain(F.length(t["text"]), width, t["conf"], t["text"], t)
-
-        def joins(c):
-            common = F.least(t["x1"], c["x1"]) - F.greatest(t["x0"], c["x0"])
-            return (common < overlap * F.greatest(F.least(width, c["x1"] - c["x0"]), F.lit(1e-9))) & (t["x1"] > c["x1"])
-
-        longer = F.transform(F.filter(acc, joins), lambda c: chain(c["length"] + F.length(t["text"]), c["width"] + width, c["conf"] + t["conf"], F.concat(c["text"], t["text"]), t))
-        return F.concat(acc, F.array(F.array_max(F.concat(longer, F.array(alone)))))
-
-    return rows.groupBy(key).agg(tokens.alias("_t")).select(key, F.array_max(F.aggregate("_t", zero, step))["text"].alias("digits"))
+    """rows (key, x0, x1, text, conf) to (key, number): the digits of tokens joined from left to right.
+
+    A chain ends where a token strongly overlaps the one before it; of the chains the one that reaches farthest right
+    counts, then the one with most digits, the widest, the surest, the first. Any part of a chain reaches no farther
+    and has fewer digits than the whole, so whole chains are all that need be compared. 0 where no token has digits.
+    """
+    d = rows.select(key, F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), F.regexp_replace("text", "[^0-9]", "").alias("t"), F.col("conf").cast("double").alias("conf"))
+    w = Window.partitionBy(key).orderBy("x0", "x1", -F.length("t"), -F.col("conf"), "t")
+    some = d.filter("t <> ''").withColumn("_n", F.row_number().over(w)).withColumn("_a", F.lag("x0").over(w)).withColumn("_b", F.lag("x1").over(w))
+    common = F.least("x1", "_b") - F.greatest("x0", "_a")
+    narrow = F.least(F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)), F.greatest(F.col("_b") - F.col("_a"), F.lit(1.0)))
+    cut = F.coalesce((common > 0) & (common / narrow >= overlap), F.lit(False))
+    chains = some.withColumn("_c", F.sum(cut.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "t"))), lambda x: x["t"]), "")
+    chains = chains.groupBy(key, "_c").agg(digits.alias("t"), F.max("x1").alias("x1"), F.min("x0").alias("x0"), F.sum("conf").alias("conf"))
+    best = chains.groupBy(key).agg(F.max_by("t", F.struct("x1", F.length("t"), F.col("x1") - F.col("x0"), "conf", -F.col("_c"))).alias("_t"))
+    return rows.select(key).distinct().join(best, key, "left").select(key, F.coalesce(F.col("_t").try_cast("bigint"), F.lit(0)).alias("number"))

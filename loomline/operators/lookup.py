@@ -79,9 +79,13 @@ def coverage(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 def unless_present(rows: DataFrame, section: str, stronger: str, components: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Drop rows of component sections where the stronger section is present (in the same group)."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    has = F.max((F.col(section) == stronger).cast("int")).over(w) == 1
-    return rows.withColumn("_has", has).filter(~(F.col("_has") & F.col(section).isin(*components))).drop("_has")
+    found = rows.filter(F.col(section) == stronger)
+    weaker = F.col(section).isin(*components)
+    if by:
+        suppressed = rows.filter(weaker).join(found.select(*by).distinct(), list(by), "left_anti").select(*rows.columns)
+    else:
+        suppressed = rows.filter(weaker).join(found.limit(1).agg((F.count("*") > 0).alias("_has")), F.lit(True)).filter("not _has").drop("_has")  # one row
+    return rows.filter(~F.coalesce(weaker, F.lit(False))).unionByName(suppressed)
 
 
 def nearest(rows: DataFrame, refs: DataFrame, distance: Column, row_key: Sequence[str], label: str, order: str) -> DataFrame:

@@ -8,22 +8,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of a dictionary that is handed to every worker, at most.
-MOST_NAMES = 50_000
+#: Names of a dictionary that one worker compares with; larger dictionaries are dealt into blocks, and texts over so many tasks a block.
+MOST_NAMES, TASKS = 50_000, 8
 
 
 def _ratio_matcher(names: list[str], cutoff: float):
+    """The most similar of sorted names, the first on ties; only names of a length that allows the cutoff are compared."""
     from difflib import SequenceMatcher
 
+    by_length: dict[int, list[str]] = {}
+    for n in names:
+        by_length.setdefault(len(n), []).append(n)
+
     def best(word: str) -> tuple[str | None, float | None]:
-        m = SequenceMatcher()
+        m, top = SequenceMatcher(autojunk=False), (None, None)
         m.set_seq2(word)
-        top: tuple[float, int] | None = None
-        for i, n in enumerate(names):
-            m.set_seq1(n)
-            if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff and (top is None or r > top[0]):
-                top = (r, i)
-        return (names[top[1]], top[0]) if top else (None, None)
+        for length, some in by_length.items():
+            if 2 * min(length, len(word)) < cutoff * (length + len(word)) and length + len(word):
+                continue
+            for n in some:
+                m.set_seq1(n)
+                if m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff and (top[0] is None or (r, top[0]) > (top[1], n)):
+                    top = (n, r)
+        return top
 
     return best
 
@@ -31,32 +38,56 @@ def _ratio_matcher(names: list[str], cutoff: float):
 def fuzzy_best_match(rows: DataFrame, text: str, names: DataFrame, name: str, cutoff: float = 0.75) -> DataFrame:
     """rows with match and ratio: the equal name, else the most similar one (matching-blocks ratio) from the cutoff on, the first in name order on ties.
 
-    Only distinct texts without an equal name are compared; the dictionary has to have MOST_NAMES names at most.
+    Only distinct texts without an equal name are compared, with blocks of the dictionary of MOST_NAMES names or so.
     """
     dictionary = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
-    listed = sorted(r[0] for r in dictionary.limit(MOST_NAMES + 1).collect())
-    if len(listed) > MOST_NAMES:
-        raise ValueError(f"a fuzzy dictionary holds {MOST_NAMES} names at most")
     distinct = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct()
     exact = distinct.join(dictionary, F.col("_text") == F.col("_name")).select("_text", F.col("_name").alias("match"), F.lit(1.0).alias("ratio"))
     rest = distinct.join(dictionary, F.col("_text") == F.col("_name"), "left_anti")
+    blocks = max(1, -(-dictionary.count() // MOST_NAMES))
+    some = dictionary.withColumn("_block", F.pmod(F.xxhash64("_name"), F.lit(blocks))).withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(TASKS - 1))))
+    asked = rest.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).withColumn("_task", F.pmod(F.xxhash64("_text"), F.lit(TASKS)).cast("int"))
+
+    def run(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        best = _ratio_matcher(sorted(listed["_name"]), cutoff)
+        got = [(t, *best(t)) for t in texts["_text"]]
+        return pd.DataFrame([g for g in got if g[1] is not None], columns=["_text", "match", "ratio"]).astype({"_text": object, "match": object, "ratio": float})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _ratio_matcher(listed, cutoff)
-        for f in frames:
-            got = [best(t) for t in f["_text"]]
-            yield pd.DataFrame({"_text": f["_text"], "match": [g[0] for g in got], "ratio": [g[1] for g in got]})
+    found = asked.groupBy("_block", "_task").cogroup(some.groupBy("_block", "_task")).applyInPandas(run, "_text string, match string, ratio double")
+    found = found.groupBy("_text").agg(F.min_by("match", F.struct(-F.col("ratio"), "match")).alias("match"), F.max("ratio").alias("ratio"))
+    return rows.join(exact.unionByName(found), F.col(text) == F.col("_text"), "left").drop("_text")
 
-    found = exact.unionByName(rest.mapInPandas(run, "_text string, match string, ratio double"))
-    return rows.join(found, F.col(text) == F.col("_text"), "left").drop("_text")
+
+def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """(start from 0, length) of the i-th of so many even segments of a text; the longer ones are the last."""
+    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    return (base * i + F.greatest(F.lit(0), i - parts + longer)).cast("int"), base + (longer + i >= parts).cast("int")
 
 
 def edit_distance_best_match(rows: DataFrame, text: str, names: DataFrame, name: str, most: int) -> DataFrame:
-    """rows with match and distance: the name with the fewest edits, `most` at most, the first in name order on ties. Texts are paired with names of about their length only."""
-    d = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct().withColumn("_len", F.length("_text"))
+    """rows with match and distance: the name with the fewest edits, `most` at most, the first in name order on ties.
+
+    A name cut into most + 1 segments keeps one of them whole, moved by `most` places at most, in every text that near:
+    so texts meet names on length, segment number and segment, not on their length alone.
+    """
+    parts = most + 1
+    d = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct()
     n = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
-    n = n.withColumn("_len", F.explode(F.sequence(F.length("_name") - most, F.length("_name") + most)))
-    pairs = d.join(n, "_len").withColumn("_d", F.levenshtein("_text", "_name", most)).filter("_d >= 0")
+
+    def own(i: int) -> Column:
+        start, size = _segment(F.length("_name"), i, parts)
+        return F.struct(F.length("_name").alias("l"), F.lit(i).alias("i"), F.substr("_name", start + 1, size).alias("s"))
+
+    def seen(i: int, by: int) -> Column:
+        start, size = _segment(F.col("_l"), i, parts)
+        at = start + by
+        return F.when((at >= 0) & (at + size <= F.length("_text")), F.struct(F.col("_l").alias("l"), F.lit(i).alias("i"), F.substr("_text", at + 1, size).alias("s")))
+
+    lengths = F.explode(F.sequence(F.greatest(F.length("_text") - most, F.lit(0)), F.length("_text") + most))
+    met = F.explode(F.array_distinct(F.array_compact(F.array(*[seen(i, by) for i in range(parts) for by in range(-most, most + 1)]))))
+    a = d.withColumn("_l", lengths).select("_text", met.alias("_k"))
+    b = n.select("_name", F.explode(F.array(*[own(i) for i in range(parts)])).alias("_k"))
+    pairs = a.join(b, "_k").select("_text", "_name").distinct().withColumn("_d", F.levenshtein("_text", "_name", most)).filter("_d >= 0")
     best = pairs.groupBy("_text").agg(F.min_by("_name", F.struct("_d", "_name")).alias("match"), F.min("_d").alias("distance"))
     return rows.join(best, F.col(text) == F.col("_text"), "left").drop("_text")
 

@@ -16,6 +16,9 @@ PERCENT_TOLERANCE, FLAT_TOLERANCE = 0.4, 0.5
 COSTS, TOP_LEVEL, RARITY = (1, 3, 4), 25, 5
 #: Names that may occur both flat and in percent.
 BOTH_FORMS = ("hp", "atk", "def")
+# Names that only a record of cost 3, or of cost 4, rolls.
+ONLY_THREE = ("er%", "fusion%", "havoc%", "spectro%", "electro%", "aero%", "glacio%")
+ONLY_FOUR = ("cr%", "cd%", "healing%")
 
 
 def _some(*checks: Column) -> Column:
@@ -42,10 +45,10 @@ def tier_message(name: Column, value: Column, tiers: Column) -> tuple[Column, Co
 
 
 def infer_cost(main_names: Column) -> Column:
-    """1 for a fixed hp; with a fixed atk, 3 or 4 by a name that only one of them rolls; else null."""
-    three = F.exists(main_names, lambda n: n.rlike("dmg|energy"))
-    four = F.exists(main_names, lambda n: n.rlike("crit|heal"))
-    return F.when(F.array_contains(main_names, "hp"), 1).when(F.array_contains(main_names, "atk") & three, 3).when(F.array_contains(main_names, "atk") & four, 4)
+    """1 for a flat hp; with a flat atk, 3 or 4 by the first name that only one of them rolls; else null."""
+    telling = F.get(F.filter(main_names, lambda n: n.isin(*ONLY_THREE, *ONLY_FOUR)), 0)
+    by_roll = F.when(telling.isin(*ONLY_FOUR), 4).when(telling.isin(*ONLY_THREE), 3)
+    return F.when(F.array_contains(main_names, "hp"), 1).when(F.array_contains(main_names, "atk"), by_roll)
 
 
 def validate(records: DataFrame, stats: DataFrame, rules_main: DataFrame, rules_sub: DataFrame, rules_max: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import layout as W
 from ..operators import aggregate as A
 from ..operators import filters as P
 from ..operators import lookup as J
+from ..streaming import adapters as S
 from .registry import query, table
 
 
@@ -188,14 +190,12 @@ def record_round_trip(spark, d):
 
 
 @query("""
-SELECT doc_id, rn FROM (SELECT p_partkey AS doc_id, row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_size END NULLS LAST, p_name, p_partkey) AS rn FROM part) WHERE rn <= 100
+SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_size END NULLS LAST, p_name, p_partkey) - 1 AS position FROM part
 """)
 def sort_nulls_last(spark, d):
-    """The first hundred positions of a report."""
-    p = table(spark, d, "part").withColumn("s", F.when(F.col("p_size") <= 40, F.col("p_size")))
-    top = p.orderBy(F.col("s").asc_nulls_last(), "p_name", "p_partkey").limit(100)
-    w = Window.orderBy(F.col("s").asc_nulls_last(), "p_name", "p_partkey")
-    return top.select(F.col("p_partkey").alias("doc_id"), F.row_number().over(w).alias("rn"))
+    """Positions of all rows, counted by ranges of the order."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("s"))
+    return W.numbered(p, [F.col("s").asc_nulls_last(), F.col("p_name"), F.col("p_partkey")], S.work_folder(spark)).select("p_partkey", "position")
 
 
 @query("""

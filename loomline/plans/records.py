@@ -13,7 +13,9 @@ from ..operators import incremental as C
 from ..operators import layout as W
 from ..operators import lookup as J
 from ..operators import match as M
+from ..operators import records as G
 from ..operators import validate as V
+from ..sources import readers as R
 from ..streaming import adapters as S
 from .registry import query, table
 
@@ -300,44 +302,183 @@ def representative(spark, d):
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Words of part names as tokens of one image per name, with made positions."""
-    p = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("ord", "text"))
-    return p.withColumn("y", F.col("ord") * 7.0 + F.col("p_partkey") % 5)
+    """Words of parts as tokens of one image per name, with made positions."""
+    words = F.concat(F.split("p_name", " "), F.array("p_type", "p_brand"))
+    p = table(spark, d, "part").select("p_partkey", F.posexplode(words).alias("ord", "text"))
+    return p.withColumn("y", F.col("ord") * 7.0 + F.col("p_partkey") % 5 * F.col("ord"))
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS text, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS ord FROM part UNION ALL SELECT p_partkey, p_type, 2 FROM part UNION ALL SELECT p_partkey, p_brand, 3 FROM part),
+t AS (SELECT p_partkey, ord, ord * 7.0 + p_partkey % 5 * ord AS y, row_number() OVER (PARTITION BY p_partkey ORDER BY ord * 7.0 + p_partkey % 5 * ord, ord) AS rn FROM w),
+r AS (SELECT p_partkey, rn, y AS a, 1 AS n FROM t WHERE rn = 1 UNION ALL SELECT t.p_partkey, t.rn, CASE WHEN t.y - r.a > 9 THEN t.y ELSE r.a END, r.n + (t.y - r.a > 9)::INT FROM r JOIN t ON t.p_partkey = r.p_partkey AND t.rn = r.rn + 1)
+SELECT p_partkey, string_agg(n::VARCHAR, ',' ORDER BY rn) AS rows FROM r GROUP BY 1
+""")
 def anchored_rows(spark, d):
     """W2."""
     t = _tokens(spark, d).groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("y", "ord", "text"))).alias("t"))
     return t.select("p_partkey", F.array_join(F.transform(W.anchored_rows(F.col("t"), 9.0), lambda x: x.cast("string")), ",").alias("rows"))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT l_orderkey AS k, list(['crit', 'ra te', 'rate', 'dmg', 'zz'][l_partkey % 5 + 1] ORDER BY l_linenumber, l_partkey, l_suppkey) AS raw FROM lineitem GROUP BY 1),
+r AS (SELECT k, list_transform(raw, lambda x: replace(x, ' ', '')) AS w, 1 AS i, []::VARCHAR[] AS out FROM t
+  UNION ALL SELECT k, w, CASE WHEN list_contains(['critrate', 'dmg', 'rate'], w[i] || w[i + 1]) THEN i + 2 ELSE i + 1 END,
+   CASE WHEN list_contains(['critrate', 'dmg', 'rate'], w[i] || w[i + 1]) THEN list_append(out, w[i] || w[i + 1]) WHEN list_contains(['critrate', 'dmg', 'rate'], w[i]) THEN list_append(out, w[i]) ELSE out END FROM r WHERE i <= len(w))
+SELECT k AS l_orderkey, array_to_string(out, '|') AS names FROM r WHERE i > len(w)
+""")
 def known_name_merge(spark, d):
-    """W3, W4."""
-    known = F.array(F.lit("small ring"), F.lit("red widget"), F.lit("hot gear"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(W.merge_known(F.split("p_name", " "), known), "|").alias("merged"))
+    """W3."""
+    known = F.array(F.lit("critrate"), F.lit("dmg"), F.lit("rate"))
+    words = F.array(*[F.lit(x) for x in ("crit", "ra te", "rate", "dmg", "zz")])
+    li = table(spark, d, "lineitem").select("l_orderkey", F.struct(*_LINE_ORDER).alias("o"), F.get(words, (F.col("l_partkey") % 5).cast("int")).alias("w"))
+    t = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "w"))), lambda x: x["w"]).alias("t"))
+    return t.select("l_orderkey", F.array_join(W.merge_known(F.col("t"), known), "|").alias("names"))
 
 
 @query()
+def wrapped_names(spark, d):
+    """A row without a known name is read with the next one."""
+    known = F.array(F.lit("critrate"), F.lit("dmgbonus"), F.lit("hp"))
+    words = F.array(*[F.lit(x) for x in ("crit", "rate", "dmg", "bonus", "hp", "zz")])
+
+    def word(c):
+        return F.get(words, (F.col(c) % 6).cast("int"))
+
+    li = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.struct(*_LINE_ORDER).alias("o"), F.array(word("l_partkey"), word("l_suppkey")).alias("tokens")).alias("r"))
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("t"))
+    rows = rows.select("l_orderkey", F.transform("t", lambda r: F.struct(r["o"]["l_linenumber"].cast("double").alias("y"), r["tokens"].alias("tokens"))).alias("t"))
+    return rows.select("l_orderkey", F.array_join(F.transform(W.merge_wrapped(F.col("t"), known), lambda x: F.concat_ws(":", x["y"].cast("int").cast("string"), x["name"])), "|").alias("names"))
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey AS k, CASE WHEN l_linestatus = 'O' THEN 'name' ELSE 'value' END AS side, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_quantity AS y, l_partkey::VARCHAR AS text FROM lineitem),
+g AS (SELECT k, list({'y': y, 'text': text, 'ord': ord} ORDER BY ord) FILTER (WHERE side = 'value') AS free, list({'y': y, 'text': text} ORDER BY ord) FILTER (WHERE side = 'name') AS names FROM l GROUP BY 1),
+r AS (SELECT k, 1 AS i, names, free, NULL::VARCHAR AS name, NULL::VARCHAR AS value FROM g WHERE names IS NOT NULL AND free IS NOT NULL
+  UNION ALL SELECT k, i + 1, names, list_filter(free, lambda v: v.ord <> b.ord), names[i].text, b.text
+  FROM (SELECT *, list_min(list_transform(free, lambda v: {'d': abs(v.y - names[i].y), 'y': v.y, 'text': v.text, 'ord': v.ord})) AS b FROM r WHERE i <= len(names) AND len(free) > 0))
+SELECT k AS l_orderkey, name, value FROM r WHERE i > 1
+""")
 def greedy_pairs(spark, d):
     """J13."""
     li = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "O", "name").otherwise("value").alias("side"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)).alias("ord"), F.col("l_quantity").alias("y"), F.col("l_partkey").cast("string").alias("text"))
     return W.greedy_pairs(li, "l_orderkey")
 
 
-@query()
+@query("""
+WITH t AS (SELECT l_orderkey AS k, l_quantity AS x0, l_quantity + 1 + l_linenumber AS x1, regexp_replace(CASE WHEN l_partkey % 7 = 0 THEN 'x' ELSE l_partkey % 100 || 'x' END, '[^0-9]', '', 'g') AS t, l_discount AS c FROM lineitem),
+n AS (SELECT *, row_number() OVER o AS n, lag(x0) OVER o AS a, lag(x1) OVER o AS b FROM t WHERE t <> '' WINDOW o AS (PARTITION BY k ORDER BY x0, x1, -length(t), -c, t)),
+s AS (SELECT *, sum(coalesce(least(x1, b) - greatest(x0, a) > 0 AND (least(x1, b) - greatest(x0, a)) / least(greatest(x1 - x0, 1.0), greatest(b - a, 1.0)) >= 0.35, false)::INT) OVER (PARTITION BY k ORDER BY n) AS chain FROM n),
+g AS (SELECT k, chain, string_agg(t, '' ORDER BY n) AS t, max(x1) AS x1, max(x1) - min(x0) AS w, sum(c) AS c FROM s GROUP BY 1, 2),
+b AS (SELECT k, t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x1 DESC, length(t) DESC, w DESC, c DESC, chain) AS rn FROM g) WHERE rn = 1)
+SELECT k AS l_orderkey, coalesce(try_cast(b.t AS BIGINT), 0) AS number FROM (SELECT DISTINCT k FROM t) LEFT JOIN b USING (k)
+""")
 def digit_chain(spark, d):
     """W9."""
-    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 1 + F.col("l_linenumber")).alias("x1"), (F.col("l_partkey") % 100).cast("string").alias("text"), F.col("l_discount").alias("conf"))
+    text = F.when(F.col("l_partkey") % 7 == 0, "x").otherwise(F.concat((F.col("l_partkey") % 100).cast("string"), F.lit("x")))
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 1 + F.col("l_linenumber")).alias("x1"), text.alias("text"), F.col("l_discount").alias("conf"))
     return W.best_chain(li, "l_orderkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (SELECT user_id, coalesce(list(value ORDER BY event_id) FILTER (WHERE event_type = 'error'), []) AS kept, coalesce(list(value ORDER BY event_id) FILTER (WHERE event_type <> 'error'), []) AS more FROM events GROUP BY 1),
+r AS (SELECT user_id, 1 AS i, kept, more FROM g UNION ALL SELECT user_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(k - more[i]) <= 2)) > 0 THEN kept ELSE list_append(kept, more[i]) END, more FROM r WHERE i <= len(more))
+SELECT user_id, len(kept)::INT AS kept FROM r WHERE i > len(more)
+""")
 def spaced_values(spark, d):
-    """W10."""
-    v = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return v.select("user_id", F.size(W.spaced(F.col("v"), 20.0)).alias("kept"))
+    """Values of the first pass stay, others are added where none is near."""
+
+    def those(which):
+        return F.transform(F.filter("v", which), lambda x: x["value"])
+
+    v = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("v"))
+    return v.select("user_id", F.size(W.spaced(those(lambda x: x["event_type"] == "error"), those(lambda x: x["event_type"] != "error"), 2.0)).alias("kept"))
+
+
+# Records
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, p_size AS n, [20, 40, 50, 60, 70, 80, 90, 33][p_size % 8 + 1] AS cap, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS name FROM part)
+SELECT k AS p_partkey, CASE WHEN kind = 0 THEN '{"' || k || '":{"level":' || n || ',"rank":2}}' WHEN kind = 1 THEN '{"note":"' || name || '"}'
+  ELSE '{"' || k || '":{"level":' || (CASE WHEN kind = 3 THEN 0 ELSE n END) || ',"ascension":' || (CASE cap WHEN 20 THEN 0 WHEN 40 THEN 1 WHEN 50 THEN 2 WHEN 60 THEN 3 WHEN 70 THEN 4 WHEN 80 THEN 5 WHEN 90 THEN 6 ELSE 0 END) || ',"rank":1'
+   || (CASE WHEN name <> '' THEN ',"weapon_key":"' || name || '"' ELSE '' END) || ',"maxLevel":' || cap || '}}' END AS record, CASE WHEN kind = 1 THEN '{"note":"' || name || '"}' ELSE k::VARCHAR END AS bare FROM e
+""")
+def gear_records(spark, d):
+    """Rows of both shapes, a level that is no number, and unrecognised ones; the unwrapped id."""
+    p = table(spark, d, "part").withColumn("kind", F.col("p_partkey") % 4).withColumn("cap", F.get(F.array(*[F.lit(x) for x in (20, 40, 50, 60, 70, 80, 90, 33)]), F.col("p_size") % 8))
+    name = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name"))
+    keyed = F.to_json(F.create_map(F.col("p_partkey").cast("string"), F.struct(F.col("p_size").alias("level"), F.lit(2).alias("rank"))))
+    level = F.when(F.col("kind") == 3, "none").otherwise(F.col("p_size").cast("string"))
+    modern = F.to_json(F.struct(F.col("p_partkey").alias("id"), name.alias("weapon_key"), level.alias("level"), F.col("cap").alias("maxLevel")))
+    other = F.to_json(F.struct(name.alias("note")))
+    entry = F.when(F.col("kind") == 0, keyed).when(F.col("kind") == 1, other).otherwise(modern)
+    bare = F.when(F.col("kind") == 0, F.col("p_partkey").cast("string")).otherwise(entry)
+    return p.select("p_partkey", G.canonical_gear(entry).alias("record"), G.unwrap_id(bare).alias("bare"))
+
+
+@query("""
+SELECT p_partkey, 'basic=' || p_size || (CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ',forte=' || (p_size + 1) END) || ',intro=' || (p_size // 2) AS talents FROM part
+""")
+def talent_names(spark, d):
+    """P20."""
+    half = F.floor(F.col("p_size") / 2).cast("string")
+    forte = F.when(F.col("p_partkey") % 3 == 0, "-").otherwise(F.concat((F.col("p_size") + 1).cast("string"), F.lit(".7")))
+    skills = F.create_map(F.lit("normal"), F.col("p_size").cast("string"), F.lit("forte"), forte, F.lit("intro"), half, F.lit("other"), F.lit("9"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.map_entries(G.talents(skills)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("talents"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, ['HP', 'Crit. Rate', 'skill%', 'Skill DMG', 'atk', 'basic attack', 'DEF%', 'Odd name', 'hp flat'][p_partkey % 9 + 1] AS n, p_partkey % 9 AS i, p_size % 2 = 0 AS percent, p_size % 3 = 0 AS main FROM part)
+SELECT p_partkey, CASE i WHEN 0 THEN CASE WHEN percent OR main THEN 'HP' ELSE 'HP_FLAT' END WHEN 1 THEN 'CritRate' WHEN 2 THEN 'ResonanceSkillDMGBonus' WHEN 3 THEN 'ResonanceSkillDMGBonus'
+  WHEN 4 THEN CASE WHEN percent OR main THEN 'ATK' ELSE 'ATK_FLAT' END WHEN 5 THEN CASE WHEN percent THEN 'BasicAttackDMGBonus' ELSE 'BasicAttack' END WHEN 6 THEN 'DEF' WHEN 7 THEN 'OddName' ELSE 'HP_FLAT' END AS token FROM s
+""")
+def stat_tokens(spark, d):
+    """F21."""
+    names = F.array(*[F.lit(x) for x in ("HP", "Crit. Rate", "skill%", "Skill DMG", "atk", "basic attack", "DEF%", "Odd name", "hp flat")])
+    value = F.when(F.col("p_size") % 2 == 0, "7.5%").otherwise("30")
+    return table(spark, d, "part").select("p_partkey", G.stat_token(F.get(names, (F.col("p_partkey") % 9).cast("int")), value, F.col("p_size") % 3 == 0).alias("token"))
+
+
+@query("""
+WITH o AS (SELECT l_returnflag AS section, l_partkey AS id, sum(l_linenumber)::BIGINT AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2), w AS (SELECT l_returnflag AS section, l_partkey AS id, sum(l_linenumber)::BIGINT AS n FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'N' GROUP BY 1, 2)
+SELECT section, id, sum(n)::BIGINT AS n FROM (SELECT * FROM o WHERE section = 'A' UNION ALL SELECT * FROM w WHERE section = 'A') GROUP BY 1, 2
+UNION ALL SELECT * FROM w WHERE section <> 'A' UNION ALL SELECT * FROM o WHERE section <> 'A' AND section NOT IN (SELECT section FROM w)
+""")
+def export_merge(spark, d):
+    """One section is summed, the others replaced."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("section"), F.col("l_partkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("n"), "l_linestatus")
+    old, new = (li.filter(c).groupBy("section", "id").agg(F.sum("n").alias("n")) for c in ("l_linestatus = 'F'", "l_linestatus = 'O' and section <> 'N'"))
+    return G.merge_exports(old, new, "section", "id", "n", ["A"])
+
+
+@query("""
+WITH p AS (SELECT vec_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, floor(v::DOUBLE * 1000)::BIGINT AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)), q AS (SELECT vec_id, * FROM (SELECT DISTINCT vec_id FROM embeddings), (VALUES (0, 0), (3, 4), (7, 2)) t(px, py))
+SELECT p.vec_id, px AS x, py AS y, round_even(median(v), 0)::BIGINT AS v FROM q JOIN p ON p.vec_id = q.vec_id AND abs(x - px) <= 1 AND abs(y - py) <= 1 GROUP BY 1, 2, 3
+""")
+def neighbourhood_median(spark, d):
+    """Vectors as small images."""
+    p = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    p = p.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.floor(F.col("v").cast("double") * 1000).alias("v"))
+    at = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (3, 4), (7, 2))]))
+    points = table(spark, d, "embeddings").select("vec_id").distinct().select("vec_id", at.alias("p")).select("vec_id", "p.x", "p.y")
+    return G.neighbourhood_median(p, points, "vec_id", "v", 1)
+
+
+@query("SELECT l_orderkey, count(DISTINCT (l_linenumber, l_quantity, l_tax)) AS colours, min(l_linenumber) AS min_r, max(l_linenumber) AS max_r, min(l_quantity) AS min_g, max(l_quantity) AS max_g, min(l_tax) AS min_b, max(l_tax) AS max_b FROM lineitem GROUP BY 1")
+def colour_summary(spark, d):
+    """A28."""
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("r"), F.col("l_quantity").alias("g"), F.col("l_tax").alias("b"))
+    return G.colour_summary(li, "l_orderkey", ["r", "g", "b"])
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 3 END AS cost FROM part
+""")
+def inferred_cost(spark, d):
+    """The cost that main names tell."""
+    names = F.array(*[F.array(*[F.lit(x) for x in n]) for n in (("hp", "cr%"), ("er%", "atk"), ("atk", "cd%"), ("atk", "havoc%", "cr%"), ("atk", "hp%"))])
+    return table(spark, d, "part").select("p_partkey", V.infer_cost(F.get(names, (F.col("p_partkey") % 5).cast("int"))).alias("cost"))
 
 
 # Scalar functions
@@ -385,8 +526,7 @@ def json_path(spark, d):
 def split_log(spark, d):
     """S19."""
     lines = table(spark, d, "pages").select("page_id", F.concat_ws("\x1f", F.col("page_id").cast("string"), "url", F.lit("x")).alias("l"))
-    parts = F.split("l", "\x1f", 3)
-    return lines.select("page_id", F.get(parts, 0).alias("a"), F.get(parts, 1).alias("b"), F.get(parts, 2).alias("c"))
+    return R.split_log(lines, "l", ("a", "b", "c")).select(F.col("a").cast("bigint").alias("page_id"), "a", "b", "c")
 
 
 # Validation
@@ -394,13 +534,12 @@ def split_log(spark, d):
 
 @query("""
 WITH x AS (SELECT p_partkey, p_retailprice AS v, [905.0, 925.0, 950.0, 975.0, 995.0]::DOUBLE[] AS tiers FROM part)
-SELECT p_partkey, list_min(list_transform(tiers, lambda t: {'d': round(abs(t - v), 6), 't': t})).t AS tier FROM x
+SELECT p_partkey, list_min(list_transform(tiers, lambda t: {'d': abs(t - v), 't': t})).t AS tier FROM x
 """)
 def nearest_tier(spark, d):
-    """The lower tier on ties."""
+    """The first listed tier on ties."""
     tiers = F.array(*[F.lit(x) for x in (905.0, 925.0, 950.0, 975.0, 995.0)])
-    near = F.array_min(F.transform(tiers, lambda t: F.struct(F.round(F.abs(t - F.col("p_retailprice")), 6).alias("d"), t.alias("t"))))
-    return table(spark, d, "part").select("p_partkey", near["t"].alias("tier"))
+    return table(spark, d, "part").select("p_partkey", V.nearest_tier(F.col("p_retailprice"), tiers).alias("tier"))
 
 
 @query("""
@@ -451,18 +590,6 @@ def nearest_reference(spark, d):
     return near.withColumn("distance", F.round("distance", 6))
 
 
-@query("""
-WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE - list_avg(embedding::DOUBLE[])) AS c FROM embeddings), r AS (SELECT label AS ref_label, arg_min(c, vec_id) AS rc FROM e GROUP BY 1)
-SELECT vec_id, ref_label, round(list_dot_product(c, rc) / sqrt(list_dot_product(c, c) * list_dot_product(rc, rc)), 6) AS score FROM e, r WHERE vec_id % 10 = ref_label
-""")
-def correlation_match(spark, d):
-    """J11's score, against one candidate reference."""
-    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    refs = e.groupBy(F.col("label").alias("ref_label")).agg(F.min_by("v", "vec_id").alias("rv"))
-    j = e.join(refs, (F.col("vec_id") % 10).cast("int") == F.col("ref_label"))
-    return j.select("vec_id", "ref_label", F.round(M.centred_correlation(F.col("v"), F.col("rv")), 6).alias("score"))
-
-
 def _label_refs(e):
     return e.filter("label is not null").groupBy("label").agg(F.min_by("v", "vec_id").alias("rv"))
 
@@ -547,7 +674,7 @@ def ttl_evict(spark, d):
 
 @query("SELECT DISTINCT p_name, CASE WHEN length(p_name) % 2 = 0 THEN length(p_name) ELSE -length(p_name) END AS payload FROM part")
 def compute_misses(spark, d):
-    """Only missing keys are computed."""
+    """Only missing keys are computed."""
     p = table(spark, d, "part").select("p_name")
     cached = p.distinct().filter("length(p_name) % 2 = 0").select("p_name", F.length("p_name").cast("bigint").alias("payload"))
     return C.compute_misses(p, cached, ["p_name"], "payload", lambda m: m.withColumn("payload", -F.length("p_name").cast("bigint")))
@@ -586,19 +713,20 @@ def language_codes(spark, d):
 # Streams, each compared with its batch form
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def stream_routed_batches(spark, d):
-    """Micro-batches, routed by type, each type to its own table."""
+    """Micro-batches, routed by type, each type to its own table, the other types to one."""
     folder = S.work_folder(spark)
-    kinds = ("click", "view")
+    kinds = ("click", "view", "other")
     failures: list = []
     handlers = {k: S.append_parquet(f"{folder}/{k}") for k in kinds}
-    S.drain(S.table_stream(spark, d, "events").select("event_type", "value"), S.route("event_type", handlers, lambda *x: failures.append(x)), folder)
+    other = handlers.pop("other")
+    S.drain(S.table_stream(spark, d, "events").select("event_type", "value"), S.route("event_type", handlers, lambda *x: failures.append(x), other), folder)
     if failures:
         raise RuntimeError(f"types failed: {failures}")
     out = None
     for k in kinds:
-        one = spark.read.option("recursiveFileLookup", True).schema("event_type string, value double").parquet(f"{folder}/{k}")
+        one = spark.read.option("recursiveFileLookup", True).schema("event_type string, value double").parquet(f"{folder}/{k}").withColumn("event_type", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 

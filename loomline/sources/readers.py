@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -103,6 +104,21 @@ def toml_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "rule string, setting string, value string")
 
 
+def yaml_rules(path: str) -> dict | None:
+    """A rules file in YAML; None, with a warning, where it is missing, broken, or nothing can read YAML: rules that aren't there disable validation."""
+    try:
+        import yaml
+
+        return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    except ImportError:
+        warnings.warn("no YAML reader is installed: validation is disabled", stacklevel=2)
+    except FileNotFoundError:
+        warnings.warn(f"no rules at {path}: validation is disabled", stacklevel=2)
+    except yaml.YAMLError as e:
+        warnings.warn(f"rules at {path} can't be read ({e}): validation is disabled", stacklevel=2)
+    return None
+
+
 def split_log(lines: DataFrame, line: str, names: tuple[str, ...], sep: str = "\x1f") -> DataFrame:
     """Fields of delimited lines; lines with fewer fields go."""
     parts = F.split(line, sep, len(names))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.incremental import commit_if_complete
+
 
 def write_sections(sections: dict[str, DataFrame | None], root: str) -> list[str]:
     """One JSON folder per section, without those that are absent, failed (a column error) or empty; the names written."""
@@ -18,5 +23,46 @@ def write_sections(sections: dict[str, DataFrame | None], root: str) -> list[str
 
 
 def save_state(state: DataFrame, path: str) -> None:
-    """Replace the state table; it is written whole or not at all."""
-    state.select(*[F.col(c) for c in state.columns]).write.mode("overwrite").parquet(path)
+    """Replace the state, whole or not at all: it is written to a folder of its own, to which a pointer file is then moved; it may be read from the same path."""
+    spark = state.sparkSession
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    version = f"state-{uuid.uuid4().hex}"
+    state.write.parquet(f"{path}/{version}")
+    draft = jvm.org.apache.hadoop.fs.Path(root, f"draft-{version}")
+    out = fs.create(draft)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, jvm.org.apache.hadoop.fs.Path(root, "CURRENT"), how)
+    for f in fs.listStatus(root):
+        if f.getPath().getName().startswith("state-") and f.getPath().getName() != version:
+            fs.delete(f.getPath(), True)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state last saved at path; None if there is none."""
+    pointer = spark.read.format("binaryFile").option("pathGlobFilter", "CURRENT")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(root, "CURRENT")):
+        return None
+    version = pointer.load(f"{path}/CURRENT").select(F.col("content").cast("string").alias("v")).first().v
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def sync_sources(planned: DataFrame, state: DataFrame | None, key: str, digest: str, fetch: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, bool]:
+    """Fetch the sources that are new or have another digest than in the state, and save the new state only if all of them are done.
+
+    planned (key, digest, ...); fetch gets the rows to fetch and returns (key) of those it did. The rows fetched for, and whether the state was saved.
+    """
+    todo = planned
+    if state is not None:
+        known = state.select(key, F.col(digest).alias("_d"))
+        todo = planned.join(known, key, "left").filter(~F.col(digest).eqNullSafe(F.col("_d"))).drop("_d")
+    complete = commit_if_complete(todo, fetch(todo).select(key), key)
+    if complete:
+        save_state(planned, path)
+    return todo, complete

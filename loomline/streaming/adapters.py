@@ -1,27 +1,36 @@
 """Structured Streaming twins of the batch operators: micro-batches, routing by type, keyed state.
 
 Every run works off what its source has (availableNow) and stops; state and progress are kept in the checkpoint
-folder, so a restarted run goes on where the last one stopped. Keyed state expires after STATE_TTL without rows.
+folder, so a restarted run goes on where the last one stopped.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-STATE_TTL = 24 * 3600 * 1000
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomline-")
-    return f"{root}/loomline-stream/{uuid.uuid4().hex}"
+    """A new folder in the shared one that spark.checkpoint.dir names; where none is named, in the default file system, or a temporary one if all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if spark.sparkContext.master.startswith("local"):  # one machine: driver and executors are one process
+            folder = tempfile.mkdtemp(prefix="loomline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = "file://" + folder
+        elif fs.getScheme() != "file":
+            found = f"{fs.getHomeDirectory().toString().rstrip('/')}/.loomline"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found}/loomline-stream/{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
@@ -30,21 +39,28 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parqu[e]t")
 
 
-def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
-    """Hand each micro-batch to a function until the source is worked off."""
-    q = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str, mode: str = "append", stores: int = 16) -> None:
+    """Hand each micro-batch to a function until the source is worked off; keyed state is dealt over so many stores, for good in this folder."""
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(stores))
+    try:  # the query copies the session's settings when it starts
+        q = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
 
 
-def route(column: str, handlers: dict[str, Callable[[DataFrame, int], None]], failed: Callable[[str, int, Exception], None]) -> Callable[[DataFrame, int], None]:
-    """A micro-batch handler that gives each type's rows to its own handler; the failure of one leaves the others."""
+def route(column: str, handlers: dict[str, Callable[[DataFrame, int], None]], failed: Callable[[str, int, Exception], None], other: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler that gives each type's rows to its own handler, and rows of all other types, or of none, to `other`; the failure of one leaves the others."""
 
     def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            for kind, f in handlers.items():
+            rest = ~F.coalesce(F.col(column).isin(*handlers), F.lit(False))
+            for kind, f in (handlers | ({"other": other} if other else {})).items():
                 try:
-                    f(batch.filter(F.col(column) == kind), number)
+                    f(batch.filter(rest if f is other else F.col(column) == kind), number)
                 except Exception as e:  # noqa: BLE001 - reported, per type
                     failed(kind, number, e)
         finally:
@@ -59,24 +75,13 @@ def append_parquet(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def merged_entities(stream: DataFrame, key: str, order: str, fields: list[str], last_section: int, section: str) -> DataFrame:
-    """Partial records by key, merged field by field (the last in order wins); complete once the last section is there."""
-    names = ", ".join(f"{f} string" for f in fields)
-
-    def merge(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        have = dict(zip(fields, state.get[:-1], strict=True)) if state.exists else dict.fromkeys(fields)
-        done = bool(state.get[-1]) if state.exists else False
-        for f in sorted((f for f in frames if len(f)), key=lambda f: f[order].iloc[0]):
-            for r in f.sort_values(order).to_dict("records"):
-                have |= {c: str(r[c]) for c in fields if r[c] is not None}
-                done = done or r[section] == last_section
-        state.update((*have.values(), done))
-        state.setTimeoutDuration(STATE_TTL)
-        yield pd.DataFrame([{key: k[0], **have, "complete": done}])
-
-    return stream.groupBy(key).applyInPandasWithState(merge, f"{key} bigint, {names}, complete boolean", f"{names}, complete boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """Partial records by key, merged field by field (the last in order wins, however late or early it comes); complete once the last section is there.
+
+    A streaming aggregate: the state of a key is each field's value with its place in the order, kept in the JVM.
+    Without a watermark on the stream the state of a key stays.
+    """
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields]
+    return stream.groupBy(key).agg(*last, F.max(F.coalesce(F.col(section) == last_section, F.lit(False))).alias("complete"))
 
 
 def register_text_backends(spark: SparkSession, backends: dict[str, Callable[[pd.Series], pd.Series]]) -> None:

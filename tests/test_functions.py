@@ -18,7 +18,7 @@ def one(spark, col, value):
         (lambda: T.upper_camel("x"), "red RING's 2nd", "RedRingS2nd"),
         (lambda: T.upper_camel("x", keep_case=True), "red RING", "RedRING"),
         (lambda: T.prettify("x"), "red_ring-two", "Red Ring Two"),
-        (lambda: T.prettify("x"), "redRing", "redRing"),
+        (lambda: T.prettify("x"), "redRing", "RedRing"),
         (lambda: T.without_prefix("x", "phantom:"), "phantom:a", "a"),
         (lambda: T.first_int("x"), "Lv. 17/20", 17),
         (lambda: T.first_int("x"), "none", None),

@@ -1,3 +1,5 @@
+import difflib
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from loomline.operators import incremental as C
 from loomline.operators import layout as W
 from loomline.operators import lookup as J
 from loomline.operators import match as M
+from loomline.operators import records as G
 from loomline.operators import validate as V
 
 
@@ -57,12 +60,51 @@ def test_grid_round_trip(spark):
         assert back.filter("b <> id or row < 0 or row > 3").isEmpty()
 
 
-def test_folds(spark):
-    d = spark.createDataFrame([(["small", "ring", "ring", "x"], [1.0, 2.0, 9.0, 9.5])], "t array<string>, v array<double>")
-    r = d.select(W.merge_known(F.col("t"), F.array(F.lit("small ring"), F.lit("ring ring"))).alias("m"), W.spaced(F.col("v"), 1.5).alias("s")).first()
-    assert r.m == ["small ring", "ring", "x"] and r.s == [1.0, 9.0]
-    e = spark.createDataFrame([([],)], "t array<string>").select(W.merge_known(F.col("t"), F.array(F.lit("a"))).alias("m")).first()
-    assert e.m == []
+def _known(tokens, known):
+    out, i = [], 0
+    while i < len(tokens):
+        both = "".join(tokens[i : i + 2])
+        if len(tokens) > i + 1 and both in known:
+            out.append(both)
+            i += 2
+            continue
+        out += [t for t in tokens[i : i + 1] if t in known]
+        i += 1
+    return out
+
+
+def test_merge_known_against_loop(spark):
+    random.seed(5)
+    known = ["critrate", "crit", "dmg", "hp", "hpcrit"]
+    data = [(k, random.choices(["crit", "rate", "dmg", "hp", "zz", ""], k=random.randint(0, 7))) for k in range(60)]
+    got = spark.createDataFrame(data, "k int, t array<string>").select("k", W.merge_known(F.col("t"), F.lit(known)).alias("m")).collect()
+    assert {r.k: r.m for r in got} == {k: _known(t, known) for k, t in data}
+    assert spark.sql("select array('crit ra', 'te', 'd mg') t").select(W.merge_known(F.col("t"), F.lit(known)).alias("m")).first().m == ["critrate", "dmg"]
+
+
+def test_merge_wrapped_against_loop(spark):
+    random.seed(6)
+    known = ["critrate", "dmg", "hp", "energyregen"]
+    data = [(k, [(float(y), random.choices(["crit", "rate", "dmg", "energy", "regen", "x"], k=random.randint(1, 3))) for y in range(random.randint(0, 6))]) for k in range(60)]
+    want = {}
+    for k, lines in data:
+        out, i = [], 0
+        while i < len(lines):
+            y, tokens = lines[i]
+            names, used = _known(tokens, known), 1
+            if not names and i + 1 < len(lines):
+                names = _known(tokens + lines[i + 1][1], known)
+                used = 2 if names else 1
+            out += [(y, n) for n in names]
+            i += used
+        want[k] = out
+    got = spark.createDataFrame(data, "k int, r array<struct<y:double,tokens:array<string>>>").select("k", W.merge_wrapped(F.col("r"), F.lit(known)).alias("m")).collect()
+    assert {r.k: [tuple(x) for x in r.m] for r in got} == want
+
+
+def test_spaced(spark):
+    d = spark.createDataFrame([([1.0, 2.0], [3.0, 9.0, 9.5, 11.0])], "k array<double>, m array<double>")
+    assert d.select(W.spaced(F.col("k"), F.col("m"), 1.5).alias("s")).first().s == [1.0, 2.0, 9.0, 11.0]
 
 
 def test_anchored_rows(spark):
@@ -78,16 +120,45 @@ def test_greedy_pairs_against_loop(spark):
         free = sorted((r[2], r[3], r[4]) for r in data if r[0] == k and r[1] == "value")
         for _, y, n in sorted((r[2], r[3], r[4]) for r in data if r[0] == k and r[1] == "name"):
             if free:
-                b = min(free, key=lambda v: (abs(v[1] - y), v[0]))
+                b = min(free, key=lambda v: (abs(v[1] - y), v[1], v[2]))
                 free.remove(b)
                 expected.append((k, n, b[2]))
     d = spark.createDataFrame(data, "k bigint, side string, ord bigint, y double, text string")
     assert rows(W.greedy_pairs(d, "k")) == sorted(expected, key=repr)
 
 
-def test_best_chain(spark):
-    d = spark.createDataFrame([(1, 0.0, 10.0, "1", 0.9), (1, 9.0, 20.0, "2", 0.9), (1, 2.0, 19.0, "77", 0.5), (2, 0.0, 5.0, "4", 0.1)], "k bigint, x0 double, x1 double, text string, conf double")
-    assert rows(W.best_chain(d, "k")) == [(1, "12"), (2, "4")]
+def _chain(tokens, overlap=0.35):
+    """All runs from each start, to the first strong overlap."""
+    t = sorted((x0, x1, -len(d), -c, d) for x0, x1, d, c in ((x0, x1, "".join(filter(str.isdigit, t)), c) for x0, x1, t, c in tokens) if d)
+    found = []
+    for i in range(len(t)):
+        digits, end, sure = "", t[i][1], 0.0
+        for j in range(i, len(t)):
+            x0, x1, _, c, d = t[j]
+            if j > i:
+                p0, p1 = t[j - 1][:2]
+                common = min(x1, p1) - max(x0, p0)
+                if common > 0 and common / min(max(x1 - x0, 1.0), max(p1 - p0, 1.0)) >= overlap:
+                    break
+            digits, end, sure = digits + d, max(end, x1), sure - c
+            found.append((end, len(digits), end - t[i][0], sure, -i, digits))
+    return int(max(found)[-1]) if found else 0
+
+
+def test_best_chain_against_loop(spark):
+    random.seed(9)
+    data = [(k, float(random.randint(0, 40)), random.choice(["1", "27", "x3", "abc", "90"]), random.randint(1, 9) / 8) for k in range(80) for _ in range(random.randint(1, 6))]
+    data = [(k, x, x + random.randint(0, 12), t, c) for k, x, t, c in data]
+    got = dict(rows(W.best_chain(spark.createDataFrame(data, "k bigint, x0 double, x1 double, text string, conf double"), "k")))
+    assert got == {k: _chain([r[1:] for r in data if r[0] == k]) for k in got} and len(got) == 80
+    one = [(1, 0.0, 10.0, "1", 0.9), (1, 9.0, 20.0, "2", 0.9), (1, 2.0, 19.0, "77", 0.5)]
+    assert rows(W.best_chain(spark.createDataFrame(one, "k bigint, x0 double, x1 double, text string, conf double"), "k")) == [(1, 2)]
+
+
+def test_infer_cost(spark):
+    cases = {("hp", "hp%"): 1, ("atk", "er%"): 3, ("atk", "fusion%"): 3, ("atk", "cr%"): 4, ("healing%", "atk"): 4, ("atk", "hp%"): None, ("cd%",): None, (): None}
+    d = spark.createDataFrame([(i, list(n)) for i, n in enumerate(cases)], "i int, n array<string>")
+    assert [r.c for r in d.select("i", V.infer_cost(F.col("n")).alias("c")).orderBy("i").collect()] == list(cases.values())
 
 
 def test_lookups(spark):
@@ -117,6 +188,66 @@ def test_match(spark):
     assert M.plausible(d, "t", names.limit(0), "n").count() == 4
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_matching_against_loops(spark, monkeypatch):
+    random.seed(12)
+    names = sorted({"".join(random.choices("abc", k=random.randint(0, 7))) for _ in range(80)})
+    texts = sorted({"".join(random.choices("abcd", k=random.randint(0, 8))) for _ in range(60)})
+    n, d = spark.createDataFrame([(x,) for x in names], "n string"), spark.createDataFrame([(x,) for x in texts], "t string")
+    for most in (1, 2):
+        got = {r.t: (r.match, r.distance) for r in M.edit_distance_best_match(d, "t", n, "n", most).collect()}
+        want = {t: min((_edits(t, x), x) for x in names) for t in texts}
+        assert got == {t: (x, k) if k <= most else (None, None) for t, (k, x) in want.items()}
+    monkeypatch.setattr(M, "MOST_NAMES", 25)
+    got = {r.t: (r.match, r.ratio) for r in M.fuzzy_best_match(d, "t", n, "n", 0.7).collect()}
+    for t in texts:
+        r, x = max(((difflib.SequenceMatcher(None, x, t, autojunk=False).ratio(), [-ord(c) for c in x] + [1], x) for x in names))[::2]
+        if t in names:
+            assert got[t] == (t, 1.0)
+        else:
+            assert got[t] == ((x, r) if r >= 0.7 else (None, None))
+
+
+def test_numbered(spark, tmp_path):
+    data = [(i, random.choice([None, 1, 2, 3])) for i in range(200)]
+    d = spark.createDataFrame(data, "i int, s int").repartition(5)
+    got = {r.i: r.position for r in W.numbered(d, [F.col("s").asc_nulls_last(), F.col("i")], str(tmp_path / "n")).collect()}
+    assert got == {i: p for p, (i, s) in enumerate(sorted(data, key=lambda r: (r[1] is None, r[1] or 0, r[0])))}
+
+
+def test_unless_present(spark):
+    d = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "b"), (2, None)], "k int, s string")
+    assert rows(J.unless_present(d, "s", "a", ["b"], ["k"])) == [(1, "a"), (1, "c"), (2, "b"), (2, None)]
+    assert rows(J.unless_present(d, "s", "a", ["b"])) == [(1, "a"), (1, "c"), (2, None)]
+    assert rows(J.unless_present(d, "s", "z", ["b"])) == rows(d)
+
+
+def test_caches_report(spark):
+    log = spark.createDataFrame([("a", 3), ("a", 5), ("b", 1)], "k string, ts int")
+    assert rows(C.count_hits(log, ["k"], "ts")) == [("a", 2, 5), ("b", 1, 1)]
+    assert C.commit_if_complete(log, log, "k") and not C.commit_if_complete(log, log.filter("k = 'a'"), "k")
+
+
+def test_better_retry(spark):
+    kind = "rec_id int, valid boolean, errors array<string>, warnings array<string>, n int"
+    first = spark.createDataFrame([(1, False, ["x", "y"], [], 2), (2, False, ["x"], [], 3), (3, False, ["x"], [], 2), (4, True, [], [], 1)], kind)
+    second = spark.createDataFrame([(1, False, ["x"], [], 1), (2, False, ["x"], [], 3), (3, True, [], [], 0)], kind)
+    assert [(r.rec_id, r.retried, r.valid) for r in V.better_retry(first, second).orderBy("rec_id").collect()] == [(1, True, False), (2, False, False), (3, True, True), (4, False, True)]
+
+
+def test_envelope(spark):
+    one = {k: spark.createDataFrame([(v,)], "json string") for k, v in (("items", '[{"id":1}]'), ("shell", "{}"))}
+    assert json.loads(X.envelope(one).first().envelope) == {"items": '[{"id":1}]', "shell": "{}"}
+
+
 def test_cache(spark):
     old = spark.createDataFrame([("a", 1, 5, "x"), ("b", 9, 2, "y")], "k string, ts int, hit_count int, p string")
     new = spark.createDataFrame([("a", 3, 7, "z"), ("b", 9, 1, "w")], "k string, ts int, hit_count int, p string")
@@ -186,3 +317,18 @@ def test_best_by_correlation(spark):
     assert got == {10: (1, "matched"), 11: (2, "matched"), 12: (7, "recorded"), 13: (None, "skipped"), 14: (None, "skipped")}
     none = M.label_or_best(e, "vec_id", "v", "label", refs.limit(0), "rv", 0.5).collect()
     assert sorted((r.vec_id, r.state) for r in none) == [(10, "skipped"), (11, "skipped"), (12, "recorded"), (13, "skipped"), (14, "skipped")]
+
+
+def test_records(spark):
+    d = spark.createDataFrame([('{"id":7,"level":"9","maxLevel":60,"rank":null,"weapon_key":"","_equipped":"x"}',), ('{"7":{"level":1}}',), ("[1]",), ("no",), (None,)], "e string")
+    assert [r.g for r in d.select(G.canonical_gear(F.col("e")).alias("g")).collect()] == ['{"7":{"level":9,"ascension":3,"rank":1,"maxLevel":60,"_equipped":"x"}}', '{"7":{"level":1}}', "[1]", "no", None]
+    u = spark.createDataFrame([('{"id":"w1"}',), ("w1",), ('{"x":1}',)], "v string")
+    assert [r.u for r in u.select(G.unwrap_id(F.col("v")).alias("u")).collect()] == ["w1", "w1", '{"x":1}']
+    t = spark.sql("select map('normal', '3', 'resonance', 'x', 'intro', '4.9') m").select(G.talents(F.col("m")).alias("t")).first().t
+    assert t == {"basic": "3", "intro": "4"}
+
+
+def test_merge_exports(spark):
+    kind = "s string, k int, v int"
+    old, new = spark.createDataFrame([("inv", 1, 2), ("inv", 2, 3), ("x", 1, 1), ("y", 5, 5)], kind), spark.createDataFrame([("inv", 1, 5), ("x", 2, 9)], kind)
+    assert rows(G.merge_exports(old, new, "s", "k", "v", ["inv"])) == [("inv", 1, 7), ("inv", 2, 3), ("x", 2, 9), ("y", 5, 5)]

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.sources import readers as R
@@ -57,5 +58,34 @@ def test_sections_sink(spark, tmp_path):
     some, none = spark.range(2), spark.range(0)
     assert sinks.write_sections({"a": some, "b": none, "c": None, "e": spark.createDataFrame([("x",)], "error string")}, str(tmp_path)) == ["a"]
     assert spark.read.json(str(tmp_path / "a")).count() == 2
-    sinks.save_state(some.withColumn("sha", F.lit("s")), str(tmp_path / "state"))
-    assert spark.read.parquet(str(tmp_path / "state")).count() == 2
+
+
+def test_state_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert sinks.load_state(spark, path) is None
+    sinks.save_state(spark.createDataFrame([(1, "a")], "k int, sha string"), path)
+    sinks.save_state(sinks.load_state(spark, path).withColumn("sha", F.lit("b")), path)  # read from its own path
+    assert [tuple(r) for r in sinks.load_state(spark, path).collect()] == [(1, "b")]
+    assert len(list((tmp_path / "state").glob("state-*"))) == 1
+
+
+def test_sync_saves_only_complete_states(spark, tmp_path):
+    path = str(tmp_path / "state")
+    planned = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, sha string")
+    todo, complete = sinks.sync_sources(planned, None, "name", "sha", lambda t: t.filter("name = 'a'"), path)
+    assert todo.count() == 2 and not complete and sinks.load_state(spark, path) is None
+    assert sinks.sync_sources(planned, None, "name", "sha", lambda t: t, path)[1]
+    changed = planned.withColumn("sha", F.when(F.col("name") == "b", "3").otherwise(F.col("sha")))
+    todo, complete = sinks.sync_sources(changed, sinks.load_state(spark, path), "name", "sha", lambda t: t, path)
+    assert complete and [r.name for r in sinks.load_state(spark, path).filter("sha = '3'").collect()] == ["b"]
+
+
+def test_yaml_rules(tmp_path):
+    with pytest.warns(UserWarning, match="disabled"):
+        assert R.yaml_rules(str(tmp_path / "none.yaml")) is None
+    pytest.importorskip("yaml")
+    (tmp_path / "r.yaml").write_text("a: {b: [1, 2]}")
+    assert R.yaml_rules(str(tmp_path / "r.yaml")) == {"a": {"b": [1, 2]}}
+    (tmp_path / "bad.yaml").write_text("a: [")
+    with pytest.warns(UserWarning, match="disabled"):
+        assert R.yaml_rules(str(tmp_path / "bad.yaml")) is None
