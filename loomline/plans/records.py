@@ -560,7 +560,24 @@ def rule_validation(spark, d):
     return o.select("o_orderkey", stop.alias("stopped"), F.when(stop, "").otherwise(errors).alias("errors"), F.when(stop, "status not checked").otherwise(warnings).alias("warnings"))
 
 
-@query()
+@query("""
+WITH rec AS (SELECT o_orderkey AS rec_id, [1, 3, 4, 2][o_orderkey % 4 + 1] AS cost, o_orderkey % 27 AS level, CASE WHEN o_orderkey % 9 = 0 THEN 4 ELSE 5 END AS rarity FROM orders),
+st AS (SELECT l_orderkey AS rec_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, ['hp', 'atk', 'hp%', 'crit%', 'odd'][l_partkey % 5 + 1] AS name, l_quantity AS v FROM lineitem),
+t AS (SELECT *, CASE name WHEN 'hp' THEN least(abs(10 - v), abs(20 - v)) WHEN 'atk' THEN abs(15 - v) WHEN 'hp%' THEN least(abs(7 - v), abs(30 - v)) END AS gap, CASE WHEN suffix(name, '%') THEN 0.4 ELSE 0.5 END AS tol FROM st),
+g AS (SELECT rec_id, list({'name': name, 'v': v, 'tol': tol} ORDER BY i) FILTER (WHERE i <= 2) AS m, list({'name': name, 'gap': gap, 'tol': tol} ORDER BY i) FILTER (WHERE i > 2) AS s FROM t GROUP BY 1),
+d AS (SELECT rec.*, coalesce(m, []) AS m, coalesce(s, []) AS s, list_transform(coalesce(s, []), lambda x: x.name) AS names, CASE cost WHEN 1 THEN 'hp' ELSE 'atk' END AS fx, CASE cost WHEN 3 THEN 'crit%' ELSE 'hp%' END AS rl, 10.0 + level AS ex, level // 5 AS most FROM rec LEFT JOIN g USING (rec_id)),
+c AS (SELECT *, list_filter(m, lambda x: x.name = fx)[1] AS f, list_filter(m, lambda x: x.name <> fx) AS o FROM d),
+e AS (SELECT *, rarity <> 5 AS unchecked, CASE WHEN cost NOT IN (1, 3, 4) THEN 'unknown cost' WHEN level NOT BETWEEN 0 AND 25 THEN 'level out of range' END AS stop,
+  list_concat([CASE WHEN len(m) <> 2 THEN 'main count' END, CASE WHEN f IS NULL THEN 'fixed main missing' END, CASE WHEN len(o) <> 1 THEN 'other main count' WHEN o[1].name <> rl THEN 'other main not allowed' END, CASE WHEN len(s) > most THEN 'too many subs' END],
+   list_concat(list_transform(s, lambda x: CASE WHEN x.gap IS NULL THEN 'unknown sub: ' || x.name END), list_concat(
+    list_transform(list_filter(names, lambda n, i: list_position(names, n) = i AND len(list_filter(names, lambda k: k = n)) > 1), lambda n: 'duplicate: ' || n),
+    list_transform(s, lambda x: CASE WHEN x.gap > x.tol THEN 'off tier: ' || x.name END)))) AS errors,
+  list_concat([CASE WHEN abs(f.v - ex) > f.tol THEN 'fixed main value' END, CASE WHEN o[1].name = rl AND abs(o[1].v - ex) > o[1].tol THEN 'other main value' END, CASE WHEN len(s) < most THEN 'missing subs' END],
+   list_transform(s, lambda x: CASE WHEN x.gap > 1e-9 AND x.gap <= x.tol THEN 'near tier: ' || x.name END)) AS warnings FROM c),
+x AS (SELECT rec_id, CASE WHEN unchecked THEN '' WHEN stop IS NOT NULL THEN stop ELSE array_to_string(list_filter(errors, lambda x: x IS NOT NULL), ';') END AS errors,
+  CASE WHEN unchecked THEN 'rarity not checked' WHEN stop IS NOT NULL THEN '' ELSE array_to_string(list_filter(warnings, lambda x: x IS NOT NULL), ';') END AS warnings FROM e)
+SELECT rec_id, errors = '' AS valid, errors, warnings FROM x
+""")
 def record_validation(spark, d):
     """V1-V11 over records made of orders and their lines, with small rule tables."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("rec_id"), F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4), F.lit(2)), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("cost"), (F.col("o_orderkey") % 27).cast("int").alias("level"), F.when(F.col("o_orderkey") % 9 == 0, 4).otherwise(5).alias("rarity"))
@@ -692,9 +709,12 @@ def snapshot_diff(spark, d):
     return C.snapshot_diff(a, b, "k", "h")
 
 
-@query()
+@query("""
+WITH o AS (SELECT o_custkey AS k, string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice || '}', ',' ORDER BY o_orderkey) AS x FROM orders GROUP BY 1)
+SELECT c_custkey AS k, '{"k":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"' || coalesce(',"orders":[' || x || ']', '') || '}' AS json FROM customer LEFT JOIN o ON k = c_custkey
+""")
 def nested_export(spark, d):
-    """S20, S21."""
+    """S20's nested sections."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderstatus", "o_totalprice")
     return X.nested(c, o, "k", "orders", ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"])
