@@ -88,7 +88,8 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, most_docs: int = SAMP
     named = ids.select(F.explode(made).alias("sample"), F.lit(False).alias("random"))
     step = max(1, docs.count() // most_docs)
     seen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(step)) == 0)
-    words = seen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("sample"), F.lit(False).alias("random"))
+    words = seen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w"))
+    words = words.select(F.explode(F.array("w", F.upper("w"))).alias("sample"), F.lit(False).alias("random"))  # upper-case identifiers are of the same words
     return rnd.union(named).union(words)
 
 

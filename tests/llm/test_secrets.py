@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from hypothesis import Phase, given, settings
@@ -82,3 +84,31 @@ def test_secrets_beside_base_spans_and_inside_paths(spark, model):
         assert [texts[r.doc_id][int(s) : int(e)] for _, s, e in found] == want[r.doc_id]
     clean = {r.doc_id: r.text for r in S.redact(d, model).collect()}
     assert clean[0] == "[SECRET]/[SECRET] x" and clean[2] == f"at {plain}[SECRET]/index/default/list x"
+
+
+def test_rates_on_strings_of_other_makers(spark):
+    """Random strings of five alphabets found, identifiers of words that the training has not seen left alone."""
+    seen = "people through another because between important government different following company together children example however question service development national research community university political available information special particular education business program management national economic interest support position increase process history market building problem everything continue language activity technology structure performance knowledge material experience resource training evidence movement industry strategy".split()
+    ordinary = spark.createDataFrame([(i, " ".join(rng_words)) for i, rng_words in enumerate(random.Random(1).sample(seen, 40) for _ in range(50))], "doc_id bigint, text string")
+    model = S.train(S.labelled_samples(spark, ordinary))
+    rng = random.Random(4)
+    letters, digits = string.ascii_letters, string.digits
+    alphabets = {"base62": letters + digits, "base64": letters + digits + "+/", "url": letters + digits + "-_", "upper": string.ascii_uppercase + digits, "lower": string.ascii_lowercase + digits}
+    texts, kinds = [], []
+    for name, alphabet in alphabets.items():
+        for _ in range(120):
+            t = "".join(rng.choices(alphabet, k=rng.randint(20, 40)))
+            if any(c.isdigit() for c in t) and t[0] in letters + digits and t[-1] in letters + digits:
+                texts.append(t)
+                kinds.append(name)
+    nouns = "customer shipping invoice warehouse payment reminder employee schedule quarterly summary template calendar webhook inventory archive printer".split()
+    for _ in range(400):
+        a, b, c, d = rng.sample(nouns, 4)
+        n = str(rng.randint(1, 99))
+        texts.append(rng.choice([f"{a}_{b}_{c}_{n}", a + b.title() + c.title() + d.title(), f"{a}-{b}-{c}-{d}", f"{a}/{b}/{c}{n}", f"{a.upper()}_{b.upper()}_{c.upper()}{n}"]))
+        kinds.append("plain")
+    d = spark.createDataFrame([(i, f"at {t} here") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id for r in S.report(d, model).collect() if "markov" in r.spans}
+    rate = {k: sum(i in found for i, x in enumerate(kinds) if x == k) / kinds.count(k) for k in set(kinds)}
+    wrong = [t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if i in found and k == "plain"]
+    assert rate.pop("plain") <= 0.02 and min(rate.values()) >= 0.9, (rate, wrong)
