@@ -51,3 +51,31 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(packed.doc_id) <= {r.doc_id for r in seen.collect()}
     assert (packed.groupby("sequence_id").length.sum() <= 1024).all()
+
+
+@pytest.fixture(scope="module")
+def odd_table(spark, odd_docs, tmp_path_factory):
+    """The odd rows with the columns of documents, and clashing ones, as a folder of tables."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    odd_docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, None), (8, None, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows(spark, odd_table, stage):
+    name, run = corpus_pipeline.STAGES[stage]
+    docs = spark.read.parquet(f"{odd_table}/documents.parquet")
+    out = run(spark, docs, odd_table)
+    rows = out.collect()
+    if stage < 4:
+        assert out.columns == docs.columns
+    else:
+        assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}  # each document has its end token at least
+    if stage == 1:  # rows without an id stay; equal texts, and rows repeated under one id, stay once
+        assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 8, 10]
+        assert sum(r.doc_id is None for r in rows) >= 2
+    if stage == 2:
+        assert len(rows) == docs.count()
+    none = run(spark, docs.limit(0), odd_table)
+    assert none.columns == out.columns and none.count() == 0
