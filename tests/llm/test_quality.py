@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -100,3 +101,36 @@ def test_passages_do_not_cross_texts():
     assert of.tolist() == [0, 1, 2, 3, 3, 3, 4] and x.shape == (7, M.FEATURES)
     alone = [next(M.bags(pa.array([t], pa.string())))[1] for t in texts]
     assert np.allclose(x, np.concatenate(alone))
+
+
+def test_gradient_of_the_network():
+    rng = np.random.default_rng(2)
+    x, bag, y, weight = rng.normal(size=(11, M.FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3, 3, 4]), np.array([1.0, 0, 1, 0, 1]), rng.uniform(0.5, 2, 5)
+    net = M.train(x, bag, y, epochs=1)
+
+    def loss():
+        p = net.forward(x, bag, len(y))["score"]
+        return float((-(y * np.log(p) + (1 - y) * np.log(1 - p)) * weight).mean())
+
+    for name, g in net.gradient(x, bag, y, weight).items():
+        for _ in range(5):
+            at = tuple(rng.integers(n) for n in net.p[name].shape)
+            whole, step = net.p[name][at], 1e-5
+            net.p[name][at] = whole + step
+            up = loss()
+            net.p[name][at] = whole - step
+            down = loss()
+            net.p[name][at] = whole
+            assert g[at] == pytest.approx((up - down) / (2 * step), abs=1e-7, rel=1e-4)
+
+
+def test_attention_by_its_definition():
+    rng = np.random.default_rng(3)
+    x, bag = rng.normal(size=(5, M.FEATURES)), np.array([0, 0, 0, 1, 1])
+    net = M.train(x, bag, np.array([1.0, 0.0]), epochs=2)
+    p, got = net.p, net.forward(x, bag, 2)["score"]
+    for d in (0, 1):
+        hs = [np.tanh((r - net.mean) / net.dev @ p["w1"] + p["b1"]) for r in x[bag == d]]
+        e = [np.exp(p["w"] @ (np.tanh(h @ p["v"] + p["bv"]) / (1 + np.exp(-(h @ p["u"] + p["bu"]))))) for h in hs]
+        z = sum(a / sum(e) * h for a, h in zip(e, hs, strict=True))
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-(z @ p["w2"] + p["b2"][0]))))
