@@ -13,7 +13,7 @@ import os
 import numpy as np
 
 #: Distinct words whose ids a worker keeps, beyond which the store starts anew; code points that are cut into words at once.
-MOST_WORDS, STEP = 250_000, 400_000
+MOST_WORDS, STEP = 1_000_000, 1_000_000
 
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
@@ -40,7 +40,8 @@ class BatchTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes of known words, sorted, and the numbers of these words: 16 bytes a word, looked up for many at once
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -105,10 +106,14 @@ class BatchTokenizer:
         unique, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > MOST_WORDS:
             self.clear()
-        names = unique.tolist()
-        number = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
+        at = np.searchsorted(self.known, unique)
+        number = np.full(len(unique), -1, np.int64)
+        hit = np.flatnonzero(at < len(self.known))
+        hit = hit[self.known[at[hit]] == unique[hit]]
+        number[hit] = self.number[at[hit]]
         if len(new := np.flatnonzero(number < 0)):
-            number[new] = self._learn([names[i] for i in new.tolist()], [joined[x:y] for x, y in zip(a[where[new]].tolist(), b[where[new]].tolist(), strict=True)])
+            number[new] = self._learn([joined[x:y] for x, y in zip(a[where[new]].tolist(), b[where[new]].tolist(), strict=True)])
+            self.known, self.number = np.insert(self.known, at[new], unique[new]), np.insert(self.number, at[new], number[new])
         word = number[back]
         count = self.count[word]
         total = np.zeros(len(word) + 1, np.int64)
@@ -117,7 +122,7 @@ class BatchTokenizer:
         upto = total[np.searchsorted(a, ends)]
         return np.split(ids, upto[:-1])
 
-    def _learn(self, hashes: list[int], words: list[str]) -> np.ndarray:
+    def _learn(self, words: list[str]) -> np.ndarray:
         found = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
         first, n = len(self.known), len(found)
         counts = np.fromiter(map(len, found), np.int64, n)
@@ -130,7 +135,6 @@ class BatchTokenizer:
         self.start[first : first + n] = self.used + np.cumsum(counts) - counts
         self.count[first : first + n] = counts
         self.used = need
-        self.known.update(zip(hashes, range(first, first + n), strict=True))
         return np.arange(first, first + n)
 
 
