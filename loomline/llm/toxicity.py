@@ -37,9 +37,9 @@ from .common import bounded_sample, crc32_mod, cut, pieces, table
 #: Labelled documents of each class that the models learn from, at most; a fifth of them fit the score only.
 SAMPLE = 3000
 #: Letters of a sequence; discount; weight of the shared backoff besides the discount.
-ORDER, DISCOUNT, PRIOR = 6, 0.75, 2.0
+ORDER, DISCOUNT, PRIOR = 8, 0.75, 2.0
 #: Words whose ratio a worker remembers; words and sequences that a worker gathers before it sends them.
-MOST_WORDS, HELD = 200_000, 200_000
+MOST_WORDS, HELD = 400_000, 400_000
 #: Words of a window, floor of a word's ratio, and the score from which a document is predicted toxic.
 WINDOW, FLOOR, LEAST = 6, 2.0, 0.3
 #: Letters that stand before and after a word; no word holds them.
@@ -136,18 +136,20 @@ def _corpus_sequences(docs: DataFrame) -> DataFrame:
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["g"])
 
-        for b in pieces(batches):
+        for b in pieces(batches, 64):
+            new: set[str] = set()
             for text in b.column(0).to_pylist():
-                new = set(words(text)) - known
-                for w in new:
-                    s = BEGIN + w + END
-                    found.update([s[k : k + ORDER] for k in range(len(w) + 1)])
-                known |= new
-                if len(known) >= HELD:
-                    known.clear()
-                if len(found) >= HELD:
-                    yield batch()
-                    found.clear()
+                new.update(words(text))
+            new -= known
+            for w in new:
+                s = BEGIN + w + END
+                found.update([s[k : k + ORDER] for k in range(len(w) + 1)])
+            if len(known) >= HELD:
+                known.clear()
+            known |= new
+            if len(found) >= HELD:
+                yield batch()
+                found.clear()
         if found:
             yield batch()
 

@@ -102,7 +102,9 @@ def test_probabilities(spark):
     assert ratio["zorg"] > 1 > 0 > ratio["banana"]
 
 
-def test_every_letter_counts():
+def test_every_letter_counts(monkeypatch):
+    monkeypatch.setattr(T, "ORDER", 6)
+    monkeypatch.setattr(T, "BEGIN", "^^^^^")
     keys = pa.array(["abcdef", "ghijkz", "ghijky", "ghijk"])
     ratio = T.Model(keys, pa.array([1.0, 2.0, 3.0, 0.5])).ratios()
     assert [ratio["abcdefghijk" + x] for x in "zyx"] == [3.0, 4.0, 1.5]
