@@ -8,7 +8,8 @@ fixed table of 128 x 128 numbers.
 
 Cases: a null text is empty; without matches the counts are 0, the digest is that of the empty string and spans
 is ''; equal rows give equal rows; an empty table gives an empty result (the model is then trained on generated
-samples alone). Positions count code points. Columns besides doc_id and text are ignored by `scan` and kept by
+samples alone). Whole texts are read, however long; the spans of a text are gathered in one array, so a text with very many
+matches takes time with their square. Positions count code points. Columns besides doc_id and text are ignored by `scan` and kept by
 `redact`; internal names begin with `_sc_`.
 """
 
@@ -68,7 +69,7 @@ def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame, most_docs: int = SAMPLE_DOCS, samples: int = SAMPLES) -> DataFrame:
-    """(sample, random): generated random strings; identifiers joined from parts, numbers, and letters-only words of about `most_docs` documents."""
+    """(sample, random): generated random strings; identifiers joined from parts, numbers, and letters-only words of about `most_docs` documents, as they are and in upper case."""
     ids = spark.range(samples)
     sha = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 512)
     b64 = F.base64(F.unhex(sha))
