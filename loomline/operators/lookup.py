@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: References that travel with each row as one array.
+MOST_REFS = 1_000
+
 
 def resolve(rows: DataFrame, names: DataFrame, on: Sequence[str], name: str, fallback: Column) -> DataFrame:
     """Left join with a name that falls back to an expression. names has one row per key."""
@@ -82,13 +85,28 @@ def unless_present(rows: DataFrame, section: str, stronger: str, components: Seq
     found = rows.filter(F.col(section) == stronger)
     weaker = F.col(section).isin(*components)
     if by:
-        suppressed = rows.filter(weaker).join(found.select(*by).distinct(), list(by), "left_anti").select(*rows.columns)
+        groups = found.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        suppressed = rows.filter(weaker).join(groups, same, "left_anti")
     else:
         suppressed = rows.filter(weaker).join(found.limit(1).agg((F.count("*") > 0).alias("_has")), F.lit(True)).filter("not _has").drop("_has")  # one row
     return rows.filter(~F.coalesce(weaker, F.lit(False))).unionByName(suppressed)
 
 
-def nearest(rows: DataFrame, refs: DataFrame, distance: Column, row_key: Sequence[str], label: str, order: str) -> DataFrame:
-    """The label with the smallest distance for each row, the first in order on ties. refs is a small reference table: it's broadcast by Spark only if its size allows."""
-    pairs = rows.join(refs, F.lit(True))
-    return pairs.groupBy(*row_key).agg(F.min_by(F.col(label), F.struct(distance, F.col(order))).alias(label), F.min(distance).alias("distance"))
+def nearest(rows: DataFrame, refs: DataFrame, distance: Callable[[Column], Column], row_key: Sequence[str], label: str, order: str) -> DataFrame:
+    """row_key, label and distance of the nearest reference of each row, the first in order on ties; distance takes a reference as a struct.
+
+    Up to MOST_REFS references, counted first, go to the rows as one array, so nothing is shuffled; more of them are dealt
+    into blocks of that size, a row meets each block, and the best of the blocks is its best.
+    """
+    blocks = max(1, -(-refs.count() // MOST_REFS))
+    listed = refs.groupBy(F.pmod(F.xxhash64(order), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(*refs.columns)).alias("_refs"))
+
+    def scored(r: Column) -> Column:
+        return F.struct(distance(r).alias("distance"), r[order].alias("order"), r[label].alias("label"))
+
+    met = rows.join(listed.select("_refs"), F.lit(True))  # a row for each block
+    best = met.select(*row_key, F.array_min(F.transform("_refs", scored)).alias("_b"))
+    if blocks > 1:
+        best = best.groupBy(*row_key).agg(F.min("_b").alias("_b"))
+    return best.select(*row_key, F.col("_b.label").alias(label), F.col("_b.distance").alias("distance"))

@@ -119,7 +119,10 @@ SELECT p_partkey, arg_min(w, [dist, ord]) AS base, min(dist) AS distance FROM r
 def nearest_layout(spark, d):
     """Nearest base by L1, the first on ties."""
     refs = spark.sql("SELECT * FROM VALUES (10, 900, 0), (25, 930, 1), (40, 960, 2) AS t(w, h, ord)")
-    dist = F.abs(F.col("p_size") - F.col("w")) + F.abs(F.col("p_retailprice") - F.col("h"))
+
+    def dist(r):
+        return F.abs(F.col("p_size") - r["w"]) + F.abs(F.col("p_retailprice") - r["h"])
+
     return J.nearest(table(spark, d, "part"), refs, dist, ["p_partkey"], "w", "ord").withColumnRenamed("w", "base")
 
 
@@ -603,7 +606,7 @@ def nearest_reference(spark, d):
     """Against the first vector of each label."""
     e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     refs = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("ref"))
-    near = J.nearest(e.select("vec_id", "v"), refs, F.round(M.squared_distance(F.col("v"), F.col("ref")), 9), ["vec_id"], "label", "label")
+    near = J.nearest(e.select("vec_id", "v"), refs, lambda r: F.round(M.squared_distance(F.col("v"), r["ref"]), 9), ["vec_id"], "label", "label")
     return near.withColumn("distance", F.round("distance", 6))
 
 

@@ -332,3 +332,15 @@ def test_merge_exports(spark):
     kind = "s string, k int, v int"
     old, new = spark.createDataFrame([("inv", 1, 2), ("inv", 2, 3), ("x", 1, 1), ("y", 5, 5)], kind), spark.createDataFrame([("inv", 1, 5), ("x", 2, 9)], kind)
     assert rows(G.merge_exports(old, new, "s", "k", "v", ["inv"])) == [("inv", 1, 7), ("inv", 2, 3), ("x", 2, 9), ("y", 5, 5)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    refs = [(i, "abcdefg"[i], float(i * 10 % 37)) for i in range(7)]
+    d = spark.createDataFrame([(i, i * 1.7) for i in range(25)], "id int, x double")
+    r = spark.createDataFrame(refs, "ord int, name string, at double")
+    want = {i: min((abs(i * 1.7 - at), o, n) for o, n, at in refs)[::2] for i in range(25)}
+    for most in (1000, 2):
+        monkeypatch.setattr(J, "MOST_REFS", most)
+        got = J.nearest(d, r, lambda x: F.abs(F.col("x") - x["at"]), ["id"], "name", "ord")
+        assert {x.id: (x.distance, x.name) for x in got.collect()} == want
+    assert J.nearest(d, r.limit(0), lambda x: F.abs(F.col("x") - x["at"]), ["id"], "name", "ord").count() == 0
