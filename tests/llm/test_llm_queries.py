@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_toxicity": "doc_id held_out score predicted",
     "op9_quality_mil": "doc_id held_out score predicted",
     "op10_mix_sources": "doc_id size source_size target taken",
+    "op11_lexical_search": "item_id rank doc_id score",
+    "op12_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_embedding_dedup": "vec_id n_links component_id kept",
 }
 
 
@@ -32,7 +35,7 @@ def test_query(spark, name):
     assert got
     if name in registry.ORACLES:
         db = duckdb.connect()
-        for t in ("documents", "conversations"):
+        for t in ("documents", "conversations", "benchmark", "embeddings"):
             db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
         rel = db.sql(registry.ORACLES[name])
         at = [rel.columns.index(c) for c in cols]
