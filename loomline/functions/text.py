@@ -132,6 +132,22 @@ def safe_relative_path(s, extension: str = ".png") -> Column:
     return F.coalesce(~s.rlike(r"^[/\\]") & ~s.rlike("^[A-Za-z]:") & ~s.rlike(r"(^|[/\\])\.\.([/\\]|$)") & F.lower(s).endswith(extension), F.lit(False))
 
 
+def claimed(status, claim: str = "claim") -> Column:
+    """Whether a status is the claim text, in any case, or shows progress with a slash; unknown is not."""
+    s = F.lower(F.trim(_c(status)))
+    return F.coalesce((s == claim.lower()) | s.contains("/"), F.lit(False))
+
+
+def session_name(at) -> Column:
+    """A time as the name of a session, 2024-01-31_23-59-59; and back by session_time."""
+    return F.date_format(_c(at), "yyyy-MM-dd_HH-mm-ss")
+
+
+def session_time(name) -> Column:
+    """The time of a session's name; NULL for other names."""
+    return F.try_to_timestamp(_c(name), F.lit("yyyy-MM-dd_HH-mm-ss"))
+
+
 # Coercions, which differ on purpose; each takes text (bools as 'true' and 'false').
 def export_int(s, default=None) -> Column:
     """Digits only; anything else is the default."""

@@ -74,3 +74,37 @@ def ordered_text(rows: DataFrame, key: str, order: Sequence[str], text: str, con
 
 def bounding_box(rows: DataFrame, key: Sequence[str], x: Column, y: Column, right: Column, bottom: Column) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(x).alias("x"), F.min(y).alias("y"), (F.max(right) - F.min(x)).alias("w"), (F.max(bottom) - F.min(y)).alias("h"))
+
+
+def pair_slots(rows: DataFrame, key: Sequence[str], order: Sequence[Column], kind: str, value: str, n: int, prefix: str) -> DataFrame:
+    """The first n (kind, value) pairs of each key side by side: prefixType1, prefixValue1, ..."""
+    d = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_i") <= n)
+    one = lambda i, c: F.max(F.when(F.col("_i") == i, F.col(c)))
+    return d.groupBy(*key).agg(*[one(i, c).alias(f"{prefix}{name}{i}") for i in range(1, n + 1) for c, name in ((kind, "Type"), (value, "Value"))])
+
+
+def family_coverage(planned: DataFrame, existing: DataFrame, family: str, key: str) -> DataFrame:
+    """By family, how many keys are planned, how many of them exist, and how many are missing."""
+    there = existing.select(key).distinct().withColumn("_e", F.lit(1))
+    return planned.join(there, key, "left").groupBy(family).agg(F.count("*").alias("total"), F.count("_e").alias("existing"), (F.count("*") - F.count("_e")).alias("missing"))
+
+
+def keyed_by_first(rows: DataFrame, names: Sequence[str], order: str, out: str = "key") -> DataFrame:
+    """The last row of each key, which is the first of the named columns that isn't null or empty, as text."""
+    filled = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names]
+    d = rows.withColumn(out, F.coalesce(*filled)).filter(F.col(out).isNotNull())
+    return d.groupBy(out).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select(out, "_r.*")
+
+
+def range_midpoint(rows: DataFrame, key: Sequence[str], low: str, high: str, channels: int = 3, default: int = 128) -> DataFrame:
+    """key and `midpoint`: by channel, the whole mean of the whole midpoints of ranges (arrays low, high); ranges with fewer channels don't count, and without any each channel is the default."""
+    whole = (F.size(low) >= channels) & (F.size(high) >= channels)
+    mean = [F.coalesce(F.floor(F.avg(F.when(whole, F.floor((F.get(low, i) + F.get(high, i)) / 2)))), F.lit(default)).cast("bigint") for i in range(channels)]
+    return rows.groupBy(*key).agg(F.array(*mean).alias("midpoint"))
+
+
+def display_stat(stats: Column, fixed: Column, flat: Sequence[str]) -> Column:
+    """Of stats (an array of struct name, value, in order): the first that isn't the fixed one, if one is fixed; else the first that isn't flat; else the first."""
+    squash = lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9%]", "")
+    other = F.when(fixed.isNotNull(), F.get(F.filter(stats, lambda s: squash(s["name"]) != squash(fixed)), 0))
+    return F.coalesce(other, F.get(F.filter(stats, lambda s: ~squash(s["name"]).isin(*flat)), 0), F.get(stats, 0))

@@ -21,6 +21,21 @@ def two_tier_lookup(requests: DataFrame, memory: DataFrame, store: DataFrame, ke
     return d.withColumn(payload, F.coalesce("_m", "_s")).withColumn("tier", tier).drop("_m", "_s")
 
 
+def promoting_lookup(requests: DataFrame, order: str, memory: DataFrame, store: DataFrame, keys: Sequence[str], payload: str) -> tuple[DataFrame, DataFrame]:
+    """Lookups in order, which change the memory: the requests with payload and tier, and the memory (keys, payload, hits) after them.
+
+    The first request for a key that only the store has is a hit of the store and brings it into memory, where later
+    requests find it; every hit of either tier counts for the key. Misses change nothing. A request with a null key is a miss.
+    """
+    found = two_tier_lookup(requests, memory, store, keys, payload)
+    first = found.filter("tier = 'store'").groupBy(*keys).agg(F.min(order).alias("_first"))  # a key asked for very often is one row from each task
+    d = found.join(first, list(keys), "left")
+    d = d.withColumn("tier", F.when((F.col("tier") == "store") & (F.col(order) > F.col("_first")), "memory").otherwise(F.col("tier"))).drop("_first")
+    hits = d.filter("tier <> 'miss'").groupBy(*keys).agg(F.max(payload).alias("_p"), F.count("*").alias("_h"))
+    after = memory.select(*keys, payload, "hits").join(hits, list(keys), "full_outer")
+    return d, after.select(*keys, F.coalesce(payload, "_p").alias(payload), (F.coalesce("hits", F.lit(0)) + F.coalesce("_h", F.lit(0))).cast("long").alias("hits"))
+
+
 def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Insert or replace: the newest row of each key stays, a new one wins a tie; a replaced row starts with no hits."""
     both = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

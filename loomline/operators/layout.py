@@ -16,6 +16,16 @@ def row_groups(rows: DataFrame, key: Sequence[str], top: Column, bottom: Column,
     return d.withColumn("row_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def text_lines(tokens: DataFrame, key: Sequence[str], gap, divisor: str = " ") -> DataFrame:
+    """key, row_no, line of tokens (x0, y0, y1, ord, text): rows by row_groups from top to bottom, in each the texts from left to right.
+
+    The order is stable: at equal tops, and at equal left edges, the one that comes first in ord comes first. A null text is left out of its line.
+    """
+    d = row_groups(tokens, key, F.col("y0"), F.col("y1"), gap, ["y0", "ord"])
+    parts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x0", "y0", "ord", "text"))))
+    return d.groupBy(*key, "row_no").agg(F.array_join(F.transform(parts, lambda t: t["text"]), divisor).alias("line"))
+
+
 def take_while(rows: DataFrame, key: Sequence[str], order: Sequence[str], stop: Column) -> DataFrame:
     """Rows before the first one that stops; an unknown condition doesn't stop."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

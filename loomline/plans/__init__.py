@@ -1,3 +1,3 @@
 """Query plans over the driver's tables."""
 
-from . import basics, records  # noqa: F401 - they register their queries
+from . import basics, records, structures  # noqa: F401 - they register their queries

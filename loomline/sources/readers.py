@@ -127,8 +127,18 @@ def split_log(lines: DataFrame, line: str, names: tuple[str, ...], sep: str = "\
 
 
 def tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, length) of files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length")
+    """(path, type, size) of the files and folders below root, relative to it; folders have no size, names that begin with a dot are left out, and only what is right below root is listed unless recursive.
+
+    Folders are those that files lie in: an empty one isn't seen. Contents aren't read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    home = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
+    f = found.select(F.substring(F.regexp_replace("path", "^file:/*", "/"), F.length(home) + 2, F.lit(1 << 20)).alias("path"), F.col("length").alias("size")).filter(~F.substring_index("path", "/", -1).startswith("."))
+    parts = F.split("path", "/")
+    inner = f.filter(F.contains("path", F.lit("/")))
+    folders = (inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")) if recursive else inner.select(F.get(parts, 0).alias("path"))).distinct()
+    files = f if recursive else f.filter(~F.contains("path", F.lit("/")))
+    return files.select("path", F.lit("file").alias("type"), "size").unionByName(folders.select("path", F.lit("dir").alias("type"), F.lit(None).cast("bigint").alias("size")))
 
 
 def content_search(spark: SparkSession, root: str, query: str, most: int, pattern: str = "*") -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import commit_if_complete
+from ..operators.incremental import commit_if_complete, promoting_lookup
 
 
 def write_sections(sections: dict[str, DataFrame | None], root: str) -> list[str]:
@@ -66,3 +66,20 @@ def sync_sources(planned: DataFrame, state: DataFrame | None, key: str, digest:
     if complete:
         save_state(planned, path)
     return todo, complete
+
+
+def lookup_in_state(requests: DataFrame, order: str, path: str, store: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
+    """Requests looked up in the memory saved at path, then in the store; hits of the store are in the memory from then on, whole or not at all.
+
+    The answers are written beside the memory first, so they are those of the memory as it was. A lost run leaves the memory as it was.
+    """
+    spark = requests.sparkSession
+    memory = load_state(spark, path)
+    if memory is None:
+        kinds = {f.name: f.dataType.simpleString() for f in store.schema}
+        memory = spark.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in [*keys, payload]) + ", hits bigint")
+    answers, after = promoting_lookup(requests, order, memory, store, keys, payload)
+    told = f"{path}/answers-{uuid.uuid4().hex}"
+    answers.write.parquet(told)
+    save_state(after, path)
+    return spark.read.parquet(told)
