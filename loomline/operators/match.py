@@ -67,8 +67,9 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 def edit_distance_best_match(rows: DataFrame, text: str, names: DataFrame, name: str, most: int) -> DataFrame:
     """rows with match and distance: the name with the fewest edits, `most` at most, the first in name order on ties.
 
-    A name cut into most + 1 segments keeps one of them whole, moved by `most` places at most, in every text that near:
-    so texts meet names on length, segment number and segment, not on their length alone.
+    A name cut into most + 1 segments keeps one of them whole in every text that near: so texts meet names on length, segment
+    number and segment. Of all places of such a segment only those count where no more edits than segments before it lie on
+    its left, and no more on its right than are left over: the first segment that is whole is in one of them.
     """
     parts = most + 1
     d = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct()
@@ -80,11 +81,11 @@ def edit_distance_best_match(rows: DataFrame, text: str, names: DataFrame, name:
 
     def seen(i: int, by: int) -> Column:
         start, size = _segment(F.col("_l"), i, parts)
-        at = start + by
-        return F.when((at >= 0) & (at + size <= F.length("_text")), F.struct(F.col("_l").alias("l"), F.lit(i).alias("i"), F.substr("_text", at + 1, size).alias("s")))
+        at, rest = start + by, by - (F.length("_text") - F.col("_l"))
+        return F.when(rest.between(i - most, most - i) & (at >= 0) & (at + size <= F.length("_text")), F.struct(F.col("_l").alias("l"), F.lit(i).alias("i"), F.substr("_text", at + 1, size).alias("s")))
 
     lengths = F.explode(F.sequence(F.greatest(F.length("_text") - most, F.lit(0)), F.length("_text") + most))
-    met = F.explode(F.array_distinct(F.array_compact(F.array(*[seen(i, by) for i in range(parts) for by in range(-most, most + 1)]))))
+    met = F.explode(F.array_distinct(F.array_compact(F.array(*[seen(i, by) for i in range(parts) for by in range(-i, i + 1)]))))
     a = d.withColumn("_l", lengths).select("_text", met.alias("_k"))
     b = n.select("_name", F.explode(F.array(*[own(i) for i in range(parts)])).alias("_k"))
     pairs = a.join(b, "_k").select("_text", "_name").distinct().withColumn("_d", F.levenshtein("_text", "_name", most)).filter("_d >= 0")

@@ -64,7 +64,7 @@ def resolve_cost(rows: DataFrame, refs: Sequence[str], known: DataFrame, inferre
     by_prefix = F.coalesce(*[F.col(f"_prefix{i}") for i in range(len(inferred))]).cast("bigint")
     own = F.col(given).cast("string").try_cast("bigint")
     step = F.when(F.col("_known").isNotNull(), "metadata").when(by_prefix.isNotNull(), "prefix").when(own.isNotNull(), "given").otherwise("unknown")
-    return d.withColumns({out: F.coalesce(F.col("_known").cast("bigint"), by_prefix, own), "step": step}).drop("_known", *[f"_prefix{i}" for i in range(len(inferred))])
+    return d.select(*rows.columns, F.coalesce(F.col("_known").cast("bigint"), by_prefix, own).alias(out), step.alias("step"))
 
 
 def resolve_name(rows: DataFrame, id_col: str, key_col: str, by_id: DataFrame, by_key: DataFrame, out: str = "name") -> DataFrame:

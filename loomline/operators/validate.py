@@ -35,9 +35,13 @@ def nearest_tier(value: Column, tiers: Column) -> Column:
     return near["t"]
 
 
-def tier_message(name: Column, value: Column, tiers: Column) -> tuple[Column, Column]:
-    """(error, warning) of a value against its tiers: exact is well, within the tolerance warns, beyond is an error."""
-    gap = F.abs(nearest_tier(value, tiers) - value)
+def tier_gap(value: Column, tiers: Column) -> Column:
+    """How far a value is from the nearest of its tiers."""
+    return F.array_min(F.transform(tiers, lambda t: F.abs(t - value)))
+
+
+def tier_message(name: Column, gap: Column) -> tuple[Column, Column]:
+    """(error, warning) of a value that far from its nearest tier: exact is well, within the tolerance warns, beyond is an error."""
     return (
         F.when(gap > tolerance(name), F.concat(F.lit("off tier: "), name)),
         F.when((gap > 1e-9) & (gap <= tolerance(name)), F.concat(F.lit("near tier: "), name)),
@@ -58,22 +62,24 @@ def validate(records: DataFrame, stats: DataFrame, rules_main: DataFrame, rules_
     level, expected); rules_sub(name, tier_ord, tier); rules_max(level, max_subs). Without main rules every record
     is valid with one warning.
     """
-    st = stats.withColumn("_v", stat_value("value_raw")["num"])
+    tiers = rules_sub.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("tier_ord", "tier"))), lambda x: x["tier"]).alias("t"))
+    tiers = tiers.agg(F.map_from_entries(F.collect_list(F.struct("name", "t"))).alias("tiers"))  # one row
+    # each value meets its tiers once, in its own row
+    st = stats.withColumn("_v", stat_value("value_raw")["num"]).join(tiers, F.lit(True), "left").withColumn("_t", F.when(F.col("bucket") == "sub", F.try_element_at("tiers", F.col("name"))))
+    st = st.withColumn("_gap", tier_gap(F.col("_v"), F.col("_t"))).withColumn("_known", F.col("_t").isNotNull()).drop("tiers", "_t")
 
     def listed(bucket):
-        return F.filter(F.array_sort(F.collect_list(F.struct("ord", "bucket", "name", F.col("_v").alias("v")))), lambda x: x["bucket"] == bucket).alias(bucket)
+        return F.filter(F.array_sort(F.collect_list(F.struct("ord", "bucket", "name", F.col("_v").alias("v"), F.col("_gap").alias("gap"), F.col("_known").alias("known")))), lambda x: x["bucket"] == bucket).alias(bucket)
 
     grouped = st.groupBy("rec_id").agg(listed("main"), listed("sub"))
     main = rules_main.groupBy("cost", "level").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "fixed", F.struct("name", "expected")))).alias("fixed"),
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "rolled", F.struct("name", "expected")))).alias("rolled"),
     )
-    tiers = rules_sub.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("tier_ord", "tier"))), lambda x: x["tier"]).alias("t"))
-    tiers = tiers.agg(F.map_from_entries(F.collect_list(F.struct("name", "t"))).alias("tiers"))
     loaded = rules_main.agg((F.count("*") > 0).alias("loaded"))
-    none = F.array().cast("array<struct<ord:int,bucket:string,name:string,v:double>>")
+    none = F.array().cast("array<struct<ord:int,bucket:string,name:string,v:double,gap:double,known:boolean>>")
     d = records.join(grouped, "rec_id", "left").join(main, ["cost", "level"], "left").join(rules_max, "level", "left")
-    d = d.join(tiers, F.lit(True), "left").join(loaded, F.lit(True), "left")  # one row each
+    d = d.join(loaded, F.lit(True), "left")  # one row
     d = d.withColumn("main", F.coalesce("main", none)).withColumn("sub", F.coalesce("sub", none))
     fixed_name = F.get(F.map_keys("fixed"), 0)
     fixed = F.get(F.filter("main", lambda x: x["name"] == fixed_name), 0)
@@ -85,9 +91,6 @@ def validate(records: DataFrame, stats: DataFrame, rules_main: DataFrame, rules_
     def per_sub(f):
         return F.filter(F.transform("sub", f), lambda x: x.isNotNull())
 
-    def known(x):
-        return F.try_element_at("tiers", x["name"])
-
     twice = F.filter(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)
     both = F.filter(names, lambda n: n.endswith("%") & F.array_contains(names, F.regexp_replace(n, "%$", "")) & ~F.regexp_replace(n, "%$", "").isin(*BOTH_FORMS))
     errors = F.concat(
@@ -97,10 +100,10 @@ def validate(records: DataFrame, stats: DataFrame, rules_main: DataFrame, rules_
             F.when(F.size(others) != 1, "other main count").when(roll.isNull(), "other main not allowed").when(other["v"].isNull(), "other main not numeric"),
             F.when(F.size("sub") > F.col("max_subs"), "too many subs"),
         ),
-        per_sub(lambda x: F.when(known(x).isNull(), F.concat(F.lit("unknown sub: "), x["name"])).when(x["v"].isNull(), F.concat(F.lit("sub not numeric: "), x["name"]))),
+        per_sub(lambda x: F.when(~x["known"], F.concat(F.lit("unknown sub: "), x["name"])).when(x["v"].isNull(), F.concat(F.lit("sub not numeric: "), x["name"]))),
         F.transform(twice, lambda n: F.concat(F.lit("duplicate: "), n)),
         F.transform(both, lambda n: F.concat(F.lit("flat and percent: "), n)),
-        per_sub(lambda x: tier_message(x["name"], x["v"], known(x))[0]),
+        per_sub(lambda x: tier_message(x["name"], x["gap"])[0]),
     )
     warnings = F.concat(
         _some(
@@ -108,7 +111,7 @@ def validate(records: DataFrame, stats: DataFrame, rules_main: DataFrame, rules_
             F.when(F.abs(other["v"] - roll) > tolerance(other["name"]), "other main value"),
             F.when(F.size("sub") < F.col("max_subs"), "missing subs"),
         ),
-        per_sub(lambda x: tier_message(x["name"], x["v"], known(x))[1]),
+        per_sub(lambda x: tier_message(x["name"], x["gap"])[1]),
     )
     empty = F.array().cast("array<string>")
     stop_warn = F.when(~F.col("loaded"), F.array(F.lit("rules not loaded"))).when(~F.col("rarity").eqNullSafe(F.lit(RARITY)), F.array(F.lit("rarity not checked")))

@@ -134,6 +134,73 @@ def state_round_trip(spark, d):
     return sinks.load_state(spark, path)
 
 
+def _scans(spark: SparkSession, d: str) -> str:
+    """Suppliers as scan folders of their nation's session, each with meta.json, every third one without full.png."""
+    root = f"{S.work_folder(spark)}/scans"
+    s = table(spark, d, "supplier")
+    folder = F.concat(F.lit("2024-01-"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 2, "0"), F.lit("_00-00-00/raw/"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"))
+    page = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey"))
+    meta = s.select(F.concat(folder, F.lit("/meta.json")).alias("path"), F.to_json(F.struct(F.col("s_suppkey").alias("index"), page.alias("page"))).alias("content"))
+    image = s.filter("s_suppkey % 3 <> 0").select(F.concat(folder, F.lit("/full.png")).alias("path"), F.col("s_name").alias("content"))
+    sinks.write_files(meta.unionByName(image), root)
+    return root
+
+
+@query("""
+SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS folder, s_suppkey AS "index", CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE 77 END::BIGINT AS page, 5::BIGINT AS col, NULL AS lacks FROM supplier WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT lpad(s_suppkey::VARCHAR, 6, '0'), NULL, NULL, NULL, 'full.png' FROM supplier WHERE s_suppkey % 3 = 0
+""")
+def scan_folders(spark, d):
+    """Complete scan folders with columns from meta.json, then the manifest, then constants; incomplete ones are reported."""
+    root = _scans(spark, d)
+    metas = readers.scan_meta(spark, root, "index bigint, page bigint, col bigint", {"page": 77}, {"page": 1, "col": 5})
+    name = F.substring_index("folder", "/", -1).alias("folder")
+    lacking = readers.scan_folders(spark, root)[1].select(name, *[F.lit(None).cast("bigint").alias(c) for c in ("index", "page", "col")], F.array_join("lacks", ",").alias("lacks"))
+    return metas.select(name, "index", "page", "col", F.lit(None).cast("string").alias("lacks")).unionByName(lacking)
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn IN (0, 1, 3, 4) GROUP BY 1 HAVING count(DISTINCT turn) = 4) GROUP BY 1")
+def complete_scans(spark, d):
+    """Those that have each needed section."""
+    return readers.complete_sections(table(spark, d, "conversations"), "conv_id", "turn").groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s AS session, row_number() OVER (ORDER BY s DESC)::INT AS place FROM (SELECT DISTINCT '2024-01-' || lpad((s_nationkey + 1)::VARCHAR, 2, '0') || '_00-00-00' AS s FROM supplier)")
+def session_listing(spark, d):
+    """Sessions with raw scans, the newest first."""
+    found = readers.sessions(spark, _scans(spark, d))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("session"))))  # a row a session
+
+
+@query("""
+WITH f AS (SELECT '2024-01-' || lpad((s_nationkey + 1)::VARCHAR, 2, '0') || '_00-00-00' AS a, lpad(s_suppkey::VARCHAR, 6, '0') AS b, s_suppkey AS k FROM supplier)
+SELECT DISTINCT a AS path, 'dir' AS type FROM f UNION ALL SELECT DISTINCT a || '/raw', 'dir' FROM f UNION ALL SELECT a || '/raw/' || b, 'dir' FROM f UNION ALL SELECT a || '/raw/' || b || '/meta.json', 'file' FROM f UNION ALL SELECT a || '/raw/' || b || '/full.png', 'file' FROM f WHERE k % 3 <> 0
+""")
+def folder_tree(spark, d):
+    """Files and folders, relative to the root."""
+    return readers.tree(spark, _scans(spark, d)).select("path", "type")
+
+
+@query("""
+SELECT 1 AS run, p_partkey, true AS saved FROM part UNION ALL SELECT 2, p_partkey, false FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 3, p_partkey, true FROM part WHERE p_partkey % 4 = 0
+""")
+def source_sync(spark, d):
+    """All sources, then the changed ones, of which one fails so that nothing is saved, then those again."""
+    path = f"{S.work_folder(spark)}/sources"
+    p = table(spark, d, "part").select("p_partkey", F.md5(F.col("p_name").cast("binary")).alias("digest"))
+    new = p.withColumn("digest", F.when(F.col("p_partkey") % 4 == 0, F.lit("changed")).otherwise(F.col("digest")))
+    out = None
+    for run, planned, fetch in ((1, p, lambda x: x), (2, new, lambda x: x.filter("p_partkey % 8 <> 0")), (3, new, lambda x: x)):
+        state = sinks.load_state(spark, path)
+        todo = planned if state is None else planned.join(state.withColumnRenamed("digest", "_d"), "p_partkey", "left").filter(~F.col("digest").eqNullSafe(F.col("_d"))).select("p_partkey", "digest")
+        told = f"{S.work_folder(spark)}/todo"
+        todo.write.parquet(told)  # the state changes below
+        _, saved = sinks.sync_sources(planned, state, "p_partkey", "digest", fetch, path)
+        one = spark.read.parquet(told).select(F.lit(run).alias("run"), "p_partkey", F.lit(saved).alias("saved"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Streams with state
 
 

@@ -83,7 +83,7 @@ def complete_sections(rows: DataFrame, key: str, section: str, needed: tuple[int
 
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions below root that have raw files, newest first."""
+    """Sessions below root that have raw files, empty ones not counted, newest first."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     return f.select(F.regexp_extract("path", r"/([^/]+)/raw/", 1).alias("session")).filter("session <> ''").distinct().orderBy(F.desc("session"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,32 @@ def lookup_in_state(requests: DataFrame, order: str, path: str, store: DataFrame
     answers.write.parquet(told)
     save_state(after, path)
     return spark.read.parquet(told)
+
+
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Each row (path, content) as a file of its own below root, and the list (path, size) of what was written; a repeated run writes the same files again.
+
+    A null content is an empty file. Files are put in place whole: a draft beside them is moved.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, home = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for f in frames:
+            done = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                folder, _, name = f"{home}/{path}".rpartition("/")
+                data = bytes(content) if content is not None else b""
+                store.create_dir(folder, recursive=True)
+                draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(data)
+                store.move(draft, f"{folder}/{name}")
+                done.append((path, len(data)))
+            yield pd.DataFrame(done, columns=["path", "size"])
+
+    done = rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, size bigint")
+    listed = f"{root}/.written-{uuid.uuid4().hex}"
+    done.write.parquet(listed)  # once: the list is read from here
+    return rows.sparkSession.read.parquet(listed)
