@@ -8,6 +8,11 @@ cluster too. Everything in the region is kept, short lines too, but what is mark
 sidebar, notice, advert, form, script, style or reader comment. Lines that are links only count as marked where
 the region is the page itself or has grown over them, unless they lie between lines of the high cluster.
 
+A name can hold a marking word and mean something else. What is marked is kept where it holds most of the text that could be
+content (a form around the page, a wrapper), but for reader comments; inside an article a name with another word that names no part of
+a page (related-work) marks only what isn't of the high cluster for the most part. Time is linear in the page: open elements
+are found by their places, and sums over nested elements go once from the leaves up.
+
 Cases: null or empty html gives an empty text, as does a page whose whole text is marked; broken markup is read
 as the parser gives it, with implied ends for paragraphs and list items; ties in the clusters go to content;
 repeated rows give repeated results; columns besides page_id, url and html are ignored.
@@ -18,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +37,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset(
-    "aside button canvas datalist dialog embed footer form head iframe input menu nav noscript object script search select "
+    "aside button canvas datalist dialog embed footer head iframe input menu nav noscript object script search select "
     "style svg template textarea title audio video map".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
@@ -45,19 +51,28 @@ MARKS = frozenset(
     "sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 # Words that make a name a condition of a wrapper, and those that mark reader comments.
-STATES = frozenset("no not non has with without is open opened closed enabled disabled lazy on off".split())
+STATES = frozenset("no not non has with without is open opened closed enabled disabled lazy on off free".split())
 REMARKS = frozenset("comment comments commentlist disqus replies reply respond".split())
+# Words for parts of a page, which say nothing about what a marked one holds.
+PARTS = frozenset(
+    "area article articles aside author bar big block blocks body bottom box button buttons card cards center center col column container content desktop div entry "
+    "extra field fixed float footer form global group head header heading home html icon icons id image img inner input item items js l label large layout left level link links list "
+    "lg m main md media meta middle mobile module modules more news outer page pages panel placeholder popular position post posts primary reader rectangle right row s section "
+    "secondary sign signup site sky skyscraper slot small sm sticky stories story tag tags text tile title top unit units up user view wrap wrapper wrapping x xl zone".split()
+)
 _NAMES, _WORDS = re.compile(r"\S+"), re.compile(r"[a-z]+")
 
 
-def marked(value: str) -> set[str]:
-    """The words that mark an element in a class, id or role."""
+def marked(value: str) -> tuple[set[str], bool]:
+    """The words that mark an element in a class, id or role, and whether each name that has some also has a word that is no part of a page."""
     found: set[str] = set()
+    doubtful = True
     for name in _NAMES.findall(value.lower()):
         words = set(_WORDS.findall(name))
         if words & MARKS and not words & STATES:
             found |= words & MARKS
-    return found
+            doubtful &= bool(words - MARKS - PARTS)
+    return found, doubtful and bool(found)
 
 
 #: Standard deviation of the smoothing kernel, in lines, and its reach.
@@ -66,103 +81,148 @@ SIGMA, REACH = 1.0, 3
 MOST = 0.6
 
 
+class _Open(NamedTuple):
+    """An open element."""
+
+    tag: str
+    container: int
+    noise: bool  # from here on
+    mark: int
+    linked: bool  # in a link
+    inside: bool  # in an article or main element
+
+
+class _Mark:
+    def __init__(self, parent: int, remarks: bool, inside: bool, doubtful: bool) -> None:
+        self.parent, self.remarks, self.inside, self.doubtful = parent, remarks, inside, doubtful and inside
+        self.main = self.article = False  # it holds one
+        self.size = 0
+
+
+_NOTHING = _Open("", -1, False, -1, False, False)
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, noise from here on, mark
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # by tag: where it is open
+        self.open_blocks: list[int] = []  # where blocks are open, and where those are that aren't paragraphs
+        self.open_firm: list[int] = []
         self.parents: list[tuple[int, str]] = []  # by container: parent, tag
-        self.marks: list[list] = []  # by mark: parent, holds main, holds an article, marks reader comments
+        self.marks: list[_Mark] = []
         self.articles = 0  # articles and main elements outside of all marks
-        self.blocks: list[tuple[list, int, int]] = []  # pieces of text (data, mark, in a link), tags, container
-        self.text: list[tuple[str, int, bool]] = []
+        self.blocks: list[tuple[list, int, int]] = []  # pieces of text (data, mark, in a link, inside an article), tags, container
+        self.text: list[tuple[str, int, bool, bool]] = []
         self.tags = 0
 
     def flush(self) -> None:
         if self.text:
-            self.blocks.append((self.text, self.tags, self.stack[-1][1] if self.stack else -1))
+            self.blocks.append((self.text, self.tags, self.stack[-1].container if self.stack else -1))
             self.text, self.tags = [], 0
 
+    def _push(self, x: _Open) -> None:
+        at = len(self.stack)
+        self.stack.append(x)
+        self.places.setdefault(x.tag, []).append(at)
+        if x.tag in BLOCKS:
+            self.open_blocks.append(at)
+            if x.tag != "p":
+                self.open_firm.append(at)
+
+    def _cut(self, at: int) -> None:
+        """Close all elements from a place on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.open_blocks.pop()
+                if tag != "p":
+                    self.open_firm.pop()
+
+    def _last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
-            self.text.append((" ", -1, True))
+            self.text.append((" ", -1, True, False))
         if tag in BLOCKS:
             self.flush()
             if ends := IMPLIED.get(tag):
-                self._imply(ends, tag)
+                at, firm = max(map(self._last, ends)), self.open_blocks if tag == "p" else self.open_firm
+                if at >= 0 and at >= (firm[-1] if firm else -1):
+                    self._cut(at)
         if tag in VOID:
             return
-        _, parent, noise, mark = self.stack[-1] if self.stack else ("", -1, False, -1)
+        up = self.stack[-1] if self.stack else _NOTHING
+        noise, mark, parent = up.noise, up.mark, up.container
         if not noise:
-            noise = tag in NOISE or tag == "header" and not any(t[0] in ("article", "main") for t in self.stack)
-        if not noise and attrs and tag not in ("html", "body", "article", "main"):
+            noise = tag in NOISE or tag == "header" and not up.inside
+        if not noise and tag not in ("html", "body", "article", "main"):
             noise = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-            if words := set().union(*[marked(v) for k, v in attrs if k in ("class", "id", "role") and v]):
-                self.marks.append([mark, False, False, not words.isdisjoint(REMARKS)])
+            names = [marked(v) for k, v in attrs if k in ("class", "id", "role") and v]
+            words = set().union(*[x for x, _ in names])
+            if words or tag == "form":
+                self.marks.append(_Mark(mark, not words.isdisjoint(REMARKS), up.inside, tag != "form" and all(d for x, d in names if x)))
                 mark = len(self.marks) - 1
         if not noise and tag in ("main", "article"):
             self.articles += mark < 0
-            m = mark
-            while m >= 0:
-                self.marks[m][1 if tag == "main" else 2] = True
-                m = self.marks[m][0]
+            if mark >= 0:
+                self.marks[mark].main |= tag == "main"
+                self.marks[mark].article |= tag == "article"
         if tag in CONTAINERS:
             self.parents.append((parent, tag))
             parent = len(self.parents) - 1
-        self.stack.append((tag, parent, noise, mark))
-
-    def _imply(self, ends: set[str], tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[k][0]
-            if t in ends:
-                del self.stack[k:]
-                return
-            if t in BLOCKS and not (tag != "p" and t == "p"):
-                return
+        self._push(_Open(tag, parent, noise, mark, up.linked or tag == "a", up.inside or tag in ("article", "main")))
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if tag not in BLOCKS and self.stack[k][0] in BLOCKS:
-                return  # an inline end does not close blocks
+        at = self._last(tag)
+        if at >= 0 and (tag in BLOCKS or not self.open_blocks or self.open_blocks[-1] < at):  # an inline end does not close blocks
+            self._cut(at)
 
     def handle_data(self, data):
-        if not self.stack:
-            self.text.append((data, -1, False))
-        elif not self.stack[-1][2]:
-            self.text.append((data, self.stack[-1][3], any(t[0] == "a" for t in self.stack)))
+        up = self.stack[-1] if self.stack else _NOTHING
+        if not up.noise:
+            self.text.append((data, up.mark, up.linked, up.inside))
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)  # <![...>: unknown keywords would end the parse
 
-    def lines(self, html: str) -> list[tuple[str, int, int, bool]]:
-        """Text, tags, container, links only of each block, without what is marked."""
+    def lines(self, html: str) -> list[tuple[str, int, int, bool, int]]:
+        """Text, tags, container, links only, and doubtful mark (or -1) of each block, without what is surely marked."""
         self.feed(html)
         self.close()
         self.flush()
-        size = [0] * len(self.marks)
-        whole = 0
+        marks, whole, held = self.marks, 0, 0
         for pieces, _, _ in self.blocks:
-            for data, m, _ in pieces:
-                whole += len(data)
-                while m >= 0:
-                    size[m] += len(data)
-                    m = self.marks[m][0]
-        gone = [False] * len(size)
-        for k, (up, main, article, remarks) in enumerate(self.marks):  # parents come before their children
-            wrapper = main or not self.articles and (article or not remarks and 2 * size[k] > whole)
-            gone[k] = not wrapper or up >= 0 and gone[up]
+            for data, m, _, inside in pieces:
+                n = len(data.strip())
+                whole += n
+                held += n * inside
+                if m >= 0:
+                    marks[m].size += n
+        for x in reversed(marks):  # parents come before their children
+            if x.parent >= 0:
+                up = marks[x.parent]
+                up.size, up.main, up.article = up.size + x.size, up.main or x.main, up.article or x.article
+        gone, doubt = [False] * len(marks), [-1] * len(marks)
+        for k, x in enumerate(marks):
+            most = not x.remarks and (2 * x.size > held if x.inside else not self.articles and 2 * x.size > whole)
+            wrapper = x.main or not self.articles and x.article or most
+            gone[k] = not wrapper and not x.doubtful or x.parent >= 0 and gone[x.parent]
+            doubt[k] = doubt[x.parent] if x.parent >= 0 and doubt[x.parent] >= 0 else k if x.doubtful and not wrapper else -1
         out, tags = [], 0
         for pieces, n, at in self.blocks:
-            kept = [(data, link) for data, m, link in pieces if m < 0 or not gone[m]]
-            line, tags = " ".join("".join(x for x, _ in kept).split()), tags + n
+            kept = [(data, link, m) for data, m, link, _ in pieces if m < 0 or not gone[m]]
+            line, tags = " ".join("".join(x for x, _, _ in kept).split()), tags + n
             if line:
-                out.append((line, tags, at, all(link or x.isspace() for x, link in kept)))
+                first = next(m for x, _, m in kept if not x.isspace())
+                out.append((line, tags, at, all(link or x.isspace() for x, link, _ in kept), doubt[first] if first >= 0 else -1))
                 tags = 0
         return out
 
@@ -203,17 +263,31 @@ def main_text(html: str | None) -> str:
     lines = page.lines(html)
     if not lines:
         return ""
-    ratios = smooth([len(t) / max(1, n) for t, n, _, _ in lines])
+    ratios = smooth([len(t) / max(1, n) for t, n, *_ in lines])
     least = threshold(ratios)
     chosen = [r >= least for r in ratios]
+    if any(x[4] >= 0 for x in lines):  # what is doubtful is content if most of its text is of the high cluster
+        sizes: dict[int, list[int]] = {}
+        for (t, _, _, link, m), c in zip(lines, chosen, strict=True):
+            if m >= 0:
+                size = sizes.setdefault(m, [0, 0])
+                size[c and not link] += len(t)
+        lines = [x for x in lines if x[4] < 0 or sizes[x[4]][1] >= sizes[x[4]][0]]
+        if not lines:
+            return ""
+        ratios = smooth([len(t) / max(1, n) for t, n, *_ in lines])
+        least = threshold(ratios)
+        chosen = [r >= least for r in ratios]
     held = [0] * len(page.parents)
     whole = 0
-    for (t, _, at, _), c in zip(lines, chosen, strict=True):
+    for (t, _, at, *_), c in zip(lines, chosen, strict=True):
         if c:
             whole += len(t)
-            while at >= 0:
+            if at >= 0:
                 held[at] += len(t)
-                at = page.parents[at][0]
+    for k in range(len(held) - 1, -1, -1):  # parents come before their children
+        if page.parents[k][0] >= 0:
+            held[page.parents[k][0]] += held[k]
     region, ancestors = -1, set()
     for k, (parent, tag) in enumerate(page.parents):  # parents come before their children
         if parent == region and held[k] >= MOST * whole and held[k]:
@@ -230,9 +304,9 @@ def main_text(html: str | None) -> str:
     level = [0] * len(page.parents)
     for k, (parent, _) in enumerate(page.parents):
         level[k] = rank[k] if k in rank else level[parent] if parent >= 0 else top
-    at_level = [level[at] if at >= 0 else top for _, _, at, _ in lines]
+    at_level = [level[at] if at >= 0 else top for _, _, at, *_ in lines]
     links = {n for n, x in zip(at_level, lines, strict=True) if x[3]}
-    high = [i for i, (t, n, _, link) in enumerate(lines) if chosen[i] and not link and at_level[i] < len(chain) and len(t) / max(1, n) >= least]
+    high = [i for i, (t, n, _, link, _) in enumerate(lines) if chosen[i] and not link and at_level[i] < len(chain) and len(t) / max(1, n) >= least]
     most = max((at_level[i] for i in high), default=0)
     while most + 1 < len(chain) and most + 1 not in links:
         most += 1

@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 import pytest
 from hypothesis import given
@@ -106,3 +108,70 @@ def test_smooth_and_threshold(values):
         w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(len(values)) if abs(i - j) <= 3}
         assert got[i] == pytest.approx(sum(values[j] * x for j, x in w.items()) / sum(w.values()))
     assert any(v >= H.threshold(got) for v in got)
+
+
+LONG = "A sentence with quite some words in it, so that it is content. " * 3
+
+
+def test_article_in_a_form_around_the_page():
+    page = f'<body><form id="aspnetForm"><div class="menu"><a href=x>One</a></div><div><h2>Head</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><div class="footer">All rights</div></form></body>'
+    assert H.main_text(page) == "\n".join(["Head", LONG.strip(), "Yes.", LONG.strip()])
+    inner = f"<body><form><nav>a</nav><article><p>{LONG}</p><form><label>Mail</label></form></article></form></body>"
+    assert H.main_text(inner) == LONG.strip()
+
+
+def test_names_that_only_hold_a_marking_word():
+    page = (
+        f'<body><article><p>{LONG}</p><div class="ad-free-content"><p>{LONG}</p><p>Short.</p></div><section class="related-work"><h2>Work</h2><p>{LONG}</p></section>'
+        f'<div class="ad-box"><p>{LONG}</p></div><div class="related-reading"><a href=a>One</a> <a href=b>Two</a></div><div class="newsletter-signup"><p>{LONG}</p></div></article></body>'
+    )
+    assert H.main_text(page) == "\n".join([LONG.strip(), LONG.strip(), "Short.", "Work", LONG.strip()])
+    whole = f'<article><h1>Head</h1><div class="banner promo"><p>{LONG}</p><p>{LONG}</p></div><div class="comments"><p>{LONG * 9}</p></div></article>'
+    assert H.main_text(whole) == "\n".join(["Head", LONG.strip(), LONG.strip()])  # the most of an article is no advert, but comments may be the most
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>t" * 200_000, "<span>t" * 100_000, "<b><div>" + "<span>" * 20_000 + "</b>x" * 20_000, "<div>" + "<span>" * 20_000 + "<p>a</p>" * 20_000, '<div class="ad">t' * 50_000, "<div>" * 20_000 + "</i>x" * 20_000, "<article>t" * 50_000],
+    ids=["divs", "spans", "inline ends", "paragraphs", "marks", "unmatched ends", "articles"],
+)
+def test_deep_markup_is_linear(page):
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 40  # seconds where it was hours
+
+
+def plain_region(lines, parents, least):
+    """The region by its definition: of all containers, walked up from each line, the deepest chain that holds most of the high text."""
+    held = {}
+    for size, at, high in lines:
+        while high and at >= 0:
+            held[at] = held.get(at, 0) + size
+            at = parents[at]
+    whole, region = sum(s for s, _, h in lines if h), -1
+    while deeper := [k for k, p in enumerate(parents) if p == region and held.get(k, 0) >= least * whole and held.get(k, 0)]:
+        region = deeper[0]
+    return region
+
+
+def test_region_against_its_definition():
+    rng = random.Random(8)
+    for _ in range(60):
+        html, names = [], 0
+        for _ in range(rng.randrange(2, 9)):  # paragraphs of different sizes in nested containers
+            depth = rng.randrange(1, 4)
+            html.append("<div>" * depth + "".join(f"<p>n{(names := names + 1)} " + "word " * rng.choice((3, 60)) + "</p>" for _ in range(rng.randrange(1, 4))) + "</div>" * depth)
+        page = H._Page()
+        lines = page.lines("<body>" + "".join(html) + "</body>")
+        ratios = H.smooth([len(t) / max(1, n) for t, n, *_ in lines])
+        least = H.threshold(ratios)
+        region = plain_region([(len(x[0]), x[2], r >= least) for x, r in zip(lines, ratios, strict=True)], [p for p, _ in page.parents], H.MOST)
+        inside = set()
+        for k in range(len(page.parents)):
+            at = k
+            while at >= 0 and at != region:
+                at = page.parents[at][0]
+            if at == region:
+                inside.add(k)
+        text = H.main_text("<body>" + "".join(html) + "</body>").split("\n")
+        assert {x[0] for x in lines if x[2] in inside or region < 0} <= set(text)  # and the region grows over unmarked text around it
