@@ -198,15 +198,18 @@ class _Page(HTMLParser):
         self.feed(html)
         self.close()
         self.flush()
-        marks, whole, held = self.marks, 0, 0
+        marks, whole, held, remark = self.marks, 0, 0, []
+        for x in marks:  # parents come before their children
+            remark.append(x.remarks or x.parent >= 0 and remark[x.parent])
         for pieces, _, _ in self.blocks:
             for data, m, _, inside in pieces:
                 n = len(data.strip())
-                whole += n
-                held += n * inside
                 if m >= 0:
                     marks[m].size += n
-        for x in reversed(marks):  # parents come before their children
+                if m < 0 or not remark[m]:  # what could be content
+                    whole += n
+                    held += n * inside
+        for x in reversed(marks):
             if x.parent >= 0:
                 up = marks[x.parent]
                 up.size, up.main, up.article = up.size + x.size, up.main or x.main, up.article or x.article
