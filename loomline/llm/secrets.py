@@ -8,8 +8,8 @@ fixed table of 128 x 128 numbers.
 
 Cases: a null text is empty; without matches the counts are 0, the digest is that of the empty string and spans
 is ''; equal rows give equal rows; an empty table gives an empty result (the model is then trained on generated
-samples alone). Whole texts are read, however long; the spans of a text are gathered in one array, so a text with very many
-matches takes time with their square. Positions count code points. Columns besides doc_id and text are ignored by `scan` and kept by
+samples alone). Whole texts are read, however long; the spans of a text are one array, made in time with their number (but
+`redact` copies the text with each span). Positions count code points. Columns besides doc_id and text are ignored by `scan` and kept by
 `redact`; internal names begin with `_sc_`.
 """
 
@@ -49,27 +49,52 @@ LEAST_RUN = 16
 _SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
+#: Values of an array that one fold goes over: a fold copies what it has gathered with each step.
+BLOCK = 128
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums(values: Column) -> Column:
+    """Running sums of an array, each with its own value: by blocks on top of the sums of the blocks before, so the time isn't the square of its length."""
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
+
+    def fold(items: Column, start: Column, own: bool) -> Column:
+        def step(acc, v):
+            now = acc["at"] + v
+            return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now if own else acc["at"])).alias("out"))
+
+        return F.aggregate(items, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def by_block(vs):
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / BLOCK).cast("int")), lambda k: F.slice(vs, k * BLOCK + 1, BLOCK))
+        starts = lambda bs: fold(F.transform(bs, lambda x: F.aggregate(x, zero, lambda acc, v: acc + v)), zero, False)
+        return _bound(cuts, lambda bs: F.flatten(F.zip_with(bs, starts(bs), lambda x, at: fold(x, at, True))))
+
+    return _bound(values, lambda vs: F.when(F.size(vs) == 0, none).when(F.size(vs) <= BLOCK, fold(vs, zero, True)).otherwise(by_block(vs)))
+
+
 def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans (start, kind, end) of the leftmost non-overlapping matches that `keep` accepts.
 
     The text between matches comes from split, the matches from extraction; their running length is the position.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, pieces, lambda m, p: F.struct(p.alias("p"), m.alias("m")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    pairs = F.filter(F.zip_with(found, pieces, lambda m, p: F.struct(F.length(p).alias("p"), m.alias("m"))), lambda x: x["m"].isNotNull())  # the last piece has no match
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
-        good = x["m"].isNotNull() & keep(x["m"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(ps):
+        ends = _sums(F.transform(ps, lambda x: (x["p"] + F.length(x["m"])).cast("bigint")))
+        spans_ = F.zip_with(ps, ends, lambda x, end: F.when(keep(x["m"]), F.struct((end - F.length(x["m"])).alias("s"), F.lit(kind).alias("k"), end.alias("e"))))
+        return F.filter(spans_, lambda x: x.isNotNull()).cast(_SPAN)
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _bound(pairs, placed)).otherwise(F.array().cast(_SPAN))
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame, most_docs: int = SAMPLE_DOCS, samples: int = SAMPLES) -> DataFrame:
-    """(sample, random): generated random strings; identifiers joined from parts, numbers, and letters-only words of about `most_docs` documents, as they are and in upper case."""
+    """(sample, random): generated random strings; identifiers joined from parts, numbers, and letters-only words of `most_docs` documents at most, as they are and in upper case."""
     ids = spark.range(samples)
     sha = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 512)
     b64 = F.base64(F.unhex(sha))
@@ -87,8 +112,10 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, most_docs: int = SAMP
         F.concat_ws("-", F.lit("2024"), F.lpad((F.pmod("id", F.lit(12)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod("id", F.lit(28)) + 1).cast("string"), 2, "0")),
     )
     named = ids.select(F.explode(made).alias("sample"), F.lit(False).alias("random"))
-    step = max(1, docs.count() // most_docs)
-    seen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(step)) == 0)
+    # documents with the smallest hashes of id and text, equal rows once: the bound holds whatever the ids are
+    own = docs.select("text", F.xxhash64("doc_id", "text", F.lit(23)).alias("_sc_h"))
+    least = own.select("_sc_h").distinct().orderBy("_sc_h").limit(most_docs).agg(F.max("_sc_h")).first()[0]
+    seen = own.filter(F.col("_sc_h") <= F.lit(least)).dropDuplicates(["_sc_h"])
     words = seen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w"))
     words = words.select(F.explode(F.array("w", F.upper("w"))).alias("sample"), F.lit(False).alias("random"))  # upper-case identifiers are of the same words
     return rnd.union(named).union(words)
@@ -139,15 +166,27 @@ def _ratio(model: list[float]):
     return of
 
 
-def _rests(run: Column, base: Column) -> Column:
-    """What sorted base spans leave of a run: (s, e), LEAST_RUN characters at least."""
-    zero = F.struct(run["s"].alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
+def _rests(runs: Column, base: Column) -> Column:
+    """What base spans leave of runs (sorted, apart): (s, e, run), LEAST_RUN characters at least, run being the run's number.
+
+    Beginnings and ends of both are sorted once; between two neighbours lies a rest if a run is open there and no span is.
+    """
+    ends = F.concat(
+        F.transform(runs, lambda x: F.struct(x["s"].alias("at"), F.lit(1).alias("run"), F.lit(0).alias("span"), F.lit(1).alias("begun"))),
+        F.transform(runs, lambda x: F.struct(x["e"].alias("at"), F.lit(-1).alias("run"), F.lit(0).alias("span"), F.lit(0).alias("begun"))),
+        F.transform(base, lambda x: F.struct(x["s"].alias("at"), F.lit(0).alias("run"), F.lit(1).alias("span"), F.lit(0).alias("begun"))),
+        F.transform(base, lambda x: F.struct(x["e"].alias("at"), F.lit(0).alias("run"), F.lit(-1).alias("span"), F.lit(0).alias("begun"))),
+    )
+    total = lambda es, name: _sums(F.transform(es, lambda x: x[name].cast("bigint")))
 
-    def add(acc, s):
-        return F.when(s - acc["at"] >= LEAST_RUN, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), s.alias("e"))))).otherwise(acc["out"])
+    def between(es):
+        pairs = F.greatest(F.size(es) - 1, F.lit(0))
+        open_ = F.zip_with(F.zip_with(total(es, "run"), total(es, "span"), lambda r, c: (r == 1) & (c == 0)), total(es, "begun"), lambda o, n: F.struct(o.alias("o"), (n - 1).alias("n")))
+        gaps = F.zip_with(F.slice(es, 1, pairs), F.slice(es, 2, pairs), lambda x, y: F.struct(x["at"].alias("s"), y["at"].alias("e")))
+        rests = F.zip_with(gaps, F.slice(open_, 1, pairs), lambda g, x: F.when(x["o"] & (g["e"] - g["s"] >= LEAST_RUN), F.struct(g["s"].alias("s"), g["e"].alias("e"), x["n"].cast("int").alias("run"))))
+        return F.filter(rests, lambda x: x.isNotNull())
 
-    over = F.filter(base, lambda b: (b["s"] < run["e"]) & (run["s"] < b["e"]))
-    return F.aggregate(over, zero, lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), add(acc, b["s"]).alias("out")), lambda acc: add(acc, run["e"]))
+    return _bound(F.sort_array(ends), between)
 
 
 def _stretches(token: Column, ratio) -> Column:
@@ -189,20 +228,18 @@ def _stretches(token: Column, ratio) -> Column:
 def _judged(text: Column, runs: Column, base: Column, model: list[float]) -> Column:
     """Spans that the models find in the runs, outside of sorted base spans."""
     ratio = _ratio(model)
-    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))  # one for each run
-
-    def of(run, token):
-        def found(rest):
-            piece = F.substr(token, (rest["s"] - run["s"] + 1).cast("int"), (rest["e"] - rest["s"]).cast("int"))
-            # a mark after a base span isn't part of what follows
-            marks = F.when(rest["s"] > run["s"], F.length(piece) - F.length(F.regexp_replace(piece, f"^{MARK}+", ""))).otherwise(F.lit(0))
-            own = F.substr(piece, marks + 1, F.length(piece))
-            got = F.when(F.length(own) >= LEAST_RUN, _stretches(own, ratio)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
-            return F.transform(got, lambda x: F.struct((rest["s"] + marks + x["s"]).alias("s"), F.lit(3).alias("k"), (rest["s"] + marks + x["e"]).alias("e")))
-
-        return F.flatten(F.transform(_rests(run, base), found))
 
-    return F.flatten(F.zip_with(runs, tokens, of)).cast(_SPAN)
+    def found(rest, tokens):
+        run = F.get(runs, rest["run"])
+        piece = F.substr(F.get(tokens, rest["run"]), (rest["s"] - run["s"] + 1).cast("int"), (rest["e"] - rest["s"]).cast("int"))
+        # a mark after a base span isn't part of what follows
+        marks = F.when(rest["s"] > run["s"], F.length(piece) - F.length(F.regexp_replace(piece, f"^{MARK}+", ""))).otherwise(F.lit(0))
+        own = F.substr(piece, marks + 1, F.length(piece))
+        got = F.when(F.length(own) >= LEAST_RUN, _stretches(own, ratio)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+        return F.transform(got, lambda x: F.struct((rest["s"] + marks + x["s"]).alias("s"), F.lit(3).alias("k"), (rest["s"] + marks + x["e"]).alias("e")))
+
+    # one token for each run
+    return _bound(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda tokens: F.flatten(F.transform(_rests(runs, base), lambda rest: found(rest, tokens)))).cast(_SPAN)
 
 
 def spans(text: Column) -> tuple[Column, Column]:

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -6,6 +7,7 @@ import string
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomline.llm import secrets as S
 
@@ -112,3 +114,49 @@ def test_rates_on_strings_of_other_makers(spark):
     rate = {k: sum(i in found for i, x in enumerate(kinds) if x == k) / kinds.count(k) for k in set(kinds)}
     wrong = [t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if i in found and k == "plain"]
     assert rate.pop("plain") <= 0.02 and min(rate.values()) >= 0.9, (rate, wrong)
+
+
+@pytest.mark.parametrize("block", [1, 3, 128])
+def test_running_sums(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    values = [[], [5], list(range(300)), [0, -1, 1] * 50, list(range(block * 2))]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<bigint>")
+    got = {r.i: r.s for r in d.select("i", S._sums(F.col("v")).alias("s")).collect()}
+    assert got == {i: list(itertools.accumulate(v)) for i, v in enumerate(values)}
+
+
+def test_rests_against_plain(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        edges = sorted(rng.sample(range(400), 2 * rng.randrange(0, 5)))
+        runs = [(a, 3, b) for a, b in zip(edges[::2], edges[1::2])]
+        base = sorted((a := rng.randrange(400), rng.randrange(3), a + rng.randrange(1, 60)) for _ in range(rng.randrange(6)))
+        rows.append((i, runs, base))
+    d = spark.createDataFrame(rows, f"i int, runs {S._SPAN}, base {S._SPAN}")
+    got = {r.i: [(x.s, x.e, x.run) for x in r.x] for r in d.select("i", S._rests(F.col("runs"), F.col("base")).alias("x")).collect()}
+    for i, runs, base in rows:
+        want = []
+        for n, (s, _, e) in enumerate(runs):
+            at = s
+            for a, _, b in [*base, (e, 0, e)]:
+                if b < s or a > e:
+                    continue
+                if min(a, e) - at >= S.LEAST_RUN:
+                    want.append((at, min(a, e), n))
+                at = max(at, b)
+        assert got[i] == want, (runs, base)
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 20_000
+    text = "\n".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(n))
+    r = S.report(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), [0.0] * (128 * 128)).first()
+    assert r.n_hex == n and r.spans == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(n))
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x") for i in range(100)] * 3 + [(7, "same words here")] * 300
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    some = S.labelled_samples(spark, d, 10, 1).filter("not random").count()
+    assert 0 < some - 8 <= 10 * 3 * 2  # words of ten documents at most, in both cases
