@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +37,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that cut() has written, by open scope.
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and go on from there: it's computed once, and a lost executor costs a re-read."""
     path = f"{shared_dir(df.sparkSession)}/loomline/{name}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that cut() wrote and that nothing reads any more."""
-    spark = df.sparkSession
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         if "/loomline/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, f)
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make(), written as a table by cut(), without the tables that were written on the way to it."""
+    _scopes.append([])
+    try:
+        out = cut(make(), name)
+        for path in _scopes[-1][:-1]:  # the last one is the result
+            _delete(out.sparkSession, path)
+    finally:
+        _scopes.pop()
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:

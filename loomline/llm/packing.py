@@ -6,14 +6,19 @@ groups of underfull bins are merged by the same rule. A group holds at most abou
 a task should; where several groups of that size are left, bins are dealt anew for further rounds until a round
 saves next to nothing. What is underfull then is emitted as it is.
 
+Documents that have an order (a range of positions, and a row in it) keep it: only pieces of one range share a bin, or of a few
+small neighbouring ones, underfull bins are merged with those of neighbouring ranges only, and a sequence goes by its first piece, so
+sequences sorted by their number follow the order but for the width of a few ranges.
+
 Cases: a null or empty text is the end token alone; a document longer than a sequence is cut so that only its
-first piece may be short; repeated rows are packed as often as they occur; ties go to the earlier item; an empty
+first piece may be short; with an order, a document's row must be below 2^24 in its range and have fewer than 2^20 pieces; repeated rows are packed as often as they occur; ties go to the earlier item; an empty
 table gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +36,10 @@ SLACK = 4
 #: Pieces that are packed at once and documents tokenized at once in a partition; groups of underfull bins that become
 #: one; bins in a group; share of the bins that a round over full groups must save for another one.
 CHUNK, STEP, FAN_IN, MOST_ITEMS, LEAST_SAVED = 50_000, 256, 8, 50_000, 0.01
+#: Pieces below which a range is packed together with its neighbours, FAN_IN in all.
+FEW = 2_000
+#: Rounds in which FAN_IN neighbouring ranges, then as many of those, are merged where documents have an order.
+NEAR_ROUNDS = 2
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, place bigint"
 _BINS = "bin bigint, load int, members array<bigint>, places array<int>"
@@ -69,13 +78,19 @@ def _local(path: str, with_ids: bool):
     names = [c.split()[0] for c in (_PIECES + (", ids array<int>" if with_ids else "") + ", load int").split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    def packed(part: int, first: int, cols: list[list], ids: list) -> tuple[pa.RecordBatch, int]:
-        """Rows of the pieces, then of underfull bins, and the number of bins so far."""
+    def packed(part: int, first: int, cols: list[list], ids: list, keys: list[int]) -> tuple[pa.RecordBatch, int]:
+        """Rows of the pieces, then of underfull bins, and the number of bins so far. A bin goes by its least key, or by a number."""
         lengths = cols[3]
         home, place, under = [0] * len(lengths), [0] * len(lengths), []
-        bins = best_fit(lengths)
+        groups: dict[tuple[int, int], list[int]] = {}
+        sizes = Counter(k >> 44 for k in keys)
+        for i in range(len(lengths)):
+            range_ = keys[i] >> 44 if keys else 0
+            few = bool(keys) and sizes[range_] < FEW
+            groups.setdefault((few, range_ // FAN_IN if few else range_), []).append(i)
+        bins = [[some[i] for i in items] for some in groups.values() for items in best_fit([lengths[i] for i in some])]
         for k, items in enumerate(bins, first):
-            at, name = 0, (part << 40) | k
+            at, name = 0, min(keys[i] for i in items) if keys else (part << 40) | k
             for i in items:
                 home[i], place[i] = name, at
                 at += lengths[i]
@@ -96,31 +111,35 @@ def _local(path: str, with_ids: bool):
         end = np.array([END], np.uint32)
         cols: list[list] = [[] for _ in types]
         ids_out: list[np.ndarray] = []
+        keys: list[int] = []
         for whole in batches:
             for begin in range(0, whole.num_rows, STEP):
                 b = whole.slice(begin, STEP)
-                for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                places = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) if b.num_columns > 2 else [(0, -1)] * b.num_rows
+                for doc, ids, (range_, row) in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), places, strict=True):
                     ids = np.concatenate([ids, end])
                     at = 0
                     for p, n in enumerate(piece_lengths(len(ids))):
                         piece = ids[at : at + n]
                         for c, v in zip(cols, (doc, p, at, n, zlib.crc32(piece.astype("<u4").tobytes())), strict=True):
                             c.append(v)
+                        if row >= 0:
+                            keys.append(range_ << 44 | row << 20 | p)
                         if with_ids:
                             ids_out.append(piece.astype(np.int32))
                         at += n
                         if len(cols[0]) >= CHUNK:
-                            out, bins = packed(part, bins, cols, ids_out)
-                            cols, ids_out = [[] for _ in types], []
+                            out, bins = packed(part, bins, cols, ids_out, keys)
+                            cols, ids_out, keys = [[] for _ in types], [], []
                             yield out
         if cols[0]:
-            yield packed(part, bins, cols, ids_out)[0]
+            yield packed(part, bins, cols, ids_out, keys)[0]
 
     return run
 
 
 def _merge(key, bins):
-    """Underfull bins of one group, as items, into bins; a bin goes by the name of its first member."""
+    """Underfull bins of one group, as items, into bins; a bin goes by the least name of its members."""
     import pandas as pd
 
     bins = bins.sort_values("bin")
@@ -133,24 +152,36 @@ def _merge(key, bins):
             m += [int(x) for x in members[i]]
             p += [int(x) + at for x in places[i]]
             at += loads[i]
-        out.append((names[items[0]], at, m, p))
+        out.append((min(names[i] for i in items), at, m, p))
     return pd.DataFrame(out, columns=["bin", "load", "members", "places"])
 
 
-def pack(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+def _near(open_: DataFrame, turn: int) -> DataFrame:
+    """Underfull bins merged with those of neighbouring ranges; a group of very many is dealt into several."""
+    group = F.expr(f"div(shiftright(bin, 44), {FAN_IN ** (turn + 1)})")
+    sizes = open_.groupBy(group.alias("_group")).agg(F.ceil(F.count("*") / MOST_ITEMS).alias("_parts"))
+    dealt = open_.withColumn("_group", group).join(sizes, "_group").withColumn("_part", F.pmod(F.xxhash64("bin", F.lit(turn)), F.col("_parts")))
+    return cut(dealt.groupBy("_group", "_part").applyInPandas(_merge, _BINS), "pack-near")
+
+
+def pack(docs: DataFrame, path: str, ids: bool = False, order: tuple[str, str] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with `ids`, the tokens too.
 
-    path: the file of the tokenizer, on every machine.
+    path: the file of the tokenizer, on every machine. order: columns with a range of positions and the row in it.
     """
     schema = _PIECES + (", ids array<int>" if ids else "") + ", load int"
-    both = cut(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_local(path, ids), schema), "pack-local")
+    both = cut(docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *[f"cast({c} as bigint) {n}" for c, n in zip(order or (), ("_range", "_row"))]).mapInArrow(_local(path, ids), schema), "pack-local")
     pieces = both.filter("load is null").drop("load")
     open_ = both.filter("load is not null").select("bin", "load", F.array("bin").alias("members"), F.array(F.lit(0)).alias("places"))
     done = []
     # a leaf of the tree is what one task packed
     groups, left = open_.agg(F.countDistinct(F.shiftright("bin", 40)), F.count("*")).first()
     turn = 0
-    while left > 1:
+    for near in range(NEAR_ROUNDS if order else 0):
+        merged = _near(open_, near)
+        done.append(merged.filter(F.col("load") >= LENGTH - SLACK))
+        open_ = merged.filter(F.col("load") < LENGTH - SLACK)
+    while left > 1 and not order:
         fewest = -(-left // MOST_ITEMS)
         full = groups <= fewest  # no further up the tree: only another deal
         groups = max(fewest, -(-groups // FAN_IN))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from loomline.llm import registry
+from loomline.llm import mixing, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -56,6 +56,31 @@ def test_pipeline(spark):
     assert (packed.groupby("sequence_id").length.sum() <= 1024).all()
 
 
+def test_pipeline_keeps_the_curriculum_and_only_its_result(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    path = str(tmp_path / "mixed")
+    mixing.place(docs).write.parquet(path)
+    placed = spark.read.parquet(path)
+    order = [r.doc_id for r in corpus_pipeline.in_order(placed).orderBy("_range", "_row").collect()]
+    assert order == [r.doc_id for r in mixing.place(docs).collect()]
+    files = len([f for f in os.listdir(path) if f.startswith("part-")])
+    rows = corpus_pipeline.packed(spark, placed, DATA).orderBy("sequence_id").collect()
+    assert files > 1 and len({r.sequence_id for r in rows}) > 20
+    # early sequences hold early documents: each position's mean rises from quarter to quarter of the stream
+    first = {}
+    for n, d in enumerate(order):
+        first.setdefault(d, n)
+    quarters = [rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4] for k in range(4)]
+    if files >= 4 * 64:
+        means = [sum(first[r.doc_id] for r in q) / len(q) for q in quarters]
+        assert means == sorted(means)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/loomline"
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, DATA).count()
+    new = set(os.listdir(folder)) - before
+    assert [n.rpartition("-")[0] for n in new] == ["stage-best-fit-packing"]
+
+
 @pytest.fixture(scope="module")
 def odd_table(spark, odd_docs, tmp_path_factory):
     """The odd rows with the columns of documents, and clashing ones, as a folder of tables."""

@@ -87,3 +87,26 @@ def test_ids_column(spark):
 def test_odd_tables(spark, odd_docs, no_docs, odd_rows):
     check(P.pack(odd_docs, PATH).collect(), [x[:2] for x in odd_rows])
     assert P.pack(no_docs, PATH).count() == 0
+
+
+def test_keeps_an_order(spark, tmp_path):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choices(["alpha", "beta", "gam", "d"], k=rng.randrange(1, 900)))) for i in range(800)]
+    d = spark.createDataFrame([(*x, x[0] // 100, x[0] % 100) for x in docs], "doc_id bigint, text string, r bigint, n bigint").repartitionByRange(8, "r")
+    rows = P.pack(d, PATH, order=("r", "n")).collect()
+    used, tokens = check(rows, docs)
+    assert used <= -(-tokens // 1024) * 1.05 + 2
+    ranges: dict = {}
+    for r in rows:
+        ranges.setdefault(r.sequence_id, []).append(r.doc_id // 100)
+    for v in ranges.values():
+        assert max(v) // P.FAN_IN ** 2 == min(v) // P.FAN_IN ** 2  # neighbours only
+    firsts = [min(ranges[s]) for s in sorted(ranges)]
+    assert firsts == sorted(firsts)  # sequences in the order of their first documents
+
+
+def test_an_order_of_one_range_and_of_none(spark):
+    docs = [(1, "a b c"), (2, None), (3, "x " * 3000)]
+    d = spark.createDataFrame([(*x, 0, i) for i, x in enumerate(docs)], "doc_id bigint, text string, r bigint, n bigint")
+    check(P.pack(d, PATH, order=("r", "n")).collect(), docs)
+    assert P.pack(d.limit(0), PATH, order=("r", "n")).count() == 0
