@@ -123,9 +123,10 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, most_docs: int = SAMP
 
 def train(samples: DataFrame) -> list[float]:
     """log P(next | char, random) - log P(next | char, ordinary) at 128 * char + next, each smoothed by half a count."""
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substr(F.col("sample"), i, F.lit(2))))
-    n = samples.filter(F.length("sample") > 1).select("random", pair.alias("p"))
-    n = n.groupBy("random", F.ascii(F.substring("p", 1, 1)).alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b")).count()
+    n = samples.filter(F.length("sample") > 1).select("random", F.split("sample", "").alias("c"))
+    last = F.size("c") - 1
+    pairs = F.zip_with(F.slice("c", 1, last), F.slice("c", 2, last), lambda x, y: F.struct(F.ascii(x).alias("a"), F.ascii(y).alias("b")))
+    n = n.select("random", F.inline(pairs)).groupBy("random", "a", "b").count()
     n = n.filter("a between 0 and 127 and b between 0 and 127").groupBy("a", "b").agg(
         F.coalesce(F.sum(F.when(F.col("random"), F.col("count"))), F.lit(0)).alias("r"),
         F.coalesce(F.sum(F.when(~F.col("random"), F.col("count"))), F.lit(0)).alias("o"),
