@@ -13,7 +13,7 @@ import os
 import numpy as np
 
 #: Distinct words whose ids a worker keeps, beyond which the store starts anew; code points that are cut into words at once.
-MOST_WORDS, STEP = 1_000_000, 1_000_000
+MOST_WORDS, STEP = 500_000, 400_000
 
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
