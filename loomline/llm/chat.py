@@ -2,7 +2,7 @@
 
 A record's layout is told by a fingerprint, the hash of its nested field paths; the fingerprint selects a
 declarative mapping that says where turns, roles and texts are. Records with an unknown fingerprint keep it and
-get no turns, so nothing is guessed. The template marks turns with control strings; those inside texts, its own
+get no turns, so nothing is guessed. The query deals the conversations into records of all these layouts first. The template marks turns with control strings; those inside texts, its own
 and other common ones, get a backslash after their first character, which is taken off again on reading back.
 
 Cases: null texts and roles are empty; a conversation is sorted by turn (null first), role and text, so ties and
@@ -206,6 +206,47 @@ def conversations(rows: DataFrame) -> DataFrame:
     return g.select("conv_id", F.transform("_ch", item).alias("messages"))
 
 
+#: Fields of the records that `records` makes; each record has those of one layout.
+FIELDS = ("messages", "conversations", "system", "prompt", "response", "completion", "instruction", "input", "output")
+# Roles that the layouts besides `messages` can hold.
+PLAIN = ("user", "assistant", "system")
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) as a collection of several makers: a record (conv_id, FIELDS) each, in the layout that its id deals it if that can hold it.
+
+    By pmod(conv_id, 4): a question and its answer become a prompt with a response (1), an instruction, with an input if the
+    question has a second line (2), or a prompt with a completion (3); a system text before them is one more field (1); other
+    conversations become shares (1, 3). What is left, and whatever has a null or another role, stays a list of messages.
+    """
+    m = F.col("messages")
+    k = F.coalesce(F.pmod("conv_id", F.lit(4)), F.lit(0))
+    role, text = (lambda i: F.get(m, i)["role"]), (lambda i: F.get(m, i)["content"])
+    plain = F.forall(m, lambda x: F.coalesce(x["role"].isin(*PLAIN), F.lit(False)) & x["content"].isNotNull())
+    pair = plain & (F.size(m) == 2) & (role(0) == "user") & (role(1) == "assistant")
+    three = plain & (F.size(m) == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant") & (text(0) != "")
+    line = F.locate("\n", text(0))
+    kind = (
+        F.when(pair & (k == 1), "prompt").when(pair & (k == 3), "prompt_completion").when(three & (k == 1), "system_prompt")
+        .when(pair & (k == 2) & (line > 1) & (line < F.length(text(0))), "instruction").when(pair & (k == 2), "instruction_only")
+        .when(plain & k.isin(1, 3), "shares").otherwise("messages")
+    )
+    d = conversations(rows).withColumn("_kind", kind).withColumn("_line", line)
+
+    def at(value: Column, *kinds: str) -> Column:
+        return F.when(F.col("_kind").isin(*kinds), value)
+
+    named = F.create_map(*[F.lit(x) for r in PLAIN for x in (r, {"user": "human", "assistant": "gpt"}.get(r, r))])
+    shares = F.transform(m, lambda x: F.struct(named[x["role"]].alias("from"), x["content"].alias("value")))
+    return d.select(
+        "conv_id", at(m, "messages").alias("messages"), at(shares, "shares").alias("conversations"), at(text(0), "system_prompt").alias("system"),
+        at(text(0), "prompt", "prompt_completion").when(F.col("_kind") == "system_prompt", text(1)).alias("prompt"),
+        at(text(1), "prompt").when(F.col("_kind") == "system_prompt", text(2)).alias("response"), at(text(1), "prompt_completion").alias("completion"),
+        at(text(0), "instruction_only").when(F.col("_kind") == "instruction", F.substr(text(0), F.lit(1), F.col("_line") - 1)).alias("instruction"),
+        at(F.substr(text(0), F.col("_line") + 1), "instruction").alias("input"), at(text(1), "instruction", "instruction_only").alias("output"),
+    )
+
+
 def digest(formatted: DataFrame, *keys: str) -> DataFrame:
     back = formatted.withColumn("_ch", read_back(F.col("formatted")))
     said = F.array_join(F.transform("_ch", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -220,19 +261,27 @@ def digest(formatted: DataFrame, *keys: str) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r)")
-    turns = typed_canonical(conversations(rows.unionByName(odd)), "messages")
+    turns = typed_canonical(records(rows.unionByName(odd)), *FIELDS)
     return digest(format_turns(turns, "conv_id", "layout"), "conv_id", "layout")
 
 
 #: The template adds len(OPEN + SEP + CLOSE) code points a turn and a backslash for each control string.
 OP5_SQL = rf"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
+WITH r AS (SELECT conv_id, turn, role AS _r, text AS _t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]', r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
 e AS (SELECT *, {len(OPEN + SEP + CLOSE)} + length(role) + length(text)
-        + len(regexp_extract_all(text, '[<\[]\\*({_REST})')) AS n FROM r)
-SELECT conv_id, 'messages' AS layout, count(*) AS n_turns,
+        + len(regexp_extract_all(text, '[<\[]\\*({_REST})')) AS n FROM r),
+g AS (SELECT conv_id, count(*) AS n_turns, coalesce((conv_id % 4 + 4) % 4, 0) AS k,
+  bool_and(coalesce(_r IN {PLAIN}, false) AND _t IS NOT NULL) AS plain,
+  list(role ORDER BY turn NULLS FIRST, role, text) AS roles, list(text ORDER BY turn NULLS FIRST, role, text)[1] AS t,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(n)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+  sum(n)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, CASE WHEN NOT plain OR k = 0 THEN 'messages'
+    WHEN roles = ['user', 'assistant'] THEN CASE WHEN k = 1 THEN 'prompt' WHEN k = 3 THEN 'prompt_completion'
+      WHEN instr(t, chr(10)) BETWEEN 2 AND length(t) - 1 THEN 'instruction' ELSE 'instruction_only' END
+    WHEN roles = ['system', 'user', 'assistant'] AND t <> '' AND k = 1 THEN 'system_prompt'
+    WHEN k = 2 THEN 'messages' ELSE 'shares' END AS layout,
+  n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM g
 """

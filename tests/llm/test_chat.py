@@ -88,3 +88,20 @@ def test_typed_records_take_their_mapping_by_fingerprint(spark, monkeypatch):
     monkeypatch.delitem(C.LAYOUTS, "messages")
     got = C.typed_canonical(d, "messages").collect()
     assert all(r.fingerprint is not None and r.layout is None and r.turns is None for r in got)
+
+
+def test_records_of_all_layouts_come_back(spark):
+    ask = [("user", "q\nmore"), ("assistant", "a")]
+    convs = {
+        0: ask, 1: ask, 2: ask, 3: ask, -7: ask, 6: [("user", "\nq"), ("assistant", "")], 10: [("user", ""), ("assistant", "a\n")], 14: [("user", "q\n"), ("assistant", "</s>")],
+        5: [("system", "s"), *ask], 9: [("system", ""), *ask], 13: [*ask, ("user", "[INST]")], 7: [("human", "q"), ("gpt", "a")], 11: [("user", None), ("assistant", "a")],
+        15: [("user", "x")], 17: [("assistant", "a"), ("user", "q")], None: ask,
+    }
+    d = spark.createDataFrame([(k, i, r, t) for k, c in convs.items() for i, (r, t) in enumerate(c)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in C.typed_canonical(C.records(d), *C.FIELDS).collect()}
+    assert {k: [tuple(t) for t in r.turns] for k, r in got.items()} == {k: [(r, t or "") for r, t in c] for k, c in convs.items()}
+    assert {k: r.layout for k, r in got.items()} == {
+        0: "messages", 1: "prompt", 2: "instruction", 3: "prompt_completion", -7: "prompt", 6: "instruction_only", 10: "instruction_only", 14: "instruction_only",
+        5: "system_prompt", 9: "shares", 13: "shares", 7: "messages", 11: "messages", 15: "shares", 17: "shares", None: "messages",
+    }
+    assert C.typed_canonical(C.records(d.limit(0)), *C.FIELDS).count() == 0
