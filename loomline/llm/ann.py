@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Vectors that the index is fitted on, lists, and rows of a list part, at most; rows of a list on average.
-SAMPLE, MOST_LISTS, MOST_PART, PER_LIST = 20_000, 16_384, 4_000, 256
+#: Lists, and rows of a list part, at most; rows of a list on average.
+MOST_LISTS, MOST_PART, PER_LIST = 16_384, 4_000, 256
+#: Vectors that the index is fitted on: this many, or PER_CENTROID for each list where that is more, so 65,536 at most.
+SAMPLE, PER_CENTROID = 20_000, 4
+#: Numbers of a block of distances to centroids.
+BLOCK = 1 << 22
 #: Lists that a boundary vector is posted to, and how much farther than the nearest their centroids may be.
 COPIES, BOUNDARY = 3, 1.03
 #: Recall to reach on the sample, queries for measuring it.
@@ -73,8 +77,9 @@ class Index:
     def post(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each posting: the nearest list, and others about as near."""
         rows, lists = [], []
-        for at in range(0, len(x), 2048):
-            d = np.sqrt(np.maximum(2 - 2 * (x[at : at + 2048] @ self.centroids.T), 0))
+        step = _step(len(self.centroids))
+        for at in range(0, len(x), step):
+            d = np.sqrt(np.maximum(2 - 2 * (x[at : at + step] @ self.centroids.T), 0))
             m = min(COPIES, d.shape[1])
             near = np.argpartition(d, m - 1, axis=1)[:, :m]
             nd = np.take_along_axis(d, near, 1)
@@ -84,6 +89,11 @@ class Index:
         return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *lists])
 
 
+def _step(lists: int) -> int:
+    """Rows whose distances to all centroids are held at once."""
+    return max(1, min(2048, BLOCK // lists))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -92,9 +102,9 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarra
     """Spherical k-means; a centroid's pull shrinks with the share of rows it has, which evens out the lists."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
-    weight = np.zeros(k)
+    weight, step = np.zeros(k), _step(k)
     for _ in range(rounds):
-        owner = np.concatenate([np.argmax(x[a : a + 2048] @ c.T - weight, axis=1) for a in range(0, len(x), 2048)])
+        owner = np.concatenate([np.argmax(x[a : a + step] @ c.T - weight, axis=1) for a in range(0, len(x), step)])
         count = np.bincount(owner, minlength=k)
         weight += 0.02 * (count / (len(x) / k) - 1).clip(-1, 4)
         sums = np.zeros_like(c)
@@ -112,8 +122,9 @@ def _graph(c: np.ndarray) -> list[np.ndarray]:
     if not m:
         return [np.zeros(0, np.int64)]
     out: list[np.ndarray] = []
-    for at in range(0, n, 1024):
-        s = -(c[at : at + 1024] @ c.T)
+    step = _step(n)
+    for at in range(0, n, step):
+        s = -(c[at : at + step] @ c.T)
         s[np.arange(len(s)), np.arange(at, at + len(s))] = np.inf  # not itself
         out += list(np.argpartition(s, m - 1, axis=1)[:, :m])
     a, b = np.repeat(np.arange(n), m), np.concatenate(out)
@@ -145,10 +156,19 @@ def _entries(c: np.ndarray, graph: list[np.ndarray]) -> np.ndarray:
     return np.array(sorted(found))
 
 
+def lists_of(rows: int) -> int:
+    return max(1, min(MOST_LISTS, rows // PER_LIST))
+
+
+def sample_of(rows: int, least: int = SAMPLE) -> int:
+    """Vectors to fit the lists of a table of so many rows on."""
+    return max(least, PER_CENTROID * lists_of(rows))
+
+
 def fit(sample: np.ndarray, rows: int, k: int, recall: float = RECALL) -> Index:
     """Centroids, their graph, and the ratio with which enough of the sample's own neighbours are found."""
     x = _unit(sample.astype(np.float64))
-    lists = int(max(1, min(MOST_LISTS, rows // PER_LIST, len(x) // 4)))
+    lists = int(max(1, min(lists_of(rows), len(x) // PER_CENTROID)))
     probe = np.random.default_rng(9).choice(len(x), min(PROBES, len(x)), replace=False)
     # of the probes, as many take no part in the centroids as of all rows: those in it lie nearer to their list
     apart = probe[: min(round(len(probe) * (1 - min(1, len(x) / rows))), len(x) - lists)]
@@ -219,14 +239,17 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of (vec_id, embedding) that is_query selects, its k nearest other rows."""
+    """query_id, rank, vec_id, score: for each row of (vec_id, embedding) that is_query selects, its k nearest other rows.
+
+    The index is fitted on `sample` rows, or on PER_CENTROID a list where those are more.
+    """
     spark = vectors.sparkSession
     v = cut(usable(vectors), "ann-vectors")
     rows, kind = v.count(), v.schema["v"].dataType.simpleString()
-    picked = v.orderBy(F.xxhash64("vec_id", F.lit(31)), "vec_id").limit(sample).select("v").collect()
-    if not picked:
+    picked = v.orderBy(F.xxhash64("vec_id", F.lit(31)), "vec_id").limit(sample_of(rows, sample)).select("v").toArrow().column("v").combine_chunks()
+    if not len(picked):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index = spark.sparkContext.broadcast(fit(np.array([r.v for r in picked], np.float64), rows, k))  # at most MOST_LISTS centroids
+    index = spark.sparkContext.broadcast(fit(picked.flatten().to_numpy().reshape(len(picked), -1), rows, k))  # at most MOST_LISTS centroids
     # equal vectors once, with the k + 1 smallest ids: a query can be one of them
     order = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))  # map tasks keep the first ones only
     groups = v.withColumn("_rank", order).filter(F.col("_rank") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))

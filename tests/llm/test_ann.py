@@ -105,3 +105,29 @@ def test_every_list_is_reached_in_separate_clusters():
     true = np.argsort(-(q @ A._unit(x).T), axis=1)[:, :5]
     hits = [not of[t].isdisjoint(lists.tolist()) for near, lists in zip(true.tolist(), index.lists(q), strict=True) for t in near]
     assert np.mean(hits) >= 0.95
+
+
+def test_lists_grow_with_the_table(monkeypatch):
+    """More lists than a sample of SAMPLE vectors has fours of, with recall measured; tables beyond 1.3 million rows go on getting more."""
+    assert A.lists_of(1_300_000) == 5078 and A.sample_of(1_300_000) == 20_312
+    assert A.lists_of(10**9) == 16_384 and A.sample_of(10**9) == 65_536 and A.sample_of(10) == A.SAMPLE
+    monkeypatch.setattr(A, "PER_LIST", 40)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(750, 16))
+
+    def drawn(n):
+        x = centres[np.arange(n) % 750] + 0.2 * rng.normal(size=(n, 16))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    x, asked = drawn(A.sample_of(60_000, 1000)), drawn(150)
+    index = A.fit(x, 60_000, 5)
+    assert len(x) == 6000 and len(index.centroids) == 1500
+    rows, lists = index.post(x)
+    of: dict = {}
+    for r, li in zip(rows.tolist(), lists.tolist(), strict=True):
+        of.setdefault(r, set()).add(li)
+    hits = visited = 0
+    for q, seen in zip(asked, index.lists(asked), strict=True):
+        visited += len(seen)
+        hits += sum(not of[t].isdisjoint(seen.tolist()) for t in np.argsort(-(x @ q))[:5].tolist())
+    assert hits >= 0.9 * 5 * len(asked) and visited < 0.1 * 1500 * len(asked)
