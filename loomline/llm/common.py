@@ -9,7 +9,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -102,3 +102,17 @@ def py_crc32_mod(doc_id: int | None, m: int) -> int:
 def bounded_sample(labelled: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows, those with the smallest hash of key: the same rows on every run. The bound is proven by limit()."""
     return labelled.orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)).limit(most)
+
+
+def bounded_texts(labelled: DataFrame, label: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """(doc_id, label, text) of at most most_rows rows, and most_bytes of text, of each label: the same rows on every run.
+
+    Rows are taken in the order of a hash of their ids while their texts fit in together; a text that is longer than all
+    that is never one of them, and equal rows count once. Only sizes are sorted, in the map tasks down to most_rows first.
+    """
+    named = labelled.select("doc_id", label, "text", F.xxhash64("text").alias("_h"))
+    sizes = named.groupBy("doc_id", label, "_h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("_n")).filter(F.col("_n") <= most_bytes)
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", "_h")
+    first = sizes.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= most_rows)
+    fit = first.withColumn("_sum", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= most_bytes)
+    return named.join(F.broadcast(fit.select("doc_id", label, "_h")), ["doc_id", label, "_h"]).dropDuplicates(["doc_id", "_h"]).select("doc_id", label, "text")  # at most most_rows keys a label

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_mod, table
+from .common import bounded_sample, bounded_texts, crc32_mod, table
 from .shingles import arrow_text, word_table
 
-#: Words of a passage; labelled documents of each class that training uses at most, with all their passages.
-PASSAGE, SAMPLE = 64, 2500
+#: Words of a passage; labelled documents of each class that training uses at most, with all their passages, and bytes of their texts.
+PASSAGE, SAMPLE, MOST_BYTES = 64, 2500, 32_000_000
 HIDDEN, GATE, EPOCHS, RATE = 32, 16, 40, 0.01
 #: Score from which a document is predicted good.
 LEAST = 0.3
@@ -154,10 +154,10 @@ def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Learn from at most `sample` documents of each class among labels (doc_id, quality); None without both classes."""
+    """Learn from at most `sample` documents and MOST_BYTES of text of each class among labels (doc_id, quality); None without both classes."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     ids = bounded_sample(known.filter("quality = 1"), "doc_id", sample).unionByName(bounded_sample(known.filter("quality = 0"), "doc_id", sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * sample ids
+    rows = bounded_texts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "quality", sample, MOST_BYTES)  # at most 2 * sample ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_mod, cut, pieces, table
+from .common import bounded_sample, bounded_texts, crc32_mod, cut, pieces, table
 
-#: Labelled documents of each class that the models learn from, at most; a fifth of them fit the score only.
-SAMPLE = 3000
+#: Labelled documents of each class that the models learn from, and bytes of their texts, at most; a fifth of them fit the score only.
+SAMPLE, MOST_BYTES = 3000, 12_000_000
 #: Letters of a sequence; discount; weight of the shared backoff besides the discount.
 ORDER, DISCOUNT, PRIOR = 8, 0.75, 2.0
 #: Words whose ratio a worker remembers; words and sequences that a worker gathers before it sends them.
@@ -220,11 +220,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` documents of each class among labels (doc_id, toxic)."""
+    """Learn from at most `sample` documents and MOST_BYTES of text of each class among labels (doc_id, toxic)."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = bounded_sample(known.filter("toxic = 1"), "doc_id", sample).unionByName(bounded_sample(known.filter("toxic = 0"), "doc_id", sample))
-    ids = ids.withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(5)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * sample ids
+    rows = bounded_texts(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "toxic", sample, MOST_BYTES)  # at most 2 * sample ids
+    rows = cut(rows.repartition(16), "toxicity-sample").withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(5)))
     pairs = cut(_pairs(rows.filter("_fold > 0")), "toxicity-pairs")
     if pairs.select("toxic").distinct().count() < 2:
         return Model()
