@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of a dictionary that one worker compares with; larger dictionaries are dealt into blocks, and texts over so many tasks a block.
-MOST_NAMES, TASKS = 50_000, 8
+#: Names of a dictionary that one worker compares with, and texts that it compares; larger dictionaries are dealt into blocks, more texts over more tasks a block.
+MOST_NAMES, MOST_TEXTS, TASKS = 50_000, 2_000, 8
 
 
 def _ratio_matcher(names: list[str], cutoff: float):
@@ -38,15 +38,17 @@ def _ratio_matcher(names: list[str], cutoff: float):
 def fuzzy_best_match(rows: DataFrame, text: str, names: DataFrame, name: str, cutoff: float = 0.75) -> DataFrame:
     """rows with match and ratio: the equal name, else the most similar one (matching-blocks ratio) from the cutoff on, the first in name order on ties.
 
-    Only distinct texts without an equal name are compared, with blocks of the dictionary of MOST_NAMES names or so.
+    Only distinct texts without an equal name are compared, with blocks of the dictionary of MOST_NAMES names or so, in as many
+    tasks a block as their number needs.
     """
     dictionary = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
     distinct = rows.select(F.col(text).alias("_text")).filter("_text is not null").distinct()
     exact = distinct.join(dictionary, F.col("_text") == F.col("_name")).select("_text", F.col("_name").alias("match"), F.lit(1.0).alias("ratio"))
     rest = distinct.join(dictionary, F.col("_text") == F.col("_name"), "left_anti")
     blocks = max(1, -(-dictionary.count() // MOST_NAMES))
-    some = dictionary.withColumn("_block", F.pmod(F.xxhash64("_name"), F.lit(blocks))).withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(TASKS - 1))))
-    asked = rest.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).withColumn("_task", F.pmod(F.xxhash64("_text"), F.lit(TASKS)).cast("int"))
+    tasks = max(TASKS, -(-rest.count() // MOST_TEXTS))
+    some = dictionary.withColumn("_block", F.pmod(F.xxhash64("_name"), F.lit(blocks))).withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    asked = rest.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).withColumn("_task", F.pmod(F.xxhash64("_text"), F.lit(tasks)).cast("int"))
 
     def run(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         best = _ratio_matcher(sorted(listed["_name"]), cutoff)
