@@ -207,6 +207,7 @@ def test_matching_against_loops(spark, monkeypatch):
         want = {t: min((_edits(t, x), x) for x in names) for t in texts}
         assert got == {t: (x, k) if k <= most else (None, None) for t, (k, x) in want.items()}
     monkeypatch.setattr(M, "MOST_NAMES", 25)
+    monkeypatch.setattr(M, "MOST_TEXTS", 4)  # some 14 tasks a block
     got = {r.t: (r.match, r.ratio) for r in M.fuzzy_best_match(d, "t", n, "n", 0.7).collect()}
     for t in texts:
         r, x = max(((difflib.SequenceMatcher(None, x, t, autojunk=False).ratio(), [-ord(c) for c in x] + [1], x) for x in names))[::2]
