@@ -82,3 +82,13 @@ def single_key(df: DataFrame, map_col: str) -> DataFrame:
     """Rows whose map has exactly one entry, flattened to key and value."""
     e = F.get(F.map_entries(map_col), 0)
     return df.filter(F.size(map_col) == 1).withColumns({"key": e["key"], "value": e["value"]})
+
+
+def first_kind(rules: list[tuple[Column, str]], default: str = "unknown") -> Column:
+    """The kind of the first rule (condition, kind) that holds; a null condition doesn't."""
+    return F.coalesce(*[F.when(condition, F.lit(kind)) for condition, kind in rules], F.lit(default))
+
+
+def with_default(value: Column, default: str, *blank: str) -> Column:
+    """value, or the default where it is null or one of the texts that stand for nothing."""
+    return F.when(value.isNull() | value.isin(*blank), F.lit(default)).otherwise(value) if blank else F.coalesce(value, F.lit(default))

@@ -130,8 +130,8 @@ UNION ALL SELECT 'event', event_id, CASE WHEN event_type LIKE 's%' THEN 'start'
 def kind_classify(spark, d):
     """The name first, then the structure, in fixed order."""
     url = F.col("url")
-    page = F.when(url.contains("casino") | url.contains("bets"), "suspect").when(F.col("html").contains("<article"), "article").otherwise("unknown")
-    event = F.when(F.col("event_type").startswith("s"), "start").when(F.get_json_object("props", "$.k").isNotNull(), "keyed").otherwise("unknown")
+    page = P.first_kind([(url.contains("casino") | url.contains("bets"), "suspect"), (F.col("html").contains("<article"), "article")])
+    event = P.first_kind([(F.col("event_type").startswith("s"), "start"), (F.get_json_object("props", "$.k").isNotNull(), "keyed")])
     p = table(spark, d, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), page.alias("kind"))
     return p.unionByName(table(spark, d, "events").select(F.lit("event").alias("source"), F.col("event_id").alias("id"), event.alias("kind")))
 
@@ -144,7 +144,7 @@ def record_projection(spark, d):
     """P17, P18, P19, P20, P21."""
     o = table(spark, d, "orders")
     return o.select(
-        F.col("o_orderkey").alias("ref"), F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("pending")).alias("state"), F.col("o_custkey").cast("string").alias("owner"),
+        F.col("o_orderkey").alias("ref"), P.with_default(F.col("o_orderstatus"), "pending", "P").alias("state"), F.col("o_custkey").cast("string").alias("owner"),
         F.when((F.col("o_totalprice") > 300000) & F.col("o_orderpriority").startswith("1"), F.substr("o_orderpriority", F.lit(3))).alias("refinement"),
     )
 

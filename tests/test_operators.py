@@ -345,3 +345,11 @@ def test_nearest_in_blocks(spark, monkeypatch):
         got = J.nearest(d, r, lambda x: F.abs(F.col("x") - x["at"]), ["id"], "name", "ord")
         assert {x.id: (x.distance, x.name) for x in got.collect()} == want
     assert J.nearest(d, r.limit(0), lambda x: F.abs(F.col("x") - x["at"]), ["id"], "name", "ord").count() == 0
+
+
+def test_first_kind_and_defaults(spark):
+    d = spark.createDataFrame([(1, "a.json"), (2, "b"), (3, ""), (4, None)], "i int, s string")
+    kind = P.first_kind([(F.col("s").endswith(".json"), "file"), (F.length("s") > 0, "name")])
+    assert [r.k for r in d.orderBy("i").select(kind.alias("k")).collect()] == ["file", "name", "unknown", "unknown"]
+    some = d.orderBy("i").select(P.with_default(F.col("s"), "none", "", "b").alias("a"), P.with_default(F.col("s"), "none").alias("b")).collect()
+    assert [tuple(r) for r in some] == [("a.json", "a.json"), ("none", "b"), ("none", ""), ("none", "none")]
