@@ -3,9 +3,11 @@
 Centroids come from balanced k-means on a bounded sample; every vector is posted to its nearest list, and vectors
 near a boundary to several. A query walks a neighbour graph of the centroids held in memory, with links both ways and
 an entry in each of its separate parts, so that every list can be reached; a distance ratio, chosen on the sample with
-such walks for the wanted recall, prunes the lists it visits. Lists that grew past their size are split
-by a hash, so no task holds more than a part of one; each part meets the list's queries and returns the best few
-exactly scored rows. Equal vectors are stored once, with the smallest ids that any query can need.
+such walks for the wanted recall, prunes the lists it visits. Lists that lie near each other are put together into
+parts of a bounded number of rows, and lists that grew past that are split by a hash; a query goes once to each part
+that holds any of its lists. Queries are dealt into blocks of a bounded number, so a task holds one part and one block, however
+many rows and queries there are, and returns the best few exactly scored rows. Equal vectors are stored once, with the
+smallest ids that any query can need.
 
 Cases: null, empty and zero vectors and those with null or non-finite components take no part, nor do vectors of
 another length than the most frequent one; ties go to the smaller id; with fewer than k candidates all are
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Lists, and rows of a list part, at most; rows of a list on average.
-MOST_LISTS, MOST_PART, PER_LIST = 16_384, 4_000, 256
+#: Lists, and rows of a part, at most (about so many for parts of a list that is split); rows of a list on average.
+MOST_LISTS, MOST_PART, PER_LIST = 16_384, 8_192, 256
+#: Queries of a block, about; rows that a task sends out at once; queries whose lists one task looks up.
+QUERIES, SENT, LOOKED_UP = 16_384, 4_096, 128
 #: Vectors that the index is fitted on: this many, or PER_CENTROID for each list where that is more, so 65,536 at most.
 SAMPLE, PER_CENTROID = 20_000, 4
 #: Numbers of a block of distances to centroids.
@@ -202,27 +206,66 @@ def fit(sample: np.ndarray, rows: int, k: int, recall: float = RECALL) -> Index:
 _HITS = "query_id bigint, vec_id bigint, score double"
 
 
+def _deal(index: Index, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of the parts of each list: near lists share one while their rows fit in, empty lists have none."""
+    c = index.centroids
+    step = _step(len(index.entries))
+    near = np.concatenate([np.argmax(c[at : at + step] @ c[index.entries].T, axis=1) for at in range(0, len(c), step)])
+    first, number = np.zeros(len(c), np.int64), -(-counts // MOST_PART)
+    free, held = 0, MOST_PART
+    for i in np.argsort(near, kind="stable").tolist():
+        if number[i] > 1:
+            first[i], free, held = free, free + number[i], MOST_PART
+        elif number[i]:
+            if held + counts[i] > MOST_PART:
+                free, held = free + 1, 0
+            first[i], held = free - 1, held + counts[i]
+    return first, number
+
+
+def _visits(index: Index, first: np.ndarray, number: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(part, vec_id, v) of the parts that each query has to visit, a bounded number of rows at a time."""
+    most = max(1, int(number.sum()))
+    step = max(1, SENT // most)
+    for f in frames:
+        for at in range(0, len(f), step):
+            some = f.iloc[at : at + step]
+            parts = []
+            for found in index.lists(_unit(np.stack(some["v"].to_numpy()).astype(np.float64))):
+                whole, split = found[number[found] == 1], found[number[found] > 1]
+                parts.append(np.unique(np.concatenate([first[whole], *[np.arange(first[i], first[i] + number[i]) for i in split.tolist()]])))
+            for b in range(0, sum(map(len, parts)), SENT):  # one query may have more than that
+                row = np.repeat(np.arange(len(some)), [len(x) for x in parts])[b : b + SENT]
+                yield pd.DataFrame({"part": np.concatenate(parts)[b : b + SENT], "vec_id": some["vec_id"].to_numpy()[row], "v": some["v"].to_numpy()[row]})
+
+
 def _part(k: int):
-    def run(key, lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The best k of one part of a list for each of its queries, scored on the original vectors."""
-        if not len(lists) or not len(queries):
+    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """The best k of one part for each query of a block, scored on the original vectors."""
+        if not len(rows) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x = np.stack(lists["v"].to_numpy()).astype(np.float64)
+        rows = rows[~pd.Series([v.tobytes() for v in rows["v"]], rows.index).duplicated()]  # copies in several lists of the part
+        x = np.stack(rows["v"].to_numpy()).astype(np.float64)
         norm = np.sqrt((x * x).sum(1))
-        ids = lists["ids"].tolist()
+        near = (x / norm[:, None]).astype(np.float32).T
+        ids = rows["ids"].tolist()
         out = []
-        for at in range(0, len(queries), 512):
-            block = queries.iloc[at : at + 512]
+        for at in range(0, len(queries), 256):
+            block = queries.iloc[at : at + 256]
             q = np.stack(block["v"].to_numpy()).astype(np.float64)
             qn = np.sqrt((q * q).sum(1))
-            s = (q @ x.T) / qn[:, None] / norm
+            s = (q / qn[:, None]).astype(np.float32) @ near
             m = min(k + 1, s.shape[1])
-            floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m] - 1e-9
+            floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m] - np.float32(1e-5)  # more than single precision loses
             for i, me in enumerate(block["vec_id"].tolist()):
                 pick = np.flatnonzero(s[i] >= floor[i])
                 exact = (x[pick] * q[i]).sum(1) / (norm[pick] * qn[i])
-                found = [(-e, int(t)) for e, p in zip(exact.tolist(), pick.tolist(), strict=True) for t in ids[p] if t != me]
-                out += [(me, t, -e) for e, t in heapq.nsmallest(k, found)]
+                best: dict = {}
+                for e, p in sorted(zip((-exact).tolist(), pick.tolist(), strict=True)):
+                    for t in ids[p]:
+                        if t != me:
+                            best[int(t)] = min(e, best.get(int(t), 2.0))
+                out += [(me, t, -e) for e, t in heapq.nsmallest(k, [(e, t) for t, e in best.items()])]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -262,21 +305,24 @@ def search(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE) -> Da
                 out["list"] = li
                 yield out[["list", "v", "ids"]]
 
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                found = index.value.lists(_unit(np.stack(f["v"].to_numpy()).astype(np.float64)))
-                out = f.iloc[np.repeat(np.arange(len(f)), [len(x) for x in found])].copy()
-                out["list"] = np.concatenate(found)
-                yield out[["list", "vec_id", "v"]]
-
     posted = cut(groups.mapInPandas(post, f"list bigint, v {kind}, ids array<bigint>"), "ann-lists")
-    parts = cut(posted.groupBy("list").count().select("list", F.ceil(F.col("count") / MOST_PART).cast("int").alias("parts")), "ann-parts")
-    queries = v.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    visits = queries.mapInPandas(visit, f"list bigint, vec_id bigint, v {kind}")
-    posted = posted.join(parts.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    visits = visits.join(parts.withColumnRenamed("parts", "_n"), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    hits = posted.select("list", "part", "v", "ids").groupBy("list", "part").cogroup(visits.select("list", "part", "vec_id", "v").groupBy("list", "part")).applyInPandas(_part(k), _HITS)
+    counts = np.zeros(len(index.value.centroids), np.int64)
+    for r in posted.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        counts[r["list"]] = r["count"]
+    first, number = _deal(index.value, counts)
+    dealt = spark.sparkContext.broadcast((first, number))
+    asked = v.filter(is_query)
+    n_asked = asked.count()
+    blocks = max(1, -(-n_asked // QUERIES))
+    queries = asked.repartition(max(1, -(-n_asked // LOOKED_UP)), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    visits = queries.mapInPandas(lambda frames: _visits(index.value, *dealt.value, frames), f"part bigint, vec_id bigint, v {kind}")
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    of = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(first)), "first": first, "number": number}), "list bigint, first bigint, number bigint")
+    posted = posted.join(F.broadcast(of), "list")  # at most MOST_LISTS rows
+    posted = posted.withColumn("part", F.col("first") + F.pmod(F.xxhash64("v"), F.col("number"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = int(max(1, min(4_096, blocks * ((first + number).max(initial=1)))))
+    met = [d.select("part", "block", *own).repartition(tasks, "part", "block").groupBy("part", "block") for d, own in ((posted, ("v", "ids")), (visits, ("vec_id", "v")))]
+    hits = met[0].cogroup(met[1]).applyInPandas(_part(k), _HITS)
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("_b"))
     out = best.select("query_id", F.posexplode("_b").alias("_p", "_x"))

@@ -131,3 +131,38 @@ def test_lists_grow_with_the_table(monkeypatch):
         visited += len(seen)
         hits += sum(not of[t].isdisjoint(seen.tolist()) for t in np.argsort(-(x @ q))[:5].tolist())
     assert hits >= 0.9 * 5 * len(asked) and visited < 0.1 * 1500 * len(asked)
+
+
+def test_what_a_task_holds_is_bounded(monkeypatch):
+    """Every query is sent to all its parts, a bounded number of rows at a time, and near lists share parts of a bounded size."""
+    import pandas as pd
+
+    monkeypatch.setattr(A, "SENT", 100)
+    monkeypatch.setattr(A, "MOST_PART", 500)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 12))
+    index = A.fit(x, 200 * A.PER_LIST, 5)
+    index.ratio = 99.0  # every list is visited
+    counts = rng.integers(0, 300, len(index.centroids))
+    counts[[3, 8]] = 2600, 0
+    first, number = A._deal(index, counts)
+    held = np.bincount(first[number == 1], counts[number == 1])
+    assert held.max() <= 500 and number[3] == 6 and number[8] == 0
+    parts = {p for a, n in zip(first, number, strict=True) for p in range(a, a + n)}
+    assert parts == set(range(len(parts))) and len(parts) < 120
+    queries = pd.DataFrame({"vec_id": np.arange(30), "v": list(rng.normal(size=(30, 12)))})
+    sent = list(A._visits(index, first, number, iter([queries])))
+    assert max(map(len, sent)) <= 100
+    got = pd.concat(sent)
+    assert len(got) == 30 * len(parts) and not got.duplicated(["part", "vec_id"]).any() and set(got["part"]) == parts
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_PART", 300)
+    monkeypatch.setattr(A, "QUERIES", 7)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(2500)]
+    got, want = found(frame(spark, rows)), brute(rows)
+    assert set(got) == set(want)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
