@@ -7,6 +7,9 @@ taken in order of time and a due timer goes before a later result, so that the t
 the stream was cut into micro-batches, as long as nothing comes later than the watermark allows. Final items
 ignore what follows.
 
+Items are dealt by a hash into buckets, and the state is kept by bucket, with one timer for the first item that is due: a
+micro-batch calls Python once for each bucket that it touches, not for each item. There are many buckets, so one holds few items.
+
 Cases: rows without an item are dropped; rows at one time are taken in order of `ord`; an unknown outcome is a rejected one; a null time is
 dropped by the watermark's comparison; an empty stream has no transitions.
 """
@@ -15,17 +18,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "status string, attempts int, due bigint"
+#: Of the items of a bucket, in order of their names; due is null unless the item is waiting.
+STATE = "item array<string>, status array<string>, attempts array<int>, due array<bigint>"
+_OUT = "item string, us bigint, status string, attempts int, reason string"
 OUT = "item string, at timestamp, status string, attempts int, reason string"
+#: Buckets that items are dealt into.
+BUCKETS = 16_384
 #: Outcomes of a result: taken, taken with the wish for another look, rejected.
 TAKEN, AGAIN = "taken", "again"
 
 
+#: A result without a place among those of its time comes after them.
+_LAST = (1 << 63) - 1
+
+
 def transition(status: str, attempts: int, outcome: str, most: int) -> tuple[str, str | None]:
     """The status after a result, and why; attempts counts this one."""
     if outcome == AGAIN and attempts < most:
@@ -35,46 +47,40 @@ def transition(status: str, attempts: int, outcome: str, most: int) -> tuple[str
     return "failed", "rejected" if status == "pending" else "rejected after rescan"
 
 
-class RescanQueue(StatefulProcessor):
-    def __init__(self, most: int, wait_ms: int) -> None:
-        self.most, self.wait_ms = most, wait_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.item = handle, handle.getValueState("item", STATE)
-
-    def _late(self, key: tuple, due: int, attempts: int) -> tuple:
-        return (key[0], pd.Timestamp(due, unit="ms"), "failed", attempts, "no result in time")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, attempts, due = self.item.get() if self.item.exists() else ("pending", 0, None)
-        before, out = due, []
-        results = pd.concat(list(rows)).sort_values(["at", "ord"], kind="stable")
-        for at, outcome in zip(results["at"], results["outcome"], strict=True):
-            if status == "needs_rescan" and int(at.timestamp() * 1000) >= due:
-                out.append(self._late(key, due, attempts))
-                status, due = "failed", None
-            if status not in ("pending", "needs_rescan"):
-                break
-            attempts += 1
-            status, reason = transition(status, attempts, outcome, self.most)
-            due = int(at.timestamp() * 1000) + self.wait_ms if status == "needs_rescan" else None
-            out.append((key[0], at, status, attempts, reason))
-        if before is not None and before != due:
-            self.handle.deleteTimer(before)
-        if due is not None and due != before:
-            self.handle.registerTimer(due)
-        self.item.update((status, attempts, due))
+def _queue(most: int, wait_ms: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The transitions of one bucket: those of new results, then of the items that are due by the watermark."""
+        items = {i: (status, attempts, due) for i, status, attempts, due in zip(*state.get, strict=True)} if state.exists else {}
+        out: list[tuple] = []
+        if not state.hasTimedOut:
+            r = pd.concat(list(frames))
+            order = np.lexsort((r["ord"].to_numpy(), r["us"].to_numpy()))
+            for i, us, outcome in zip(*(r[c].to_numpy()[order].tolist() for c in ("item", "us", "outcome")), strict=True):
+                status, attempts, due = items.get(i, ("pending", 0, None))
+                at = us // 1000
+                if status == "needs_rescan" and at >= due:
+                    out.append((i, due * 1000, "failed", attempts, "no result in time"))
+                    items[i] = ("failed", attempts, None)
+                elif status in ("pending", "needs_rescan"):
+                    attempts += 1
+                    status, reason = transition(status, attempts, outcome, most)
+                    items[i] = (status, attempts, at + wait_ms if status == "needs_rescan" else None)
+                    out.append((i, us, status, attempts, reason))
+        mark, first = state.getCurrentWatermarkMs(), None
+        for i, (_, attempts, due) in items.items():
+            if due is not None and due < mark:
+                out.append((i, due * 1000, "failed", attempts, "no result in time"))
+                items[i] = ("failed", attempts, None)
+            elif due is not None and (first is None or due < first):
+                first = due
+        names = sorted(items)
+        state.update((names, *([items[i][k] for i in names] for k in range(3))))
+        if first is not None:
+            state.setTimeoutTimestamp(max(first, 1))
         if out:
-            yield pd.DataFrame(out, columns=["item", "at", "status", "attempts", "reason"])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, due = self.item.get()
-        if status == "needs_rescan":
-            self.item.update(("failed", attempts, None))
-            yield pd.DataFrame([self._late(key, due, attempts)], columns=["item", "at", "status", "attempts", "reason"])
+            yield pd.DataFrame(out, columns=["item", "us", "status", "attempts", "reason"])
 
-    def close(self) -> None:
-        """Nothing is held open."""
+    return run
 
 
 def state_session(spark: SparkSession, stores: int = 16) -> SparkSession:
@@ -88,6 +94,8 @@ def state_session(spark: SparkSession, stores: int = 16) -> SparkSession:
 
 def rescans(results: DataFrame, most: int = 3, wait_ms: int = 120_000, late: str = "0 seconds") -> DataFrame:
     """The transitions (item, at, status, attempts, reason) of a stream of results (item, at, ord, outcome)."""
-    d = results.select(F.col("item").cast("string").alias("item"), F.col("at").cast("timestamp").alias("at"), F.col("ord").cast("long").alias("ord"), F.coalesce("outcome", F.lit("rejected")).alias("outcome"))
+    d = results.select(F.col("item").cast("string").alias("item"), F.col("at").cast("timestamp").alias("at"), F.coalesce(F.col("ord").cast("long"), F.lit(_LAST)).alias("ord"), F.coalesce("outcome", F.lit("rejected")).alias("outcome"))
     d = d.filter("item is not null and at is not null").withWatermark("at", late)
-    return d.groupBy("item").transformWithStateInPandas(RescanQueue(most, wait_ms), OUT, "append", "eventTime")
+    d = d.withColumns({"us": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64("item"), F.lit(BUCKETS))})
+    out = d.groupBy("bucket").applyInPandasWithState(_queue(most, wait_ms), _OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("item", F.timestamp_micros("us").alias("at"), "status", "attempts", "reason")

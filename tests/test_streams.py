@@ -120,6 +120,16 @@ def test_rescans_whatever_the_batches(spark, tmp_path, size):
     assert transitions(spark, tmp_path, batches) == EXPECTED
 
 
+@pytest.mark.parametrize("size", [40, 3])
+def test_rescans_of_items_that_share_a_bucket(spark, tmp_path, monkeypatch, size):
+    """Python is called by bucket, not by item: items of one bucket keep their own attempts and times."""
+    monkeypatch.setattr(Q, "BUCKETS", 1)
+    batches = [EVENTS[i : i + size] for i in range(0, len(EVENTS), size)]
+    assert transitions(spark, tmp_path, batches) == EXPECTED
+    rows = spark.read.format("statestore").load(str(tmp_path / "work")).selectExpr("size(value.groupState.item) as n").collect()
+    assert [r.n for r in rows] == [9]
+
+
 # progress and cancel
 
 
