@@ -72,6 +72,28 @@ def test_forest_odd_tables(spark, odd_docs, no_docs, odd_rows):
     assert Q.judge(no_docs, empty).count() == 0 and Q.judge(odd_docs, empty).count() == len(odd_rows)
 
 
+def test_all_documents_and_labels_count(spark):
+    """Every tree has a draw of its own from all documents, and every labelled document counts for the threshold."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id as doc_id", "transform(sequence(1, 11), i -> double(pmod(xxhash64(id, i), 1000))) as x")
+    drawn = Q._draws(rows.repartition(7), 128, 256).collect()
+    assert Counter(r.tree for r in drawn) == dict.fromkeys(range(128), 256)
+    assert len({tuple(r.x) for r in drawn}) > 14_000  # 16,150 expected; the sample of 8,000 had no more
+    assert sorted(map(repr, drawn)) == sorted(map(repr, Q._draws(rows, 128, 256).collect()))
+    x = np.array([r.x for r in drawn])
+    forest = Q.grow(x)
+    score, good, count = Q._counted(rows.withColumn("good", rows.doc_id % 10 != 0), forest)
+    assert count.sum() == n and count[good].sum() == 0.9 * n
+    each = np.array([r.x for r in rows.collect()])
+    assert np.allclose(np.repeat(score, count), np.sort(forest.scores(each)), atol=1 / Q.BINS)
+
+
+def test_calibration_by_counts():
+    score, good, n = np.array([0.9, 0.7, 0.5, 0.5, 0.1]), np.array([False, False, True, False, True]), np.array([3, 2, 1, 1, 9])
+    assert Q.calibrate(score, good, n) == Q.calibrate(np.repeat(score, n), np.repeat(good, n)) == 0.6
+    assert Q.calibrate(score, np.ones(5, bool), np.array([1, 1, 1, 1, 16])) == 0.7
+
+
 def test_calibration():
     assert Q.calibrate(np.array([0.9, 0.8, 0.2, 0.1]), np.array([False, False, True, True])) == 0.5
     assert Q.calibrate(np.array([0.5, 0.5]), np.array([True, False])) > 0.5
