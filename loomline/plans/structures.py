@@ -153,9 +153,10 @@ UNION ALL SELECT lpad(s_suppkey::VARCHAR, 6, '0'), NULL, NULL, NULL, 'full.png'
 def scan_folders(spark, d):
     """Complete scan folders with columns from meta.json, then the manifest, then constants; incomplete ones are reported."""
     root = _scans(spark, d)
-    metas = readers.scan_meta(spark, root, "index bigint, page bigint, col bigint", {"page": 77}, {"page": 1, "col": 5})
+    listed = readers.files(spark, root)
+    metas = readers.scan_meta(spark, root, "index bigint, page bigint, col bigint", {"page": 77}, {"page": 1, "col": 5}, listed)
     name = F.substring_index("folder", "/", -1).alias("folder")
-    lacking = readers.scan_folders(spark, root)[1].select(name, *[F.lit(None).cast("bigint").alias(c) for c in ("index", "page", "col")], F.array_join("lacks", ",").alias("lacks"))
+    lacking = readers.scan_folders(spark, root, listed=listed)[1].select(name, *[F.lit(None).cast("bigint").alias(c) for c in ("index", "page", "col")], F.array_join("lacks", ",").alias("lacks"))
     return metas.select(name, "index", "page", "col", F.lit(None).cast("string").alias("lacks")).unionByName(lacking)
 
 

@@ -7,10 +7,16 @@ import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..streaming.adapters import work_folder
+
+#: Folders that a task lists or files that it reads, about; tasks for them, and rows that one sends out at once, at most.
+PER_TASK, MOST_TASKS, SENT = 256, 1_024, 10_000
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,25 +61,89 @@ def text_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("Id").agg(F.max_by("Content", "ord").alias("Content"))
 
 
-def scan_folders(spark: SparkSession, root: str, needed: tuple[str, ...] = ("meta.json", "full.png")) -> tuple[DataFrame, DataFrame]:
-    """(folder, path, name) of complete folders below root, and incomplete folders with what they lack. Contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    f = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "path", F.substring_index("path", "/", -1).alias("name"))
+def _store(root: str):
+    """The file system of root, and root's path there."""
+    from pyarrow import fs
+
+    store, home = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+    return store, home.rstrip("/")
+
+
+def _tasks(n: int) -> int:
+    return max(1, min(MOST_TASKS, -(-n // PER_TASK)))
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of the files below root, relative to it; empty and hidden ones, and what is in hidden folders, are left out.
+
+    Tasks list the folders, a level at a time, and write what they find as a table; the driver only gets the number of folders.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, home = _store(root)
+        for f in frames:
+            for folder in f["path"]:
+                seen = store.get_file_info(fs.FileSelector(f"{home}/{folder}" if folder else home))
+                # hidden: as Spark's own readers have it
+                seen = [x for x in seen if not (x.base_name.startswith(".") or x.base_name.startswith("_") and "=" not in x.base_name or x.base_name.endswith("._COPYING_"))]
+                for at in range(0, len(seen), SENT):
+                    some = seen[at : at + SENT]
+                    paths = [f"{folder}/{x.base_name}" if folder else x.base_name for x in some]
+                    yield pd.DataFrame({"path": paths, "size": pd.array([x.size if x.type == fs.FileType.File else None for x in some], "Int64")})
+
+    out, kind, paths = f"{work_folder(spark)}/files", "path string, size bigint", []
+    folders = spark.createDataFrame([("",)], "path string")
+    while True:
+        paths.append(f"{out}/{len(paths)}")
+        folders.mapInPandas(run, kind).write.parquet(paths[-1])
+        folders = spark.read.schema(kind).parquet(paths[-1]).filter("size is null").select("path")
+        n = folders.count()
+        if not n:
+            return spark.read.schema(kind).parquet(*paths).filter("size > 0")
+        folders = folders.repartition(_tasks(n))
+
+
+def contents(paths: DataFrame, root: str) -> DataFrame:
+    """The rows, with the text of the file that path names below root as content."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, home = _store(root)
+        for f in frames:
+            for at in range(0, len(f), PER_TASK):
+                some, read = f.iloc[at : at + PER_TASK], []
+                for path in some["path"]:
+                    with store.open_input_stream(f"{home}/{path}") as file:
+                        read.append(file.read().decode("utf-8-sig", "replace"))
+                yield some.assign(content=read)
+
+    return paths.repartition(_tasks(paths.count())).mapInPandas(run, StructType(paths.schema.fields).add("content", "string"))
+
+
+def scan_folders(spark: SparkSession, root: str, needed: tuple[str, ...] = ("meta.json", "full.png"), listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(folder, path, name) of complete folders below root, and incomplete folders with what they lack. Contents aren't read; files() may be given."""
+    whole = F.concat(F.lit(root.rstrip("/") + "/"), "path")
+    found = (files(spark, root) if listed is None else listed).select(whole.alias("path"))
+    f = found.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "path", F.substring_index("path", "/", -1).alias("name"))
     has = f.groupBy("folder").agg(F.collect_set(F.when(F.col("name").isin(*needed), F.col("name"))).alias("has"))
     lacking = has.withColumn("lacks", F.array_except(F.array(*[F.lit(n) for n in needed]), "has")).filter(F.size("lacks") > 0).select("folder", "lacks")
     return f.join(lacking, "folder", "left_anti"), lacking
 
 
-def scan_meta(spark: SparkSession, root: str, schema: str, manifest: dict, constants: dict) -> DataFrame:
-    """meta.json of every complete folder: columns it lacks come from the manifest, then from constants."""
-    whole, _ = scan_folders(spark, root)
-    metas = spark.read.option("multiLine", True).schema(schema).json(root, recursiveFileLookup=True, pathGlobFilter="meta.json").withColumn("path", F.col("_metadata.file_path"))
-    d = metas.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).join(whole.select("folder").distinct(), "folder", "left_semi")
+def scan_meta(spark: SparkSession, root: str, schema: str, manifest: dict, constants: dict, listed: DataFrame | None = None) -> DataFrame:
+    """meta.json of every complete folder: columns it lacks come from the manifest, then from constants. files() may be given."""
+    whole, _ = scan_folders(spark, root, listed=listed)
+    at = whole.filter("name = 'meta.json'").select("folder", F.substring("path", len(root.rstrip("/")) + 2, 1 << 20).alias("path"))
+    typed, text = StructType.fromDDL(schema), F.col("content")
+    several = F.coalesce(F.from_json(text, ArrayType(typed)), F.array(F.lit(None).cast(typed)))  # a malformed one is a row of nulls
+    records = F.when(F.ltrim(text).startswith("["), several).otherwise(F.array(F.from_json(text, typed)))
+    d = contents(at, root).filter(F.trim(text) != "").select("folder", F.inline(records))
     for c in StructType.fromDDL(schema).names:
         value = manifest.get(c, constants.get(c))
         if value is not None:
             d = d.withColumn(c, F.coalesce(F.col(c), F.lit(value)))
-    return d.drop("path").orderBy("folder")
+    return d.orderBy("folder")
 
 
 def complete_sections(rows: DataFrame, key: str, section: str, needed: tuple[int, ...] = (0, 1, 3, 4)) -> DataFrame:
@@ -84,7 +154,7 @@ def complete_sections(rows: DataFrame, key: str, section: str, needed: tuple[int
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
     """Sessions below root that have raw files, empty ones not counted, newest first."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    f = files(spark, root).select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"))
     return f.select(F.regexp_extract("path", r"/([^/]+)/raw/", 1).alias("session")).filter("session <> ''").distinct().orderBy(F.desc("session"))
 
 
@@ -127,18 +197,16 @@ def split_log(lines: DataFrame, line: str, names: tuple[str, ...], sep: str = "\
 
 
 def tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, type, size) of the files and folders below root, relative to it; folders have no size, names that begin with a dot are left out, and only what is right below root is listed unless recursive.
+    """(path, type, size) of the files and folders below root, relative to it; folders have no size, hidden names are left out, and only what is right below root is listed unless recursive.
 
     Folders are those that files lie in: an empty one isn't seen. Contents aren't read.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    home = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
-    f = found.select(F.substring(F.regexp_replace("path", "^file:/*", "/"), F.length(home) + 2, F.lit(1 << 20)).alias("path"), F.col("length").alias("size")).filter(~F.substring_index("path", "/", -1).startswith("."))
+    f = files(spark, root)
     parts = F.split("path", "/")
     inner = f.filter(F.contains("path", F.lit("/")))
     folders = (inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")) if recursive else inner.select(F.get(parts, 0).alias("path"))).distinct()
-    files = f if recursive else f.filter(~F.contains("path", F.lit("/")))
-    return files.select("path", F.lit("file").alias("type"), "size").unionByName(folders.select("path", F.lit("dir").alias("type"), F.lit(None).cast("bigint").alias("size")))
+    listed = f if recursive else f.filter(~F.contains("path", F.lit("/")))
+    return listed.select("path", F.lit("file").alias("type"), "size").unionByName(folders.select("path", F.lit("dir").alias("type"), F.lit(None).cast("bigint").alias("size")))
 
 
 def content_search(spark: SparkSession, root: str, query: str, most: int, pattern: str = "*") -> DataFrame:

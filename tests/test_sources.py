@@ -39,6 +39,24 @@ def test_scan_folders(spark, tmp_path):
     assert R.tree(spark, str(tmp_path)).count() == 4
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver doesn't list files: Spark's own file index isn't asked about the folder; hidden and empty files stay out."""
+    monkeypatch.setattr(R, "PER_TASK", 3)
+    for k in range(10):
+        (tmp_path / f"in/s/raw/{k}").mkdir(parents=True)
+        for name in ("meta.json", "full.png", ".x", "_y"):
+            (tmp_path / f"in/s/raw/{k}/{name}").write_text(["{", '[{"index": 1}, {"index": 2}]', " ", '{"index": 3}'][k % 4] if name == "meta.json" else "x")
+    (tmp_path / "in/s/raw/3/full.png").write_text("")
+    root = f"file://{tmp_path}/in"
+    listed = R.files(spark, root)
+    assert listed.count() == 19 and not any("/in/" in f for f in listed.inputFiles())
+    meta = R.scan_meta(spark, root, "index int", {}, {}, listed)
+    assert not any("/in/" in f for f in meta.inputFiles())
+    assert [(r.folder[-1], r["index"]) for r in meta.orderBy("folder", "index").collect()] == [("0", None), ("1", 1), ("1", 2), ("4", None), ("5", 1), ("5", 2), ("7", 3), ("8", None), ("9", 1), ("9", 2)]
+    assert [r.folder for r in R.scan_folders(spark, root)[1].collect()] == [f"{root}/s/raw/3"]
+    assert not any("/in/" in f for f in R.tree(spark, root).inputFiles() + R.sessions(spark, root).inputFiles())
+
+
 def test_complete_sections(spark):
     d = spark.createDataFrame([(1, s) for s in (0, 1, 3, 4)] + [(2, 0), (2, 1)], "id int, section int")
     assert {r.id for r in R.complete_sections(d, "id", "section").collect()} == {1}
