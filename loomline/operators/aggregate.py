@@ -108,3 +108,15 @@ def display_stat(stats: Column, fixed: Column, flat: Sequence[str]) -> Column:
     squash = lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9%]", "")
     other = F.when(fixed.isNotNull(), F.get(F.filter(stats, lambda s: squash(s["name"]) != squash(fixed)), 0))
     return F.coalesce(other, F.get(F.filter(stats, lambda s: ~squash(s["name"]).isin(*flat)), 0), F.get(stats, 0))
+
+
+#: Bytes of files, by Spark's estimate, whose rows one task sorts or groups.
+PER_TASK = 1 << 20
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key over as many tasks as their size asks for, so that what a task sorts or groups doesn't grow with the input; steps by key need no further shuffle."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # unknown
+        return rows.repartition(key)
+    return rows.repartition(max(1, min(100_000, -(-size // PER_TASK))), key)

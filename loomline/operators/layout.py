@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import dealt
+
 
 def row_groups(rows: DataFrame, key: Sequence[str], top: Column, bottom: Column, gap, order: Sequence[str]) -> DataFrame:
     """rows with row_no: a new row begins where top is at or below everything before it by the gap."""
@@ -142,6 +144,7 @@ def best_chain(rows: DataFrame, key: str, overlap: float = 0.35) -> DataFrame:
     and has fewer digits than the whole, so whole chains are all that need be compared. 0 where no token has digits.
     """
     d = rows.select(key, F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), F.regexp_replace("text", "[^0-9]", "").alias("t"), F.col("conf").cast("double").alias("conf"))
+    d = dealt(d, key)
     w = Window.partitionBy(key).orderBy("x0", "x1", -F.length("t"), -F.col("conf"), "t")
     some = d.filter("t <> ''").withColumn("_n", F.row_number().over(w)).withColumn("_a", F.lag("x0").over(w)).withColumn("_b", F.lag("x1").over(w))
     common = F.least("x1", "_b") - F.greatest("x0", "_a")
@@ -151,4 +154,4 @@ def best_chain(rows: DataFrame, key: str, overlap: float = 0.35) -> DataFrame:
     digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "t"))), lambda x: x["t"]), "")
     chains = chains.groupBy(key, "_c").agg(digits.alias("t"), F.max("x1").alias("x1"), F.min("x0").alias("x0"), F.sum("conf").alias("conf"))
     best = chains.groupBy(key).agg(F.max_by("t", F.struct("x1", F.length("t"), F.col("x1") - F.col("x0"), "conf", -F.col("_c"))).alias("_t"))
-    return rows.select(key).distinct().join(best, key, "left").select(key, F.coalesce(F.col("_t").try_cast("bigint"), F.lit(0)).alias("number"))
+    return d.select(key).distinct().join(best, key, "left").select(key, F.coalesce(F.col("_t").try_cast("bigint"), F.lit(0)).alias("number"))
