@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import list_index, upper_camel
+from .aggregate import dealt
 
 # Level caps in the order of ascensions; optional fields of a gear record; talents and their skills.
 LEVEL_CAPS = (20, 40, 50, 60, 70, 80, 90)
@@ -100,5 +101,5 @@ def neighbourhood_median(pixels: DataFrame, points: DataFrame, image: str, value
 def colour_summary(pixels: DataFrame, image: str, channels: Sequence[str]) -> DataFrame:
     """By image, how many different colours it has, and the range of each channel."""
     ends = [f(c).alias(f"{n}_{c}") for c in channels for f, n in ((F.min, "min"), (F.max, "max"))]
-    different = pixels.groupBy(image, *channels).agg(F.lit(1).alias("_one"))
+    different = dealt(pixels.select(image, *channels), image).groupBy(image, *channels).agg(F.lit(1).alias("_one"))
     return different.groupBy(image).agg(F.count("*").alias("colours"), *ends)

@@ -353,3 +353,17 @@ def test_first_kind_and_defaults(spark):
     assert [r.k for r in d.orderBy("i").select(kind.alias("k")).collect()] == ["file", "name", "unknown", "unknown"]
     some = d.orderBy("i").select(P.with_default(F.col("s"), "none", "", "b").alias("a"), P.with_default(F.col("s"), "none").alias("b")).collect()
     assert [tuple(r) for r in some] == [("a.json", "a.json"), ("none", "b"), ("none", ""), ("none", "none")]
+
+
+def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """A task's rows are bounded by the size of the files, and one shuffle serves all steps by key."""
+    from loomline.operators import aggregate, layout, records
+
+    spark.range(20_000).selectExpr("id % 5000 as k", "id % 3 as r", "double(id) as x0", "double(id + 1) as x1", "string(id % 10) as text", "0.5D as conf").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(aggregate, "PER_TASK", 4096)
+    assert aggregate.dealt(t.select("k", "r"), "k").rdd.getNumPartitions() > 5
+    plan = records.colour_summary(t, "k", ["r"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert records.colour_summary(t, "k", ["r"]).agg({"colours": "sum"}).first()[0] == 3 * 5000
+    assert layout.best_chain(t, "k").count() == 5000
