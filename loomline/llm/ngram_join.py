@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, input_bytes, table
+from .common import cut, discard, input_bytes, pieces, table
 from .components import components
 from .shingles import arrow_text, expand, mix, shingles, shrink
 
 #: Similarity in percent.
 LEAST = 75
-#: Shingles of a batch, texts' bytes hashed at once, documents of a batch (their numbers have 16 bits).
-BATCH, STEP, MOST_DOCS = 1_500_000, 1 << 21, 60_000
+#: Shingles of a batch, texts' bytes hashed at once, documents of a batch (their numbers have 16 bits), keys that temporary arrays are made of.
+BATCH, STEP, MOST_DOCS, PART = 1_500_000, 1 << 18, 60_000, 1 << 17
 #: Documents of a batch from which a key is sent as a count.
 COMMON = 16
 #: Rounds that compare with leaders before the one that compares all pairs left; rows of a key that meet in one block there.
@@ -57,19 +57,25 @@ def _deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def _batch_rows(number: int, ids: list, docs: np.ndarray, keys: np.ndarray, bits: int):
-    """Rows of one batch: keys and counts by bucket, and one row about the documents."""
-    pairs = np.unique((keys << np.uint64(16)) | docs.astype(np.uint64))
-    keys, docs = pairs >> np.uint64(16), (pairs & np.uint64(0xFFFF)).astype(np.uint16)
-    size = np.bincount(docs, minlength=len(ids)).astype(np.int64)
-    m = mix(keys)
-    sums = [np.bincount(docs, weights=part.astype(float), minlength=len(ids)).astype(np.int64) for part in (m >> np.uint64(32), m & np.uint64(0xFFFFFFFF))]
+def _spans(keys: np.ndarray, low: int) -> Iterator[tuple[int, int]]:
+    """Stretches of sorted keys of some PART each; keys that differ in their `low` lowest bits only stay together."""
+    at = 0
+    while at < len(keys):
+        to = min(at + PART, len(keys))
+        if to < len(keys):
+            to = int(np.searchsorted(keys, keys[to - 1] | np.uint64((1 << low) - 1), "right"))
+        yield at, to
+        at = to
+
+
+def _batch_rows(number: int, ids: list, pairs: np.ndarray, bits: int):
+    """Rows of one batch: keys and counts by bucket, and one row about the documents. pairs: key << 16 | document, which are sorted in place."""
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+    size, sums = np.zeros(len(ids), np.int64), [np.zeros(len(ids), np.int64) for _ in range(2)]
     rest = min(32, 48 - bits)
-    keys = keys >> np.uint64(48 - bits - rest)
-    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(keys)))
-    often = np.repeat(count >= COMMON, count)
-    out = []
+    out: list[tuple] = []
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
 
     def deal(k: np.ndarray, more: np.ndarray, kind: int):
         if not len(k):
@@ -80,13 +86,24 @@ def _batch_rows(number: int, ids: list, docs: np.ndarray, keys: np.ndarray, bits
         for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True):
             out.append((int(bucket[a]), number, kind, b - a, shrink(_deltas(low[a:b]), more[a:b])))
 
-    deal(keys[~often], docs[~often], _BACK)
-    deal(keys[edge[count >= COMMON]], count[count >= COMMON].astype(np.uint32), _COUNTS)
+    for start, stop in _spans(pairs, 64 - bits):  # whole buckets
+        keys, docs = pairs[start:stop] >> np.uint64(16), (pairs[start:stop] & np.uint64(0xFFFF)).astype(np.uint16)
+        size += np.bincount(docs, minlength=len(ids))
+        m = mix(keys)
+        for total, part in zip(sums, (m >> np.uint64(32), m & np.uint64(0xFFFFFFFF)), strict=True):
+            total += np.bincount(docs, weights=part.astype(float), minlength=len(ids)).astype(np.int64)
+        keys >>= np.uint64(48 - bits - rest)
+        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(edge, len(keys)))
+        often = np.repeat(count >= COMMON, count)
+        deal(keys[~often], docs[~often], _BACK)
+        deal(keys[edge[count >= COMMON]], count[count >= COMMON].astype(np.uint32), _COUNTS)
+        kept.append((keys[often], docs[often]))
     known = np.array([x is not None for x in ids], np.uint8)
     named = np.array([x or 0 for x in ids], np.int64)
     about = shrink(named, known, size, *sums)
-    kept = shrink(keys[often], docs[often])
-    blob = len(about).to_bytes(8, "little") + int(often.sum()).to_bytes(8, "little") + about + kept
+    keys, docs = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.uint16)), *kept, strict=True))
+    blob = len(about).to_bytes(8, "little") + len(keys).to_bytes(8, "little") + about + shrink(keys, docs)
     out.append(((1 << bits) + number % (1 << bits), number, _SELF, len(ids), blob))
     return out
 
@@ -100,15 +117,15 @@ def _sent(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
-        docs: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
         held = 0
 
         def send():
-            nonlocal ids, docs, keys, held, number
-            none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            rows = _batch_rows((part << 24) | number, ids, np.concatenate([none[0], *docs]), np.concatenate([none[1], *keys]), bits)
-            ids, docs, keys, held, number = [], [], [], 0, number + 1
+            nonlocal ids, pairs, held, number
+            joined = np.concatenate([np.zeros(0, np.uint64), *pairs])
+            pairs = []
+            rows = _batch_rows((part << 24) | number, ids, joined, bits)
+            ids, held, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in _ROWS.split(", ")])
 
         for b in batches:
@@ -119,8 +136,7 @@ def _sent(bits: int):
                 to = max(at + 1, int(np.searchsorted(off, off[at] + STEP, "right")) - 1)
                 to = min(to, at + MOST_DOCS - len(ids))
                 d, k = shingles(raw[off[at] : off[to]], off[at : to + 1] - off[at])
-                docs.append(d + len(ids))
-                keys.append(k)
+                pairs.append((k << np.uint64(16)) | (d + len(ids)).astype(np.uint64))
                 ids += names[at:to]
                 held += len(k)
                 at = to
@@ -185,7 +201,16 @@ def _prefixes(bits: int):
         (_, _, size, _, _), (okeys, odocs) = _about(own["blob"].iloc[0], int(own["n"].iloc[0]))
         picked = np.zeros(len(size), bool)
         picked[np.frombuffer(reps["blob"].iloc[0], ">u2")] = True
-        keys, docs, often = [], [], []
+        most = int(rows["n"][rows["kind"] == _BACK].sum()) + len(okeys)
+        # document << 48 | key, and the key's frequency
+        pairs, often, n_pairs = np.empty(most, np.uint64), np.empty(most, np.uint16), 0
+
+        def add(k: np.ndarray, d: np.ndarray, f: np.ndarray):
+            nonlocal n_pairs
+            pairs[n_pairs : n_pairs + len(k)] = (d.astype(np.uint64) << np.uint64(48)) | k
+            often[n_pairs : n_pairs + len(k)] = f
+            n_pairs += len(k)
+
         counted: dict[str, list] = {"k": [], "f": []}
         for bucket, kind, n, blob in zip(rows["bucket"], rows["kind"], rows["n"], rows["blob"], strict=True):
             if kind != _BACK:
@@ -197,34 +222,38 @@ def _prefixes(bits: int):
                 counted["k"].append(k[many])
                 counted["f"].append(f[many])
             use = ~many & picked[np.where(many, 0, d)]
-            keys.append(k[use])
-            docs.append(d[use])
-            often.append(f[use])
+            add(k[use], d[use], f[use])
         if counted["k"]:
             ck, cf = np.concatenate(counted["k"]), np.concatenate(counted["f"])
             order = np.argsort(ck)
-            use = picked[odocs]
-            ok, od = okeys[use], odocs[use]
-            at = np.minimum(np.searchsorted(ck[order], ok), len(ck) - 1)
-            keys.append(ok)
-            docs.append(od)
-            often.append(cf[order][at])
-        if not keys:
+            ck, cf = ck[order], cf[order]
+            for at in range(0, len(okeys), PART):
+                ok, od = okeys[at : at + PART], odocs[at : at + PART]
+                use = picked[od]
+                ok, od = ok[use], od[use]
+                add(ok, od, cf[np.minimum(np.searchsorted(ck, ok), len(ck) - 1)])
+        if not n_pairs:
             return empty
-        keys, docs, often = np.concatenate(keys), np.concatenate(docs), np.concatenate(often)
-        order = np.lexsort((keys, often, docs))
-        keys, docs = keys[order], docs[order].astype(np.int64)
-        if len(keys):
-            new = np.append(True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]))
-            keys, docs = keys[new], docs[new]
-        shared = np.bincount(docs, minlength=len(size))
+        order = np.argsort(pairs[:n_pairs])
+        pairs, often = pairs[order], often[order]
+        del order
+        new = np.append(True, pairs[1:] != pairs[:-1])
+        keys, often = pairs[new], often[new]
+        del pairs, new
+        # keys of a document by frequency, then key; halves of a set by hash range, eight of them, for the suffix filter
+        part = np.zeros(8 * len(size), np.int64)
+        for start, stop in _spans(keys, 48):  # whole documents
+            d, k = (keys[start:stop] >> np.uint64(48)).astype(np.int64), keys[start:stop] & np.uint64((1 << 48) - 1)
+            part += np.bincount(d * 8 + (k >> np.uint64(bits + rest - 3)).astype(np.int64), minlength=8 * len(size))
+            keys[start:stop] = k[np.argsort((d << 16) | often[start:stop], kind="stable")]
+        part = part.reshape(-1, 8)
+        shared = part.sum(1)
+        part = np.minimum(part, 0x7FFF)
         need = -(-LEAST * size // 100)  # overlap with any similar set
         alone = size - shared
         take = size - need + 1 - alone  # of the shared keys, those in the prefix
         live = (take > 0) & (shared > 0) & picked
         first = np.cumsum(shared) - shared
-        # halves of a set by hash range, eight of them, for the suffix filter
-        part = np.minimum(np.bincount(docs * 8 + (keys >> np.uint64(bits + rest - 3)).astype(np.int64), minlength=8 * len(size)).reshape(-1, 8), 0x7FFF)
         halves = [sum(part[:, 4 * h + k] << (16 * k) for k in range(4)) for h in (0, 1)]
         base = (np.int64(key[0]) << 16) | np.arange(len(size))
         at = np.flatnonzero(live)
@@ -296,10 +325,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked = []
-            for na, nb, ka, kb in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                x, y = (_keys(k) for k in (ka, kb))
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * o >= LEAST * (na + nb - o))
+            for few in pieces([b]):
+                for na, nb, ka, kb in zip(*(few.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+                    x, y = (_keys(k) for k in (ka, kb))
+                    o = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * o >= LEAST * (na + nb - o))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a bigint, b bigint, linked boolean")

@@ -15,6 +15,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(11)
 _BASE = int(_rng.integers(1 << 62)) | 1
 _FACTORS = (_rng.integers(1 << 62, size=WORDS + 1).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Powers that a worker keeps.
+_KEPT = 1 << 18
 _power = _unpower = np.ones(1, np.uint64)
 
 
@@ -27,15 +29,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _power, _unpower
-    if len(_power) < n:
-        n = max(n, 1 << 21)
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
+    if len(_power) >= n:
+        return _power, _unpower
+    both = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, _KEPT), b, np.uint64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    if n <= _KEPT:  # a longer text has its own
         _power, _unpower = both
-    return _power, _unpower
+    return both[0], both[1]
 
 
 def word_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -1,12 +1,16 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 
 from loomline.llm import ngram_join as N
+from loomline.llm import shingles as S
 from loomline.llm.shingles import expand, shingles, shrink
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,3 +137,43 @@ def test_components(spark):
 def test_unrelated_documents(spark):
     docs = [(1, "a b c d e f g h"), (2, "i j k l m n o p")]
     assert got(spark, docs, 1) == brute(docs)
+
+
+class _Task:
+    @staticmethod
+    def get():
+        return _Task()
+
+    def partitionId(self):
+        return 0
+
+
+def _peak(run):
+    """What run() gives, and MB that its arrays took at most."""
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker(monkeypatch):
+    """A worker holds a batch's keys once, and temporary arrays of a part of them; a long text leaves nothing behind."""
+    monkeypatch.setattr(N, "TaskContext", _Task)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 500)) for _ in range(1000)]
+    texts += texts
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    sent, peak = _peak(lambda: list(N._sent(8)(iter(table.to_batches()))))
+    assert len(sent) == 1 and peak < 60  # 1,000,000 shingles: 115 MB before
+    rows = sent[0].to_pandas()
+    back = pd.concat([N._counted((b,), g) for b, g in rows.groupby("bucket")])
+    reps = pd.DataFrame([(0, 0, N._COUNTS, 0, np.arange(len(texts), dtype=">u2").tobytes())], columns=rows.columns)
+    found, peak = _peak(lambda: N._prefixes(8)((0,), pd.concat([back, reps], ignore_index=True)))
+    whole = found[found["key"] < 0]
+    assert len(whole) == len(texts) and (whole["n"] == 496).all() and (whole["pos"] == 496).all()
+    assert len(found) == len(texts) * (1 + 496 - 372 + 1) and peak < 65  # 72 MB before
+    before = len(S._powers(1)[0])
+    S.shingles(np.frombuffer(("x " * 2_000_000).encode(), np.uint8), np.array([0, 4_000_000]))
+    assert len(S._powers(1)[0]) == before
